@@ -125,27 +125,40 @@ def _surname(value: Column, stream: Column, draw: Column) -> Column:
     return F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word))))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def surrogate(value: Column, key: str, draw: Column | None = None) -> Column:
     """The surrogate of an entity at its ``draw``-th attempt (0 if not given)."""
     draw = F.lit(0) if draw is None else draw
-    stream, kind = _stream(key, value, draw), kind_of(value)
-    formatted = _same_format(value, stream)
     rotated = {}
     for names in GIVEN.values():
         order = sorted(names, key=lambda n: hashlib.sha256(f"{key}\x00{n}".encode()).hexdigest())
         rotated |= {n: order[(i + 1) % len(order)] for i, n in enumerate(order)}
-    given = F.element_at(F.create_map(*[F.lit(x) for pair in rotated.items() for x in pair]), value)
-    octet = lambda i: _number(stream, F.lit(i), 254) + 1
-    return (
-        F.when(kind == "email", F.concat(F.substring_index(formatted, "@", 1), F.lit("@"), F.regexp_replace(F.substring_index(formatted, "@", -1), r"\.[^.]+$", ""), F.lit(".example")))
-        .when(kind == "access_key", F.concat(F.substring(value, 1, 4), F.substring(formatted, F.lit(5), F.lit(16))))
-        .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
-        .when(kind == "card", _luhn(F.concat(F.substring(value, 1, 1), F.substring(formatted, F.lit(2), F.length(formatted) - 1))))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substring(formatted, F.lit(3), F.length(formatted))))
-        .when(kind == "phone", F.when(value.rlike(r"^\+[0-9]{1,3}[ .(-]"), F.concat(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0), F.substring(formatted, F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0)) + 1, F.length(formatted)))).otherwise(formatted))
-        .when(kind == "given", given)
-        .when(kind == "surname", _surname(value, stream, draw))
-        .otherwise(formatted)
+    given = F.create_map(*[F.lit(x) for pair in rotated.items() for x in pair])
+    prefix = r"^\+[0-9]{1,3}"
+
+    def form(v: Column, kind: Column, stream: Column, new: Column) -> Column:
+        """``new``: the value in its own format."""
+        octet = lambda i: _number(stream, F.lit(i), 254) + 1
+        country = F.regexp_extract(v, prefix, 0)
+        return (
+            F.when(kind == "email", F.concat(F.substring_index(new, "@", 1), F.lit("@"), F.regexp_replace(F.substring_index(new, "@", -1), r"\.[^.]+$", ""), F.lit(".example")))
+            .when(kind == "access_key", F.concat(F.substring(v, 1, 4), F.substring(new, F.lit(5), F.lit(16))))
+            .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
+            .when(kind == "card", _luhn(F.concat(F.substring(v, 1, 1), F.substring(new, F.lit(2), F.length(new) - 1))))
+            .when(kind == "iban", F.concat(F.substring(v, 1, 2), F.substring(new, F.lit(3), F.length(new))))
+            .when(kind == "phone", F.when(v.rlike(prefix + "[ .(-]"), F.concat(country, F.substring(new, F.length(country) + 1, F.length(new)))).otherwise(new))
+            .when(kind == "given", F.element_at(given, v))
+            .when(kind == "surname", _surname(v, stream, draw))
+            .otherwise(new)
+        )
+
+    return _let(
+        F.struct(value.alias("v"), kind_of(value).alias("k"), _stream(key, value, draw).alias("s")),
+        lambda x: _let(F.struct(x["v"].alias("v"), x["k"].alias("k"), x["s"].alias("s"), _same_format(x["v"], x["s"]).alias("f")), lambda y: form(y["v"], y["k"], y["s"], y["f"])),
     )
 
 
