@@ -201,6 +201,6 @@ def _check_sql(digits: str, n: int, start: int) -> str:
 
 _D14 = "lpad(CAST(o_orderkey * 7919 AS VARCHAR), 14, '0')"
 _D11 = "lpad(CAST(o_orderkey * 7919 AS VARCHAR), 11, '0')"
-_query("cnpj_check_digits", f"SELECT o_orderkey, {_check_sql(_D14, 12, 5)} = CAST(substr({_D14}, 13, 1) AS INTEGER) AND {_check_sql(_D14, 13, 6)} = CAST(substr({_D14}, 14, 1) AS INTEGER) AS ok FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cnpj_valid(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 14, "0")).alias("ok")))
-_query("cpf_check_digits", f"SELECT o_orderkey, {_check_sql(_D11, 9, 10)} = CAST(substr({_D11}, 10, 1) AS INTEGER) AND {_check_sql(_D11, 10, 11)} = CAST(substr({_D11}, 11, 1) AS INTEGER) AS ok FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cpf_valid(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 11, "0")).alias("ok")))
+_query("cnpj_check_digits", f"SELECT o_orderkey, {_check_sql(_D14, 12, 5)} = CAST(substr({_D14}, 13, 1) AS INTEGER) AND {_check_sql(_D14, 13, 6)} = CAST(substr({_D14}, 14, 1) AS INTEGER) AND replace({_D14}, substr({_D14}, 1, 1), '') <> '' AS ok FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cnpj_valid(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 14, "0")).alias("ok")))
+_query("cpf_check_digits", f"SELECT o_orderkey, {_check_sql(_D11, 9, 10)} = CAST(substr({_D11}, 10, 1) AS INTEGER) AND {_check_sql(_D11, 10, 11)} = CAST(substr({_D11}, 11, 1) AS INTEGER) AND replace({_D11}, substr({_D11}, 1, 1), '') <> '' AS ok FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cpf_valid(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 11, "0")).alias("ok")))
 _query("cpf_mask", f"SELECT o_orderkey, '***.' || substr({_D11}, 4, 3) || '.' || substr({_D11}, 7, 3) || '-**' AS mascara FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cpf_mask(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 11, "0")).alias("mascara")))
