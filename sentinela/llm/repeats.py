@@ -31,7 +31,7 @@ from sentinela.llm import kernels as K
 DEPTH = 200
 GRAM = 48
 #: A first digit with more different runs than this is resolved by its windows' hashes, grouped in the cluster.
-HOT_RUNS = 256
+HOT_RUNS = 20_000
 #: Runs per bucket of the last passes.
 BUCKET_RUNS = 3_000
 RUN = "key binary, first int, last int, at int, digit long, body long"
