@@ -27,7 +27,7 @@ WINDOW = 4096
 #: Above this many runs the plan is joined by shuffle instead of being broadcast (a run is 6 numbers).
 BROADCAST_RUNS = 20_000
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 6_000_000
+ENCODE_BYTES = 2_000_000
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 2) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from sentinela.llm import kernels as K
 
 #: Entries in a worker's table of pieces before it starts anew; bounds memory, never changes a result.
-TABLE_MOST = 3_000_000
+TABLE_MOST = 700_000
 
 _CLASS = np.full(256, 2, np.uint8)  # punctuation and control characters
 _CLASS[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
