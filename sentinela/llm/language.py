@@ -123,8 +123,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["lang", "ids", "shares"])
 
     usable = labelled.filter("lang is not null and length(text) > 0")
-    first = usable.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    keys = usable.select(F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t")).distinct()
+    keys = F.broadcast(keys.orderBy("_h", "_t").limit(sample))  # at most ``sample`` pairs of hashes
+    first = usable.withColumns({"_h": F.xxhash64("doc_id"), "_t": F.xxhash64("text")}).join(keys, ["_h", "_t"]).dropDuplicates(["_h", "_t"])
     got = first.select("lang", "text").mapInArrow(run, "lang string, ids binary, shares binary").collect()
+    got.sort(key=lambda r: (r["lang"], bytes(r["ids"]), bytes(r["shares"])))
     if not got:
         return None
     return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got], [r["lang"] for r in got])
