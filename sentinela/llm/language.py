@@ -135,11 +135,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
-    n = len(offs) - 1
     low = K.LOWER[data]
-    where = np.flatnonzero((low >= 97) & (low <= 122))
-    out = np.zeros(n, bool)
-    out[K.doc_of(offs, where)] = True
+    out, full = np.zeros(len(offs) - 1, bool), np.flatnonzero(np.diff(offs))
+    if len(full):
+        out[full] = np.logical_or.reduceat((low >= 97) & (low <= 122), offs[full])
     for i in np.flatnonzero(~out & (np.diff(offs) > 0)).tolist():
         raw = data[offs[i] : offs[i + 1]]
         if (raw >= 128).any():
@@ -157,13 +156,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             data, offs = K.flat(batch.column(batch.schema.get_field_index("text")))
             n = len(offs) - 1
-            letters = has_letter(data, offs)
             name, score = np.full(n, "und", object), np.zeros(n)
             if m is not None:
                 for a, b, d, o in K.pieces(data, offs):
                     p = softmax(m.logits(d, o) / m.temperature)
                     at = p.argmax(1)
-                    own = np.flatnonzero(letters[a:b])
+                    own = np.flatnonzero(has_letter(d, o))
                     name[a + own] = np.array(m.languages, object)[at[own]]
                     score[a + own] = p[own, at[own]]
             rejected = (name == "und") | (score < (m.threshold if m else 1))
