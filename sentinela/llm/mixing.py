@@ -24,6 +24,7 @@ BLOCK = 128
 SHARD_SLOTS = 1024
 MOST = 3
 ROUNDS = 24
+SLOTS_PER_TASK = 32_768
 
 
 def permuted(index: Column, n: Column, *key: Column) -> Column:
@@ -62,8 +63,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "source_size", target.alias("target"))
 
 
-def slots(wanted: DataFrame, seed: int, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, most: int = MOST) -> DataFrame:
-    """shard, source, pass, block: what each slot of the mix holds."""
+def slots(wanted: DataFrame, seed: int, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, most: int = MOST, parts: int = 1) -> DataFrame:
+    """shard, source, pass, block: what each slot of the mix holds, made by ``parts`` tasks."""
     n = F.ceil(F.col("source_size") / block)
     src = wanted.filter("source_size > 0 and target > 0").withColumn("blocks", n.cast("long"))
     src = src.withColumn("_e", F.col("target") * F.col("blocks") / F.col("source_size"))
@@ -81,6 +82,7 @@ def slots(wanted: DataFrame, seed: int, block: int = BLOCK, shard_slots: int = S
     count = F.ceil(size * F.col("_to") - shift) - F.ceil(size * F.col("_from") - shift)
     drawn = drawn.select("source", "_key", "blocks", "shard", count.cast("long").alias("_count"))
     drawn = C.running_total(drawn, ["_key"], ["shard"], F.floor(F.col("shard") / 4096), F.col("_count"), "_first").filter("_count > 0")
+    drawn = drawn.repartition(parts, "_key", "shard")  # a row becomes up to shard_slots slots
     k = drawn.withColumn("_k", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)))
     k = k.withColumn("pass", F.floor(F.col("_k") / F.col("blocks")).cast("long")).filter(F.col("pass") < most)
     at = permuted(F.pmod(F.col("_k"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("_key"), F.col("pass"))
@@ -99,7 +101,8 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_slots: int = S
     part = line.select("_row", "_key", "_at", "size", F.explode(reach).alias("block"))
     here = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_at"), F.col("block") * block)
     part = part.select("_row", "_key", "block", here.alias("_here"))
-    used = slots(wanted, seed, block, shard_slots, most).groupBy("_key", "block").agg(F.count("*").alias("_times"))
+    words = wanted.agg(F.sum("source_size")).first()[0] or 0
+    used = slots(wanted, seed, block, shard_slots, most, C.bucket_count(words // block, SLOTS_PER_TASK)).groupBy("_key", "block").agg(F.count("*").alias("_times"))
     taken = part.join(used, ["_key", "block"]).groupBy("_row").agg(F.sum(F.col("_here") * F.col("_times")).alias("_taken"))
     by_source = wanted.select(F.coalesce("source", F.lit("\x00null")).alias("_key"), "source_size", "target")
     out = base.join(taken, "_row", "left").withColumn("_key", F.coalesce("source", F.lit("\x00null"))).join(by_source, "_key")
