@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from sentinela.llm import chat, fingerprints, language, mixing, near, packing, pii, ppm, quality, queries, repeats
@@ -47,6 +48,34 @@ def test_repeats(docs, rows, hot, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_a_link_joins_whole_components(spark):
+    nodes = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 5), (7, 7)], "node long, label long")
+    links = spark.createDataFrame([(4, 6), (6, 1), (6, 1)], "a long, b long")
+    assert sorted(map(tuple, near.components(links, nodes).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 7)]
+
+
+def test_near_copies_without_their_original(spark):
+    """A group whose members mostly lie just below the threshold, beside texts that share a passage with it."""
+    rng = np.random.RandomState(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(120, rng.randint(2, 7), replace=False):
+            words[at] = f"x{rng.randint(0, 12)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:60] + [f"y{k}_{i}" for i in range(90)]) for k in range(60)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for _ in texts:
+        new = [min(want[j] for j in range(len(texts)) if i == j or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(len(texts))]
+        if new == want:
+            break
+        want = new
+    got = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
 def test_near_duplicates(docs, rows):
     sets = []
     for i, t in rows:
@@ -76,8 +105,6 @@ def test_ppm_base_and_probability(docs, rows):
 
 
 def test_ppm_probabilities_sum_to_one(docs):
-    import numpy as np
-
     trie = ppm.train(docs.select("text"), order=3, share=1 << 10)
     for context in (b"abc", b"\xff\xffa", b"zzz"):
         start = int.from_bytes(context, "big") << 8
