@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from sentinela.llm import common as C
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it, the last one also with what follows.
+SPACED = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
 WEIGHTS = (5, 2, 1)
 BLOCK = 128
 SHARD_SLOTS = 1024
@@ -37,10 +39,11 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), lambda x, r: step(x, r).cast("long"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, source, size: one row per document, written so that _row names a row for good."""
+def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """_row, doc_id, source, size: one row per document, written so that _row names a row for good (``row``, if given)."""
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(row.alias("_row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -89,21 +92,62 @@ def slots(wanted: DataFrame, seed: int, block: int = BLOCK, shard_slots: int = S
     return k.select("shard", "source", "_key", "pass", at.alias("block"))
 
 
-def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document (see the module's docstring)."""
-    base = C.materialise(sized(docs), "sized")
-    wanted = C.materialise(targets(base, weights, most), "targets")
+def drawn_blocks(base: DataFrame, wanted: DataFrame, seed: int, block: int, shard_slots: int, most: int) -> DataFrame:
+    """_row, block, _from, _here, _times: the words (first and number) that documents have in drawn blocks, and how often."""
     rows = base.count()
     line = base.withColumn("_key", F.coalesce("source", F.lit("\x00null")))
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(C.bucket_count(rows, 10_000)))
     line = C.running_total(line, ["_key"], ["doc_id", "size"], spread, F.col("size"), "_at").filter("size > 0")
     reach = F.sequence(F.floor(F.col("_at") / block).cast("long"), F.floor((F.col("_at") + F.col("size") - 1) / block).cast("long"))
     part = line.select("_row", "_key", "_at", "size", F.explode(reach).alias("block"))
-    here = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_at"), F.col("block") * block)
-    part = part.select("_row", "_key", "block", here.alias("_here"))
+    start = F.greatest(F.col("_at"), F.col("block") * block)
+    here = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - start
+    part = part.select("_row", "_key", "block", (start - F.col("_at")).alias("_from"), here.alias("_here"))
     words = wanted.agg(F.sum("source_size")).first()[0] or 0
     used = slots(wanted, seed, block, shard_slots, most, C.bucket_count(words // block, SLOTS_PER_TASK)).groupBy("_key", "block").agg(F.count("*").alias("_times"))
-    taken = part.join(used, ["_key", "block"]).groupBy("_row").agg(F.sum(F.col("_here") * F.col("_times")).alias("_taken"))
+    return part.join(used, ["_key", "block"]).drop("_key")
+
+
+def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document (see the module's docstring)."""
+    base = C.materialise(sized(docs), "sized")
+    wanted = C.materialise(targets(base, weights, most), "targets")
+    taken = drawn_blocks(base, wanted, seed, block, shard_slots, most).groupBy("_row").agg(F.sum(F.col("_here") * F.col("_times")).alias("_taken"))
     by_source = wanted.select(F.coalesce("source", F.lit("\x00null")).alias("_key"), "source_size", "target")
     out = base.join(taken, "_row", "left").withColumn("_key", F.coalesce("source", F.lit("\x00null"))).join(by_source, "_key")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def mixed_texts(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """What the mix takes, as rows of ``docs``: every run of neighbouring blocks of a document that one pass takes.
+
+    A row's text is that part of its document (white space goes with the word after it, at the end of a text with
+    the word before it), so each source has just the words that ``mix`` takes. Where a pass takes all of a document,
+    its text is the whole text. ``docs`` may repeat rows and ids.
+    """
+    rows = C.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    base = C.materialise(sized(rows, F.col("_row")), "sized")
+    wanted = C.materialise(targets(base, weights, most), "targets")
+    taken = drawn_blocks(base, wanted, seed, block, shard_slots, most).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("block", "_from", "_here", "_times"))).alias("_blocks"))
+
+    def runs(own: Column) -> Column:
+        """first, n: the words of each run of neighbours in one pass's blocks."""
+        begin = F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["block"] < x["block"] - 1))
+        end = F.filter(own, lambda x, i: (i == F.size(own) - 1) | (F.get(own, i + 1)["block"] > x["block"] + 1))
+        return F.zip_with(begin, end, lambda b, e: F.struct(b["_from"].cast("int").alias("first"), (e["_from"] + e["_here"] - b["_from"]).cast("int").alias("n")))
+
+    def in_pass(p: int) -> Column:
+        return F.filter("_blocks", lambda x: x["_times"] > p)
+
+    passes = [_let(in_pass(p), runs) for p in range(most)]
+    taken = taken.select("_row", F.concat(*passes).alias("_runs"))
+    text = F.col("text").cast("string")
+    cut = _let(F.regexp_extract_all(text, F.lit(SPACED), F.lit(0)), lambda w: F.transform("_runs", lambda r: F.array_join(F.slice(w, r["first"] + 1, r["n"]), "")))
+    cut = F.when(F.forall("_runs", lambda r: r["n"] == F.col("size")), F.transform("_runs", lambda r: text)).otherwise(cut)
+    out = rows.join(taken.join(base.select("_row", "size"), "_row"), "_row").withColumn("text", F.explode(cut))
+    return out.select(*docs.columns)
