@@ -2,9 +2,11 @@
 
 The trie holds byte contexts of up to ``ORDER`` bytes. Training counts every string of ``ORDER + 1`` bytes of the
 training texts (start padded with 0xFF, end marked by 0xFE, bytes that UTF-8 never has); the contexts of each
-order are sums of these. A context of order two or more enters the trie if it has at least one in ``SHARE`` of
-the training bytes: at most ``SHARE`` contexts per order can, whatever the input, which bounds the trie that is
-broadcast; the rule and the counts cover all data. A symbol is coded in the longest context that the trie has, by
+order are sums of these, and all are kept. The contexts of up to ``WHOLE`` bytes and those that have at least one in
+``SHARE`` of the training bytes (at most ``SHARE`` an order, whatever the input) are broadcast; a symbol whose longest
+context is among these is coded where its text is read, as all shorter ones then are too. The other symbols are
+dealt to buckets by the last ``WHOLE`` + 1 bytes of their context, as all longer contexts are, and coded there:
+what is broadcast decides where a symbol is coded, not its probability. A symbol is coded in the longest context that the trie has, by
 method C (escape = number of distinct successors); on escape the shorter context excludes the successors already
 ruled out. Successors of a context are always successors of its suffix, so the excluded sums are kept per node.
 A text's score is the log10 probability of all its bytes and its end, case and white space included.
@@ -29,6 +31,7 @@ from sentinela.llm import kernels as K
 
 ORDER = 5
 SHARE = 1 << 19
+WHOLE = 2
 HOT_SHARE = 1 << 12
 #: Grams that a task sorts at a time.
 GRAMS = 1_000_000
@@ -79,6 +82,17 @@ def node_key(g: np.ndarray, order: int) -> np.ndarray:
     return ((g >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)) | np.uint64((order + 129) << 56)
 
 
+def bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
+    """Where grams of an order above ``WHOLE`` are counted and coded: by the last bytes of the context."""
+    return (K.mix((g >> np.uint64(8)) & np.uint64((1 << (8 * (WHOLE + 1))) - 1)) % np.uint64(buckets)).astype(np.uint16)
+
+
+def shortened(g: np.ndarray, c: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of order ``order`` and their counts, from those of a higher order."""
+    g, at = np.unique(g & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
+    return g, np.bincount(at, c, len(g)).astype(np.int64)
+
+
 class Trie:
     """Contexts and successors in two tables, with what coding needs precomputed."""
 
@@ -134,13 +148,15 @@ class Trie:
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER, flush: int = GRAMS, buckets: int = GRAM_BUCKETS) -> DataFrame:
-    """level, bucket, grams, counts: blobs of sorted grams of every order with their counts over all texts."""
+    """level, bucket, grams, counts: blobs of sorted grams with their counts, of the orders up to ``WHOLE`` and the last."""
     def blobs(g: np.ndarray, c: np.ndarray):
-        for k in range(order, -1, -1):
+        for k in [order, *range(min(order - 1, WHOLE), -1, -1)]:
             if k < order:
-                g, at = np.unique(g & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
-                c = np.bincount(at, c, len(g)).astype(np.int64)
-            home = (K.mix(g >> np.uint64(8)) % np.uint64(buckets)).astype(np.uint16) if k > 1 else np.zeros(len(g), np.uint16)
+                g, c = shortened(g, c, k)
+            if k > WHOLE:
+                home = bucket_of(g, buckets)
+            else:
+                home = (K.mix(g >> np.uint64(8)) % np.uint64(buckets)).astype(np.uint16) if k > 1 else np.zeros(len(g), np.uint16)
             by = np.argsort(home, kind="stable")
             cut = np.searchsorted(home[by], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)).tolist():
@@ -186,16 +202,25 @@ def merged(blobs: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray,
     return g, c
 
 
-def train(texts: DataFrame, order: int = ORDER, share: int = SHARE, buckets: int = GRAM_BUCKETS) -> Trie:
-    """Fit a trie to all rows of a table with a column ``text`` (null: empty)."""
+def count_contexts(texts: DataFrame, order: int = ORDER, buckets: int = GRAM_BUCKETS) -> DataFrame:
+    """level, bucket, grams, counts: the grams of every order over all rows of a table with a column ``text`` (null: empty)."""
     counted = gram_counts(texts, order, buckets=buckets)
 
     def add(t: pa.Table) -> pa.Table:
         g, c = merged(t.column("grams"), t.column("counts"))
-        level = t.column("level")[0].as_py()
-        return pa.table({"level": pa.array([level], pa.int32()), "grams": [K.planes(g)], "counts": [K.planes(c)]})
+        level, bucket = t.column("level")[0].as_py(), t.column("bucket")[0].as_py()
+        found = [(level, g, c)]
+        for k in range(level - 1, WHOLE, -1):
+            g, c = shortened(g, c, k)
+            found.append((k, g, c))
+        return pa.table({"level": pa.array([k for k, _, _ in found], pa.int32()), "bucket": pa.array([bucket] * len(found), pa.int32()), "grams": [K.planes(g) for _, g, _ in found], "counts": [K.planes(c) for _, _, c in found]})
 
-    summed = C.materialise(counted.groupBy("level", "bucket").applyInArrow(add, "level int, grams binary, counts binary"), "grams")
+    blob = "level int, bucket int, grams binary, counts binary"
+    return C.materialise(counted.groupBy("level", "bucket").applyInArrow(add, blob), "grams")
+
+
+def frequent_edges(summed: DataFrame, order: int = ORDER, share: int = SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order, grams and counts of what is broadcast: all contexts up to ``WHOLE`` bytes and the frequent ones."""
 
     def total(batches):
         for b in batches:
@@ -207,19 +232,27 @@ def train(texts: DataFrame, order: int = ORDER, share: int = SHARE, buckets: int
         for batch in batches:
             for level, g, c in zip(*batch.columns, strict=True):
                 level, g, c = level.as_py(), K.unplanes(g.as_buffer(), np.uint64), K.unplanes(c.as_buffer(), np.int64)
-                if level > 1:
+                if level > WHOLE:
                     _, at = np.unique(g >> np.uint64(8), return_inverse=True)
                     keep = np.bincount(at, c)[at] * share >= n
                     g, c = g[keep], c[keep]
                 yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([K.planes(g)]), pa.array([K.planes(c)])], names=["level", "grams", "counts"])
 
-    kept = summed.mapInArrow(common, "level int, grams binary, counts binary").collect() if n else []
+    kept = summed.select("level", "grams", "counts").mapInArrow(common, "level int, grams binary, counts binary").collect() if n else []
+    return [level_edges([(r["grams"], r["counts"]) for r in kept if r["level"] == k]) for k in range(order + 1)]
+
+
+def level_edges(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and counts of one order."""
+    return np.concatenate([np.zeros(0, np.uint64), *(K.unplanes(bytes(g), np.uint64) for g, _ in blobs)]), np.concatenate([np.zeros(0, np.int64), *(K.unplanes(bytes(c), np.int64) for _, c in blobs)])
+
+
+def train(texts: DataFrame, order: int = ORDER, share: int = SHARE, buckets: int = GRAM_BUCKETS) -> Trie:
+    """The trie that is broadcast, of all rows of a table with a column ``text`` (null: empty)."""
+    summed = count_contexts(texts, order, buckets)
+    out = Trie(frequent_edges(summed, order, share))
     C.discard(summed)
-    edges = []
-    for k in range(order + 1):
-        own = [r for r in kept if r["level"] == k]
-        edges.append((np.concatenate([np.zeros(0, np.uint64), *(K.unplanes(bytes(r["grams"]), np.uint64) for r in own)]), np.concatenate([np.zeros(0, np.int64), *(K.unplanes(bytes(r["counts"]), np.int64) for r in own)])))
-    return Trie(edges)
+    return out
 
 
 def word_counts(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +271,11 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), C.held_out("doc_id", remainder).alias("held_out"))
     learn = slim.filter("not held_out").select("text")
     bits = max(LEAST_PARTS.bit_length() - 1, (slim.count() // PART_DOCS).bit_length())
-    trie = spark.sparkContext.broadcast(train(learn, order, share, min(1 << 16, max(GRAM_BUCKETS, 2 << bits))))
+    buckets = min(1 << 16, max(GRAM_BUCKETS, 2 << bits))
+    contexts = count_contexts(learn, order, buckets)
+    edges = frequent_edges(contexts, order, share)
+    trie, short = spark.sparkContext.broadcast(Trie(edges)), spark.sparkContext.broadcast(edges[: WHOLE + 1])
+    del edges
     parts, shift = 1 << bits, np.uint64(64 - bits)
 
     def count_words(batches):
@@ -284,10 +321,23 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
     base = float(np.log10(n_all + 0.5 * (v_all + 1)))
 
     def score_texts(batches):
-        """For each run of documents: their own row with what is known here, and a row per part of the words."""
+        """For each run of documents: their own row with what is known here, and a row per part of the words.
+
+        Symbols that other tasks code are held for many runs: a row per bucket, with the row of each symbol's document.
+        """
         from pyspark import TaskContext
 
         model, row = trie.value, TaskContext.get().partitionId() << 33
+        flush, held_g, held_row, n_held = row, [], [], 0
+
+        def later():
+            g, who = np.concatenate(held_g), np.concatenate(held_row)
+            home = bucket_of(g, buckets)
+            by = np.argsort(home, kind="stable")
+            cut = np.searchsorted(home[by], np.arange(buckets + 1))
+            own = [(b, by[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut)).tolist()]
+            return pa.RecordBatch.from_pylist([{"kind": 2, "part": b, "ids": [flush], "words": K.planes(g[x]), "who": K.planes(who[x])} for b, x in own], ARROW_SCORES)
+
         for batch in batches:
             data, offs = K.flat(batch.column(1))
             for a, b, d, o in K.pieces(data, offs, 600_000):
@@ -296,7 +346,14 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
                 for a2, b2, d2, o2 in K.pieces(d, o, 250_000):
                     text, begin = padded(d2, o2, model.order)
                     at, first = predicted(begin, np.diff(o2), model.order)
-                    total[a2:b2] = np.add.reduceat(model.log10(grams(text, model.order)[at]), first)
+                    g = grams(text, model.order)[at]
+                    cold = (model.node.find(node_key(g, order)) < 0) if order > WHOLE else np.zeros(len(g), bool)
+                    p = np.zeros(len(g))
+                    p[~cold] = model.log10(g[~cold])
+                    total[a2:b2] = np.add.reduceat(p, first)
+                    held_g.append(g[cold])
+                    held_row.append((row + a2 + np.repeat(np.arange(b2 - a2), np.diff(o2) + 1))[cold])
+                    n_held += len(held_g[-1])
                 h, doc = word_counts(d, o)
                 tokens = np.bincount(doc, minlength=b - a)
                 spot = np.minimum(np.searchsorted(hot_words, h), max(0, len(hot_words) - 1)) if len(hot_words) else np.zeros(len(h), np.int64)
@@ -317,6 +374,11 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
                         rows.append({"kind": 1, "part": p, "ids": (who + row).tolist(), "words": K.planes(words[w0:w1]), "per": K.planes(np.bincount(at[p0:p1] - w0).astype(np.uint32)), "who": K.planes(local.astype(np.uint32))})
                 row += b - a
                 yield pa.RecordBatch.from_pylist(rows, ARROW_SCORES)
+                if n_held >= GRAMS:
+                    yield later()
+                    flush, held_g, held_row, n_held = flush + 1, [], [], 0
+        if n_held:
+            yield later()
 
     scored = C.materialise(slim.select("doc_id", "text", "held_out").mapInArrow(score_texts, SCORES), "scores")
 
@@ -342,16 +404,42 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
 
     words = scored.filter("kind = 1").select("part", "ids", "words", "per", "who")
     looked = words.groupBy("part").cogroup(vocabulary.select("part", "words", "counts").groupBy("part")).applyInArrow(look_up, "row long, more_known long, more_base double")
+    parted = contexts.filter(F.col("level") > WHOLE).select(F.col("bucket").alias("part"), "level", "grams", "counts")
+
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Per run of held symbols: the documents' rows and the sums of what was coded here."""
+        if not left.num_rows:
+            return pa.table({"flush": pa.array([], pa.int64()), "rows": pa.array([], pa.binary()), "sums": pa.array([], pa.binary())})
+        level, blobs = right.column("level").to_pylist(), list(zip(right.column("grams").to_pylist(), right.column("counts").to_pylist(), strict=True))
+        model = Trie([*(short.value[k] for k in range(WHOLE + 1)), *(level_edges([b for x, b in zip(level, blobs, strict=True) if x == k]) for k in range(WHOLE + 1, order + 1))])
+        out = []
+        for ids, g, who in zip(left.column("ids").to_pylist(), left.column("words"), left.column("who"), strict=True):
+            who, g = K.unplanes(who.as_buffer(), np.int64), K.unplanes(g.as_buffer(), np.uint64)
+            p = np.concatenate([model.log10(g[a : a + 250_000]) for a in range(0, len(g), 250_000)])
+            doc, first = np.unique(who, return_index=True)  # rows are in order
+            out.append((ids[0], K.planes(doc), K.planes(np.add.reduceat(p, first))))
+        return pa.table({"flush": pa.array([x[0] for x in out], pa.int64()), "rows": [x[1] for x in out], "sums": [x[2] for x in out]})
+
+    def add_coded(t: pa.Table) -> pa.Table:
+        doc = np.concatenate([K.unplanes(x.as_buffer(), np.int64) for x in t.column("rows")])
+        p = np.concatenate([K.unplanes(x.as_buffer(), np.float64) for x in t.column("sums")])
+        doc, at = np.unique(doc, return_inverse=True)
+        return pa.table({"row": doc, "more_score": np.bincount(at, p, len(doc))})
+
+    rest = scored.filter("kind = 2").select("part", "ids", "words", "who")
+    coded = rest.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(code, "flush long, rows binary, sums binary")
+    coded = coded.groupBy("flush").applyInArrow(add_coded, "row long, more_score double")
+    coded = coded.groupBy("row").agg(F.sum("more_score").alias("more_score"))  # a document in two flushes of a task
     looked = looked.groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
     own = scored.filter("kind = 0").select(F.explode(F.arrays_zip("ids", "docs", "held", "tokens", "known", "base", "score")).alias("r"))
-    return own.withColumn("row", F.col("r.ids")).join(looked, "row", "left").select(
+    return own.withColumn("row", F.col("r.ids")).join(looked, "row", "left").join(coded, "row", "left").select(
         F.col("r.docs").alias("doc_id"),
         F.col("r.held").alias("held_out"),
         F.col("r.tokens").alias("n_tokens"),
         (F.col("r.known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("r.base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        F.col("r.score").alias("score"),
+        (F.col("r.score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -112,6 +113,39 @@ def test_ppm_probabilities_sum_to_one(docs):
         assert p.sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_ppm_scores_by_all_contexts(docs, rows):
+    """However little is broadcast, every context that training has seen counts."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    seen = collections.defaultdict(collections.Counter)
+
+    def symbols(t):
+        x = b"\xff" * 5 + t.encode() + b"\xfe"
+        return [(x[i - 5 : i], x[i]) for i in range(5, len(x))]
+
+    for i, t in rows:
+        if not held(i):
+            for context, c in symbols(t):
+                for k in range(6):
+                    seen[context[5 - k :]][c] += 1
+
+    def log10(context, c):
+        out, gone = 0.0, set()
+        for k in range(5, -1, -1):
+            own = {s: n for s, n in seen.get(context[5 - k :], {}).items() if s not in gone}
+            if own:
+                total = sum(own.values()) + len(own)
+                if c in own:
+                    return out + math.log10(own[c] / total)
+                out += math.log10(len(own) / total)
+            gone |= own.keys()
+        return out - math.log10(max(1, 255 - len(gone)))
+
+    want = sorted((str(i), sum(log10(*x) for x in symbols(t))) for i, t in rows)
+    for share in (100, ppm.SHARE):
+        got = sorted((str(r.doc_id), r.score) for r in ppm.score(docs, share=share).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
