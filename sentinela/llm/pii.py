@@ -9,6 +9,10 @@ ending. A surrogate is a keyed hash of the entity alone, so one entity has one s
 themselves an entity of the corpus; the losers draw again until all are distinct. Only these few exceptions have
 to be joined to the documents; all others are replaced by an expression in the scan.
 
+Names are found by the list of given names (everywhere), and as capitalised words after one of these or a form of
+address: the next word and up to two more, past initials and particles. What is found so is also replaced where it
+stands alone in the same text. Names that neither rule meets stay.
+
 Defined results: null text stays null with no entities; repeated rows get equal results; other columns pass
 through untouched, whatever their names; an empty table gives no rows.
 """
@@ -33,6 +37,22 @@ TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "
 SYLLABLES = {"latin": ["bar", "cor", "dan", "fel", "gar", "hol", "jan", "kel", "lin", "mar", "nor", "pel", "ran", "sol", "tam", "ver"], "cyrillic": ["бар", "вол", "гор", "дан", "кол", "лом", "мар", "нов", "пет", "рад", "сол", "тар"], "greek": ["βαρ", "γαλ", "δαν", "κορ", "λιν", "μαρ", "νικ", "παλ", "σολ", "ταν"]}
 _ANY = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join(TITLES)
+#: A name, without a final 's; what stands before one; small words inside names.
+_WORD = r"\p{Lu}(?:\p{L}+|(?=['’]\p{Lu}))(?:['’-]\p{L}{2,})*"
+_LEAD = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?|(?:{_ANY}))\s"
+_PARTICLE = "(?:de|da|do|dos|das|del|di|du|la|le|van|von|der|den|zu|y|e)"
+_BETWEEN = rf"(?:\p{{Lu}}[\p{{L}}'’-]{{0,24}}\.?|{_PARTICLE})\s"
+#: Phone numbers: grouped, international, with a trunk 0 (not a date), and the short-grouped national forms of several countries.
+PHONES = [
+    r"\+[0-9](?:[ .()/-]{0,2}[0-9]){7,14}",
+    r"00[1-9][0-9]{0,2}[ .(/-](?:[ .()/-]{0,2}[0-9]){7,12}",
+    r"(?!0[1-9][./-][0-9]{2}[./-][0-9]{4}(?![0-9]))\(?0[1-9](?:[ .()/-]{0,2}[0-9]){7,9}",
+    r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}",
+    r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}",
+    r"[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}",
+    r"\(?[1-9][0-9]\)? ?9?[0-9]{4}-[0-9]{4}",
+    r"8[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -][0-9]{2}[ -][0-9]{2}",
+]
 #: Kinds in order of precedence, with their patterns.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -41,10 +61,10 @@ KINDS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9\w])\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9\w])\+[0-9]{8,14}(?![0-9])",
-    "given": rf"(?=\p{{Lu}})(?:{_ANY})\b(?= \p{{Lu}}\p{{L}})",
-    "surname": rf"(?=\p{{Lu}})(?<=\b(?:{_TITLE})\.?\s|\b(?:{_ANY})\s)\p{{Lu}}[\p{{L}}'-]+",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])",
+    "phone": "|".join(rf"(?<![0-9\w])(?<![0-9][.,/-]){p}(?![0-9])" for p in PHONES),
+    "given": rf"(?=\p{{Lu}})(?:{_ANY})(?!\p{{L}})",
+    "surname": rf"(?=\p{{Lu}})(?<=[\p{{L}}.]\s)(?:(?<={_LEAD})|(?<={_BETWEEN})(?<={_LEAD}{_BETWEEN}(?:{_BETWEEN})?(?:{_BETWEEN})?)){_WORD}",
 }
 #: All kinds start where no letter or digit stands before.
 PATTERN = r"(?<![\p{L}0-9])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
@@ -54,11 +74,27 @@ NAMES = rf"(?<!\p{{L}})(?=\p{{Lu}}|г)(?:{_TITLE}|{_ANY})(?!\p{{L}})"
 DRAWS = 32
 
 
-def entities(text: Column) -> Column:
+def entities(text: Column, names: Column | None = None) -> Column:
+    """The entities of a text in order; with ``names`` also where these stand alone."""
+    if names is not None:
+        return F.regexp_extract_all(text, pattern(names), F.lit(0))
     hint = text.rlike(MARKS) | text.rlike(NAMES)
     return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def names_of(found: Column) -> Column:
+    """The names among a text's entities that are not in the list, longest first."""
+    listed = "|".join(f"^{n}$" for names in GIVEN.values() for n in names)
+    own = F.array_distinct(F.filter(found, lambda e: e.rlike(rf"^{_WORD}$") & ~e.rlike(listed)))
+    return F.reverse(F.transform(F.array_sort(F.transform(own, lambda e: F.struct(F.length(e).alias("n"), e.alias("e")))), lambda x: x["e"]))
+
+
+def pattern(names: Column) -> Column:
+    """``PATTERN``, and names wherever they stand."""
+    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}0-9])(?=\p{Lu})(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}0-9])"))
+    return F.when(F.size(names) > 0, alone).otherwise(F.lit(PATTERN))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a matched value, told from its form alone."""
     names = "|".join(f"^{n}$" for names in GIVEN.values() for n in names)
@@ -67,11 +103,11 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$"), "access_key")
         .when(value.rlike(rf"^(?:{KINDS['ip'].replace('(?<![0-9.])', '').replace('(?!\\.?[0-9])', '')})$"), "ip")
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}$"), "national_id")
-        .when(value.rlike(r"^(?:[0-9]{4}[ -]?){3}[0-9]{1,7}$"), "card")
+        .when(value.rlike(r"^(?:[0-9]{4}[ -]?){3}[0-9]{1,7}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}$"), "card")
         .when(value.rlike(r"^[A-Z]{2}[0-9]{2}[ 0-9A-Z]{12,}$"), "iban")
-        .when(value.rlike(r"^[+(]?[0-9 .()-]+$") & value.rlike("[ .()+-]"), "phone")
+        .when(value.rlike(r"^[+(]?[0-9 .()/-]+$") & value.rlike("[ .()/+-]|^0[1-9][0-9]{7,9}$"), "phone")
         .when(value.rlike(names), "given")
-        .when(value.rlike(r"^\p{Lu}\p{L}[\p{L}'-]*$") & ~value.rlike("[0-9]"), "surname")
+        .when(value.rlike(rf"^{_WORD}$|^\p{{Lu}}\p{{L}}[\p{{L}}'-]*$"), "surname")
         .otherwise("secret")
     )
 
@@ -184,17 +220,18 @@ def exceptions(found: DataFrame, key: str) -> DataFrame | None:
     raise ValueError(f"no distinct surrogate after {DRAWS} draws: the format of some entities leaves too few values")
 
 
-def replace(text: Column, found: Column, key: str, draws: Column | None = None) -> Column:
+def replace(text: Column, found: Column, names: Column, key: str, draws: Column | None = None) -> Column:
     """The text with its entities (``found``, in order) replaced; ``draws``: entity to draw of the exceptions."""
     one = lambda e: surrogate(e, key, None if draws is None else F.coalesce(F.try_element_at(draws, e), F.lit(0)))
     new = F.concat(F.transform(found, one), F.array(F.lit("")))
-    woven = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    woven = F.array_join(F.zip_with(F.split(text, pattern(names), -1), new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     return F.when(F.size(found) > 0, woven).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text replaced, and the number of entities added as _n_entities (long)."""
-    seen = docs.withColumn("_found", entities(F.col(text)))
+    seen = docs.withColumn("_first", entities(F.col(text))).withColumn("_names", names_of(F.col("_first")))
+    seen = seen.withColumn("_found", F.when(F.size("_names") > 0, entities(F.col(text), F.col("_names"))).otherwise(F.col("_first"))).drop("_first")
     late = exceptions(seen.select(F.explode("_found").alias("entity")), key)
     draws = None
     if late is not None:
@@ -207,4 +244,4 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         seen = seen.withColumn("_ident", ident).join(touched, "_ident", "left")
         draws = F.coalesce(F.col("_draws"), F.from_json(F.lit("{}"), "map<string,int>"))
     n = F.coalesce(F.size("_found"), F.lit(0)).cast("long")
-    return seen.withColumn("_n_entities", F.greatest(n, F.lit(0))).withColumn(text, replace(F.col(text), F.col("_found"), key, draws)).drop("_found", "_ident", "_draws")
+    return seen.withColumn("_n_entities", F.greatest(n, F.lit(0))).withColumn(text, replace(F.col(text), F.col("_found"), F.col("_names"), key, draws)).drop("_found", "_names", "_ident", "_draws")

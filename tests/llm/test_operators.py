@@ -258,6 +258,22 @@ def test_pii(spark):
     assert sum(d if k % 2 else (2 * d if 2 * d < 10 else 2 * d - 9) for k, d in enumerate(digits)) % 10 == 0
 
 
+def test_pii_forms_and_bare_names(spark):
+    numbers = ["06 12 34 56 78", "0612345678", "+33 6 12 34 56 78", "+49 30 1234567", "030 12345678", "+34 912 34 56 78", "912 34 56 78", "(377)555-0271", "3782 822463 10005", "(11) 91234-5678", "8 (495) 123-45-67"]
+    plain = ["on 01.02.2024 10:30", "on 2024-01-02 at 10.15", "in 1999, 3.14159265 of 12 000", "The Old House", "Dear Sir"]
+    names = ["Mr. John Smith came; Smith's hat. John left", "Alice said", "Herr von Berg und Berg", "г-н Иван Петров, Петров", "Dr. J. R. O'Neil and O'Neil"]
+    df = spark.createDataFrame([(i, f"call {t} now") for i, t in enumerate(numbers + plain + names)], "doc_id long, text string")
+    got = [r.text for r in sorted(pii.pseudonymise(df, "k").collect(), key=lambda r: r.doc_id)]
+    for old, new in zip(numbers, got, strict=False):
+        assert old not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {old} now")
+    assert got[len(numbers) : len(numbers) + len(plain)] == [f"call {t} now" for t in plain]
+    john, alice, berg, ivan, neil = got[-5:]
+    assert not any(re.search(n, t) for n, t in (("John|Smith", john), ("Alice", alice), ("Berg", berg), ("Иван|Петров", ivan), ("Neil", neil)))
+    first, last = re.findall(r"Mr\. (\w+) (\w+) came", john)[0]
+    assert john == f"call Mr. {first} {last} came; {last}'s hat. {first} left now"
+    assert len(set(re.findall(r"von (\w+) und (\w+)", berg)[0])) == 1
+
+
 def test_pii_stays_distinct(spark):
     df = spark.createDataFrame([(i, f"Mr. {chr(65 + i // 26)}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}xo") for i in range(600)], "doc_id long, text string")
     out = [r.text for r in pii.pseudonymise(df, "k").collect()]
