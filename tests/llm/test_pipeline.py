@@ -15,6 +15,12 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA)
 
 
+def test_mixing_takes_rows_with_null_or_clashing_ids(spark):
+    rows = [(None, "a b c", "s0"), (None, "d e f", "s0"), (1, "g h i", "s0"), (1, "j k", "s0"), (1, "j k", "s0")]
+    got = corpus_pipeline.mix_sources(spark, table(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t, _ in rows)
+
+
 def test_mixing_keeps_the_words_of_the_mix(spark):
     random.seed(5)
     sizes = {"s0": [4000, 3000, 20] * 2, "s1": [2500, 30, 30], "s2": [900, 9000, 5000, 40, 3000]}
