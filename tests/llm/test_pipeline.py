@@ -21,6 +21,19 @@ def test_mixing_takes_rows_with_null_or_clashing_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t, _ in rows)
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    words = [f"w{i}" for i in range(100)]
+    base, near_copy = " ".join(words), " ".join([*words[:-1], "x"])
+    other, third = " ".join(f"o{i}" for i in range(40)), " ".join(f"t{i}" for i in range(40))
+    rows = [(5, base), (5, base), (5, near_copy), (None, base), (9, near_copy), (None, other), (None, other), (3, third), (None, third), (8, "two words"), (8, "two words")]
+    rows += [(1, None), (2, ""), (2, " ")]
+    got = corpus_pipeline.drop_near_duplicates(spark, table(spark, [(i, t, "s0") for i, t in rows]), "").collect()
+    groups = {base: 0, near_copy: 0, other: 1, third: 2, "two words": 3}
+    kept = sorted((groups[r.text], str(r.doc_id)) for r in got if r.text in groups)
+    assert kept == [(0, "5"), (1, "None"), (2, "3"), (3, "8")]
+    assert sorted((r.doc_id, r.text) for r in got if r.text not in groups and r.text is not None) == [(2, ""), (2, " ")] and any(r.doc_id == 1 and r.text is None for r in got)
+
+
 def test_mixing_keeps_the_words_of_the_mix(spark):
     random.seed(5)
     sizes = {"s0": [4000, 3000, 20] * 2, "s1": [2500, 30, 30], "s2": [900, 9000, 5000, 40, 3000]}
