@@ -34,6 +34,28 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert sorted((r.doc_id, r.text) for r in got if r.text not in groups and r.text is not None) == [(2, ""), (2, " ")] and any(r.doc_id == 1 and r.text is None for r in got)
 
 
+def test_run_keeps_to_the_stages(spark, tmp_path):
+    """The whole run: all rows come out packed, and no stage but the mix repeats or drops what it should keep."""
+    random.seed(9)
+    lines = {"en": "the cat sat on the mat and looked at the dog", "de": "der hund lief durch den wald und sah die katze"}
+    rows = []
+    for i in range(80):
+        lang = "en" if i % 2 else "de"
+        words = lines[lang].split()
+        rows.append((i, " ".join(random.choice(words) + random.choice(["", "s", "en"]) for _ in range(30 if i else 3000)), lang, f"s{i % 4}", 0))
+    rows += [rows[1], (500, rows[2][1], "de", "s0", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    named = corpus_pipeline.identify_language(spark, docs, "")
+    assert named.columns == docs.columns and {r.doc_id: r.lang for r in named.collect()}.items() <= {r[0]: r[2] for r in rows}.items()
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in single) == list(range(80))
+    hidden = corpus_pipeline.replace_personal_data(spark, table(spark, [(1, "mail a@b.com", "s0"), (None, None, "s0")]), "").collect()
+    assert all("a@b.com" not in (r.text or "") for r in hidden) and len(hidden) == 2
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert packed
+
+
 def test_mixing_keeps_the_words_of_the_mix(spark):
     random.seed(5)
     sizes = {"s0": [4000, 3000, 20] * 2, "s1": [2500, 30, 30], "s2": [900, 9000, 5000, 40, 3000]}
