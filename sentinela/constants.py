@@ -18,6 +18,7 @@ RECENT_DAYS = 6 * 30.44
 MANY_COMPANIES = 3
 GROWTH = 5
 GROWTH_LEAST_ONLINE = 200_000
+NEIGHBOURS_ONLINE = 2
 # Alerts.
 VERY_GRAVE, GRAVE = "GRAVISSIMO", "GRAVE"
 SEVERITY = {
@@ -26,7 +27,7 @@ SEVERITY = {
     "DOACAO_PARA_CONTRATANTE": GRAVE,
     "SOCIO_SANCIONADO_EM_OUTRA": GRAVE,
     "RODIZIO_LICITACAO": VERY_GRAVE,
-    "TESTA_DE_FERRO": VERY_GRAVE,
+    "EMPRESA_DE_FACHADA": VERY_GRAVE,
 }
 MATERIAL_DONATION = 10_000
 CONTRACTS_FOR_DONATION = 500_000

@@ -48,14 +48,24 @@ def servant_partner(suppliers, partners):
 
 def sanctioned_contracting(suppliers, contracts, sanctions, ref_date, inclusive: bool = False):
     live = sanctions.filter(core.active(F.col("data_fim"), ref_date, inclusive)).groupBy("fk_fornecedor").agg(F.count("*").alias("s"))
-    busy = contracts.groupBy("fk_fornecedor").agg(F.count("*").alias("c"))
+    busy = core.per_supplier(contracts).select("fk_fornecedor", F.col("n_contratos").alias("c"))
     hit = _known(live.join(busy, "fk_fornecedor"), suppliers)
     return _fact(hit, "EMPRESA_SANCIONADA_CONTRATANDO", _text("Empresa com ", F.col("s"), " sancao(oes) vigente(s) e ", F.col("c"), " contrato(s) ativo(s)"), _text("sancoes_vigentes=", F.col("s"), ", qtd_contratos=", F.col("c")))
 
 
-def donor_contractor(suppliers, contracts, donations):
+def through_partners(donations, bridge):
+    """pk_doacao, fk_fornecedor, valor: the donations of suppliers and of their partners (fk_socio), each once a supplier.
+    ``bridge``: fk_fornecedor, fk_socio."""
+    own = donations.filter("fk_fornecedor is not null").select("pk_doacao", "fk_fornecedor", "valor")
+    by_partner = donations.filter("fk_socio is not null").select("pk_doacao", "fk_socio", "valor").join(bridge.select("fk_fornecedor", "fk_socio").distinct(), "fk_socio")
+    return own.unionByName(by_partner.select(*own.columns)).dropDuplicates(["pk_doacao", "fk_fornecedor"])
+
+
+def donor_contractor(suppliers, contracts, donations, bridge=None):
+    """With ``bridge`` (online) donations of a supplier's partners count as its own."""
+    donations = donations if bridge is None else through_partners(donations, bridge)
     gave = donations.filter(F.col("valor") > K.MATERIAL_DONATION).groupBy("fk_fornecedor").agg(F.count("*").alias("d"))
-    total = contracts.groupBy("fk_fornecedor").agg(F.sum("valor").alias("t")).filter(F.col("t") > K.CONTRACTS_FOR_DONATION)
+    total = core.per_supplier(contracts).select("fk_fornecedor", F.col("total").alias("t")).filter(F.col("t") > K.CONTRACTS_FOR_DONATION)
     hit = _known(gave.join(total, "fk_fornecedor"), suppliers)
     return _fact(hit, "DOACAO_PARA_CONTRATANTE", _text(F.col("d"), " doacao(oes) material(is) com contratos totalizando R$", fn.money(F.col("t"))), _text("doacoes_materiais=", F.col("d"), ", valor_total_contratos=", F.col("t")))
 
@@ -71,39 +81,42 @@ def sanctioned_partner(suppliers, partners):
     return _fact(hit, "SOCIO_SANCIONADO_EM_OUTRA", F.concat(F.lit("Socio "), name, what), F.concat(_hash_prefix(hit), _text("nome=", name), more), _partner_key(hit))
 
 
-def bid_rotation(suppliers, partners, contracts):
-    """Companies that share a partner's name and at least three bids with another; starts from the bids, so that a
-    frequent name makes no pairs of companies that never met in a bid."""
+def shared_bids(suppliers, partners, contracts):
+    """num_licitacao, a, b: pairs of companies with a partner's name in common that met in a bid. Joined on bid and name,
+    so neither a large bid nor a frequent name makes pairs of companies that have the other not in common."""
     bids = contracts.filter("num_licitacao is not null").select("fk_fornecedor", "num_licitacao").distinct()
-    a, b = bids.withColumnRenamed("fk_fornecedor", "a"), bids.withColumnRenamed("fk_fornecedor", "b")
-    met = a.join(b, "num_licitacao").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= K.SHARED_BIDS)
     who = _of_companies(partners, suppliers).select("fk_fornecedor", "nome_socio").filter("nome_socio is not null").distinct()
-    names = who.groupBy("fk_fornecedor").agg(F.collect_list("nome_socio").alias("names"))
-    side = lambda x: names.select(F.col("fk_fornecedor").alias(x), F.col("names").alias(f"n{x}"))
-    hit = met.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("na", "nb"))
+    met = bids.join(who, "fk_fornecedor")
+    a, b = met.withColumnRenamed("fk_fornecedor", "a"), met.withColumnRenamed("fk_fornecedor", "b")
+    return a.join(b, ["num_licitacao", "nome_socio"]).filter("a < b").select("num_licitacao", "a", "b").distinct()
+
+
+def bid_rotation(suppliers, partners, contracts):
+    """Companies that share a partner's name and at least three bids with another."""
+    hit = shared_bids(suppliers, partners, contracts).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= K.SHARED_BIDS)
     each = hit.select(F.explode(F.array("a", "b")).alias("fk_fornecedor"), "n").groupBy("fk_fornecedor").agg(F.max("n").alias("n"))
     return _fact(each, "RODIZIO_LICITACAO", F.lit("Empresa participa de licitacoes com outra empresa que compartilha socios"), _text("max_licitacoes_comuns_com_par=", F.col("n")))
 
 
 def front_company(suppliers, partners, contracts):
-    buyer = "codigo_orgao" if "codigo_orgao" in contracts.columns else "fk_orgao"
-    per = contracts.groupBy("fk_fornecedor").agg(F.min(buyer).alias("_lo"), F.max(buyer).alias("_hi"), F.count("*").alias("_n"), F.count(buyer).alias("_k"), F.min("data_assinatura").alias("first"))
-    per = per.filter((F.col("_lo") == F.col("_hi")) & (F.col("_n") == F.col("_k")))
+    per = core.per_supplier(contracts).filter("buyer_least = buyer_most and n_known_buyers = n_contratos").select("fk_fornecedor", "first")
     poor = suppliers.filter(F.col("capital_social") < K.LOW_CAPITAL).withColumnRenamed("pk_fornecedor", "fk_fornecedor")
     hit = poor.join(per, "fk_fornecedor").filter(F.datediff("first", "data_abertura") < K.FRONT_DAYS)
     odd = partners.filter(F.col("is_servidor_publico") | (F.col("qtd_empresas_governo") >= K.MANY_COMPANIES)).select(fn.zfill(F.col("cnpj_basico"), 8).alias("_root"))
     hit = hit.withColumn("_root", fn.zfill(F.col("cnpj_basico"), 8)).join(odd, "_root", "left_semi")
-    text = "Empresa apresenta perfil composite de testa-de-ferro: capital baixo, entrada rapida em licitacoes, fornecedor exclusivo e socio suspeito"
-    return _fact(hit, "TESTA_DE_FERRO", F.lit(text), _text("capital_social=", F.col("capital_social"), ", data_abertura=", F.col("data_abertura"), ", primeiro_contrato=", F.col("first")))
+    text = "Empresa apresenta perfil composto de empresa de fachada: capital baixo, entrada rapida em licitacoes, fornecedor exclusivo e socio suspeito"
+    return _fact(hit, "EMPRESA_DE_FACHADA", F.lit(text), _text("capital_social=", F.col("capital_social"), ", data_abertura=", F.col("data_abertura"), ", primeiro_contrato=", F.col("first")))
 
 
-def all_alerts(suppliers, partners, contracts, sanctions, donations, ref_date) -> DataFrame:
+def all_alerts(suppliers, partners, contracts, sanctions, donations, ref_date, per=None) -> DataFrame:
+    """``per``: ``core.per_supplier(contracts)``, if it has been written already."""
+    per = core.per_supplier(contracts) if per is None else per
     parts = [
         servant_partner(suppliers, partners),
-        sanctioned_contracting(suppliers, contracts, sanctions, ref_date),
-        donor_contractor(suppliers, contracts, donations),
+        sanctioned_contracting(suppliers, per, sanctions, ref_date),
+        donor_contractor(suppliers, per, donations),
         sanctioned_partner(suppliers, partners),
         bid_rotation(suppliers, partners, contracts),
-        front_company(suppliers, partners, contracts),
+        front_company(suppliers, partners, per),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
+from sentinela import durable
 from sentinela import functions as fn
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by ``order``; null keys are equal to each other."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The first row of each key by ``order`` (column names, nulls first), summed up before the shuffle; null keys are
+    equal to each other."""
+    one = F.min_by(F.struct(*(f"`{c}`" for c in df.columns)), F.struct(*order)).alias("_r")
+    return df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(one).select("_r.*")
 
 
 def keep_most(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -24,11 +27,15 @@ def keep_most(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """1..n in the order of ``order``: sort by range, count per partition, add the offsets."""
+    """1..n in the order of ``order``: sort by range, count per partition, add the offsets.
+
+    The sorted rows are written first, so that numbers and counts are of the same partitions.
+    """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_first"))
+    ranged = durable.materialise(ranged, "numbered")
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_first"))  # a row per partition
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return ranged.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_m") - F.col("_first") + F.col("_o") + 1).cast("long")).drop("_p", "_m", "_o", "_first")
+    return ranged.join(offsets, "_p").withColumn(name, (F.col("_m") - F.col("_first") + F.col("_o") + 1).cast("long")).drop("_p", "_m", "_o", "_first")
 
 
 def merge_first(frames: list[DataFrame], keys: list[str], order: list) -> DataFrame:
@@ -68,11 +75,13 @@ def resolve_donations(donations, suppliers):
 
 
 def match_servants(partners: DataFrame, servants: DataFrame) -> DataFrame:
-    """Add is_servidor_publico and orgao_lotacao by name and visible digits; one servant per key."""
-    right = servants.filter(F.col("digitos_visiveis").isNotNull()).groupBy(fn.strip(F.col("nome")).alias("_name"), F.col("digitos_visiveis").alias("_digits")).agg(F.min("orgao_lotacao").alias("orgao_lotacao"))
+    """Add is_servidor_publico and orgao_lotacao by name and visible digits; one servant per key. A servant whose
+    agency is unknown is one too."""
+    right = servants.filter(F.col("digitos_visiveis").isNotNull()).groupBy(fn.strip(F.col("nome")).alias("_name"), F.col("digitos_visiveis").alias("_digits"))
+    right = right.agg(F.min("orgao_lotacao").alias("orgao_lotacao"), F.lit(True).alias("is_servidor_publico"))
     left = partners.drop("is_servidor_publico", "orgao_lotacao").withColumn("_name", fn.strip(F.col("nome_socio"))).withColumn("_digits", fn.visible_digits(F.col("cpf_parcial")))
     out = left.join(right, ["_name", "_digits"], "left")
-    return out.withColumn("is_servidor_publico", F.col("orgao_lotacao").isNotNull()).drop("_name", "_digits")
+    return out.withColumn("is_servidor_publico", F.coalesce("is_servidor_publico", F.lit(False))).drop("_name", "_digits")
 
 
 def hash_column(df: DataFrame, column: str, key: str, out: str) -> DataFrame:
@@ -87,18 +96,35 @@ def active(end: Column, ref_date, inclusive: bool = False) -> Column:
 
 
 def enrich_partners(partners: DataFrame, suppliers: DataFrame, sanctions: DataFrame, ref_date) -> DataFrame:
-    """Add is_sancionado (the row's own company root has an active sanction) and qtd_empresas_governo (companies
+    """Add is_sancionado (the row's own company root has an active sanction) with sancionado_cnpj_basico and
+    sancionado_razao_social (the least name in the sanctions, if they have any), and qtd_empresas_governo (companies
     among the suppliers that have a partner of this name)."""
-    bad = sanctions.filter(active(F.col("data_fim"), ref_date)).select(fn.zfill(F.col("cnpj_basico"), 8).alias("_root")).filter("_root is not null").distinct().withColumn("is_sancionado", F.lit(True))
+    name = F.min("razao_social") if "razao_social" in sanctions.columns else F.lit(None).cast("string")
+    bad = sanctions.filter(active(F.col("data_fim"), ref_date)).withColumn("_root", fn.zfill(F.col("cnpj_basico"), 8)).filter("_root is not null")
+    bad = bad.groupBy("_root").agg(name.alias("sancionado_razao_social")).withColumn("sancionado_cnpj_basico", F.col("_root"))
     known = suppliers.select(fn.zfill(F.col("cnpj_basico"), 8).alias("_root")).distinct()
-    rooted = partners.drop("is_sancionado", "qtd_empresas_governo").withColumn("_root", fn.zfill(F.col("cnpj_basico"), 8))
+    rooted = partners.drop("is_sancionado", "qtd_empresas_governo", "sancionado_cnpj_basico", "sancionado_razao_social").withColumn("_root", fn.zfill(F.col("cnpj_basico"), 8))
     count = rooted.join(known, "_root", "left_semi").groupBy("nome_socio").agg(F.countDistinct("_root").alias("qtd_empresas_governo"))
     out = rooted.join(bad, "_root", "left").join(count, "nome_socio", "left").drop("_root")
-    return out.withColumns({"is_sancionado": F.coalesce("is_sancionado", F.lit(False)), "qtd_empresas_governo": F.coalesce("qtd_empresas_governo", F.lit(0)).cast("long")})
+    return out.withColumns({"is_sancionado": F.col("sancionado_cnpj_basico").isNotNull(), "qtd_empresas_governo": F.coalesce("qtd_empresas_governo", F.lit(0)).cast("long")})
+
+
+def per_supplier(contracts: DataFrame) -> DataFrame:
+    """What the rules want to know of a supplier's contracts, a row each, in one aggregation: n_contratos, total, first,
+    buyer_least, buyer_most, n_known_buyers (by codigo_orgao, or else fk_orgao) and, so that this may be given in place
+    of the contracts, itself unchanged."""
+    if "n_known_buyers" in contracts.columns:
+        return contracts
+    buyer = "codigo_orgao" if "codigo_orgao" in contracts.columns else "fk_orgao"
+    total = F.sum("valor") if "valor" in contracts.columns else F.lit(None).cast("decimal(28,2)")
+    known = [F.lit(None).alias("buyer_least"), F.lit(None).alias("buyer_most"), F.lit(0).cast("long").alias("n_known_buyers")] if buyer not in contracts.columns else [F.min(buyer).alias("buyer_least"), F.max(buyer).alias("buyer_most"), F.count(buyer).alias("n_known_buyers")]
+    first = F.min("data_assinatura") if "data_assinatura" in contracts.columns else F.lit(None).cast("date")
+    return contracts.groupBy("fk_fornecedor").agg(F.count("*").alias("n_contratos"), total.alias("total"), first.alias("first"), *known)
 
 
 def same_address(suppliers: DataFrame) -> DataFrame:
-    """cnpj_a, cnpj_b, endereco_compartilhado: pairs at one street and number."""
+    """cnpj_a, cnpj_b, endereco_compartilhado: all pairs at one street and number, which is what is asked for here; the
+    rules and the graph use ``score.shared_address``, which makes no pairs."""
     keyed = suppliers.select("cnpj", fn.address_key(F.col("logradouro")).alias("endereco_compartilhado")).filter("endereco_compartilhado is not null").distinct()
     a, b = keyed.withColumnRenamed("cnpj", "cnpj_a"), keyed.withColumnRenamed("cnpj", "cnpj_b")
     return a.join(b, "endereco_compartilhado").filter("cnpj_a < cnpj_b").select("cnpj_a", "cnpj_b", "endereco_compartilhado")
@@ -110,7 +136,7 @@ def denormalise(suppliers: DataFrame, scores: DataFrame, alerts: DataFrame, cont
     score = scores.groupBy("fk_fornecedor").agg(F.sum("peso").alias("score_risco"))
     rank = F.when(F.col("severidade") == K.VERY_GRAVE, 2).when(F.col("severidade") == K.GRAVE, 1).otherwise(0)
     alert = alerts.groupBy("fk_fornecedor").agg(F.count("*").alias("qtd_alertas"), F.max(rank).alias("_rank"))
-    contract = contracts.groupBy("fk_fornecedor").agg(F.count("*").alias("total_contratos"), F.sum("valor").alias("valor_total"))
+    contract = per_supplier(contracts).select("fk_fornecedor", F.col("n_contratos").alias("total_contratos"), F.col("total").alias("valor_total"))
     out = suppliers.drop(*derived)
     for right in (score, alert, contract):
         out = out.join(right.withColumnRenamed("fk_fornecedor", "pk_fornecedor"), "pk_fornecedor", "left")

@@ -50,3 +50,21 @@ def two_hops(bridge: DataFrame, start: DataFrame) -> DataFrame:
         level = level.join(a, "pk_fornecedor").select("fk_socio").distinct().join(b, "fk_socio").select(F.col("next").alias("pk_fornecedor")).distinct()
         found = found.unionByName(level.withColumn("nivel", F.lit(n)))
     return found.groupBy("pk_fornecedor").agg(F.min("nivel").alias("nivel"))
+
+
+def supplier_network(bridge: DataFrame, suppliers: DataFrame, partners: DataFrame, start: DataFrame, most_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, tipo, label, score, qtd_alertas) and edges (source, target, tipo, label) around ``start``: the companies
+    within two steps, then all their partners. ``most_nodes`` keeps the first nodes, companies before partners, by key."""
+    near = two_hops(bridge, start).select("pk_fornecedor")
+    extra = [F.col(c) if c in suppliers.columns else F.lit(None).cast("long") for c in ("score_risco", "qtd_alertas")]
+    own = suppliers.join(near, "pk_fornecedor", "left_semi")
+    companies = own.select(F.lit(0).alias("_o"), F.col("pk_fornecedor").alias("_k"), F.concat(F.lit("empresa_"), F.col("pk_fornecedor")).alias("id"), F.lit("empresa").alias("tipo"), F.col("razao_social").alias("label"), extra[0].cast("long").alias("score"), extra[1].cast("long").alias("qtd_alertas"))
+    links = bridge.join(own.select(F.col("pk_fornecedor").alias("fk_fornecedor")), "fk_fornecedor", "left_semi").select("fk_fornecedor", "fk_socio").distinct()
+    kind = F.col("qualificacao") if "qualificacao" in partners.columns else F.lit(None).cast("string")
+    who = links.join(partners.select(F.col("pk_socio").alias("fk_socio"), "nome_socio", kind.alias("qualificacao")), "fk_socio")
+    none = F.lit(None).cast("long")
+    people = who.groupBy("fk_socio").agg(F.min("nome_socio").alias("label")).select(F.lit(1).alias("_o"), F.col("fk_socio").alias("_k"), F.concat(F.lit("socio_"), F.col("fk_socio")).alias("id"), F.lit("socio").alias("tipo"), "label", none.alias("score"), none.alias("qtd_alertas"))
+    every = companies.unionByName(people)
+    every = (every if most_nodes is None else every.orderBy("_o", "_k").limit(most_nodes)).drop("_o", "_k")
+    edges_ = who.select(F.concat(F.lit("socio_"), F.col("fk_socio")).alias("source"), F.concat(F.lit("empresa_"), F.col("fk_fornecedor")).alias("target"), F.lit("socio_de").alias("tipo"), F.col("qualificacao").alias("label")).distinct()
+    return every, edges_

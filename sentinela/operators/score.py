@@ -25,7 +25,7 @@ def _known(df: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def low_capital(suppliers, contracts, variant: str = "batch"):
-    total = contracts.groupBy("fk_fornecedor").agg(F.sum("valor").alias("total"))
+    total = core.per_supplier(contracts).select("fk_fornecedor", "total")
     own = suppliers.filter(F.col("capital_social") < K.LOW_CAPITAL).select(F.col("pk_fornecedor").alias("fk_fornecedor"), F.col("capital_social").alias("capital"))
     enough = F.col("total") >= K.CONTRACTS_FOR_LOW_CAPITAL if variant == "online" else F.col("total") > K.CONTRACTS_FOR_LOW_CAPITAL
     hit = own.join(total.filter(enough), "fk_fornecedor")
@@ -33,15 +33,16 @@ def low_capital(suppliers, contracts, variant: str = "batch"):
 
 
 def recent_company(suppliers, contracts):
-    first = contracts.filter("data_assinatura is not null").groupBy("fk_fornecedor").agg(F.min("data_assinatura").alias("first"))
+    first = core.per_supplier(contracts).filter("first is not null").select("fk_fornecedor", "first")
     hit = suppliers.filter("data_abertura is not null").select(F.col("pk_fornecedor").alias("fk_fornecedor"), F.col("data_abertura").alias("opened")).join(first, "fk_fornecedor")
     hit = hit.withColumn("days", F.datediff("first", "opened")).filter(F.col("days") < K.RECENT_DAYS)
     o, f, d = F.col("opened"), F.col("first"), F.col("days")
     return _fact(hit, "EMPRESA_RECENTE", _text("Empresa aberta em ", o, " obteve primeiro contrato em ", f, " (", d, " dias depois)"), _text("data_abertura=", o, ", primeiro_contrato=", f, ", dias=", d))
 
 
-def past_sanction(suppliers, sanctions, ref_date):
-    over = sanctions.filter(~core.active(F.col("data_fim"), ref_date)).groupBy("fk_fornecedor").agg(F.count("*").alias("n"))
+def past_sanction(suppliers, sanctions, ref_date, variant: str = "batch"):
+    """Online a sanction still holds on its last day."""
+    over = sanctions.filter(~core.active(F.col("data_fim"), ref_date, variant == "online")).groupBy("fk_fornecedor").agg(F.count("*").alias("n"))
     return _fact(_known(over, suppliers), "SANCAO_HISTORICA", _text(F.col("n"), " sancao(oes) historica(s) expirada(s)"), _text("sancoes_expiradas=", F.col("n")))
 
 
@@ -53,17 +54,21 @@ def multi_company_partner(suppliers, partners):
     return _fact(hit, "SOCIO_EM_MULTIPLAS_FORNECEDORAS", _text(F.col("n"), " socio(s) presente(s) em 3+ empresas fornecedoras do governo"), _text("socios=[", pairs, "]"))
 
 
-def exclusive_buyer(suppliers, contracts, buyer: str = "fk_orgao"):
+def exclusive_buyer(suppliers, contracts):
     """All contracts with one known buyer; unknown buyers do not count as one."""
-    per = contracts.groupBy("fk_fornecedor").agg(F.min(buyer).alias("buyer"), F.max(buyer).alias("_max"), F.count("*").alias("n"), F.count(buyer).alias("_known"))
-    hit = _known(per.filter((F.col("buyer") == F.col("_max")) & (F.col("_known") == F.col("n"))), suppliers)
-    return _fact(hit, "FORNECEDOR_EXCLUSIVO", _text("Todos os ", F.col("n"), " contrato(s) sao com o mesmo orgao"), _text("orgao_codigo=", F.col("buyer"), ", qtd_contratos=", F.col("n")))
+    hit = _known(core.per_supplier(contracts).filter("buyer_least = buyer_most and n_known_buyers = n_contratos"), suppliers)
+    n = F.col("n_contratos")
+    return _fact(hit, "FORNECEDOR_EXCLUSIVO", _text("Todos os ", n, " contrato(s) sao com o mesmo orgao"), _text("orgao_codigo=", F.col("buyer_least"), ", qtd_contratos=", n))
 
 
-def incompatible_activity(suppliers, contracts):
-    spark = suppliers.sparkSession
+def _incompatible(spark):
+    """cnae_principal, kind, objeto_categoria: what should not be contracted with an activity; a fixed table."""
     rows = [(code, kind, bad) for kind, codes in K.ACTIVITY_CODES.items() for code in codes for bad in K.INCOMPATIBLE[kind]]
-    lookup = F.broadcast(spark.createDataFrame(rows, "cnae_principal string, kind string, objeto_categoria string"))  # a fixed table
+    return F.broadcast(spark.createDataFrame(rows, "cnae_principal string, kind string, objeto_categoria string"))
+
+
+def incompatible_activity(suppliers, contracts):
+    lookup = _incompatible(suppliers.sparkSession)
     own = suppliers.filter("cnae_principal is not null").select(F.col("pk_fornecedor").alias("fk_fornecedor"), "cnae_principal")
     pairs = contracts.filter("objeto_categoria is not null").select("fk_fornecedor", "objeto_categoria").distinct()
     hit = pairs.join(own, "fk_fornecedor").join(lookup, ["cnae_principal", "objeto_categoria"])
@@ -72,6 +77,27 @@ def incompatible_activity(suppliers, contracts):
     return _fact(hit, "CNAE_INCOMPATIVEL", _text("CNAE ", c, " (", k, ") incompativel com objeto contratado (", b, ")"), _text("cnae=", c, ", categoria_cnae=", k, ", objeto_categoria=", b))
 
 
+def incompatible_activity_online(suppliers, contracts):
+    """Online the category is inferred from the contract's object, and the first incompatible contract (by day, then
+    key) is named; activity codes match with or without punctuation."""
+    plain = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    lookup = F.broadcast(_incompatible(suppliers.sparkSession).withColumn("_code", plain(F.col("cnae_principal"))).drop("cnae_principal"))
+    own = suppliers.filter("cnae_principal is not null").select(F.col("pk_fornecedor").alias("fk_fornecedor"), "cnae_principal", plain(F.col("cnae_principal")).alias("_code"))
+    kinds = contracts.select("fk_fornecedor", "data_assinatura", "pk_contrato", fn.object_category(F.col("objeto")).alias("objeto_categoria")).filter("objeto_categoria is not null")
+    first = kinds.groupBy("fk_fornecedor", "objeto_categoria").agg(F.min(F.struct(F.col("data_assinatura").isNull(), "data_assinatura", "pk_contrato")).alias("_at"))
+    hit = first.join(own, "fk_fornecedor").join(lookup, ["_code", "objeto_categoria"])
+    hit = hit.groupBy("fk_fornecedor", "cnae_principal", "kind").agg(F.min_by("objeto_categoria", "_at").alias("bad"))
+    c, k, b = F.col("cnae_principal"), F.col("kind"), F.col("bad")
+    return _fact(hit, "CNAE_INCOMPATIVEL", _text("CNAE ", c, " (", k, ") incompativel com objeto contratado (", b, ")"), _text("cnae=", c, ", categoria_cnae=", k, ", objeto_categoria=", b))
+
+
+def neighbours(suppliers):
+    """Online: at least two other suppliers with the same text as address."""
+    several = suppliers.filter("logradouro is not null").groupBy("logradouro").agg((F.count("*") - 1).alias("n")).filter(F.col("n") >= K.NEIGHBOURS_ONLINE)
+    hit = suppliers.select(F.col("pk_fornecedor").alias("fk_fornecedor"), "logradouro").join(several, "logradouro")
+    return _fact(hit, "MESMO_ENDERECO", _text("Compartilha endereco com ", F.col("n"), " outro(s) fornecedor(es) do governo"), _text("qtd_mesmo_endereco=", F.col("n")))
+
+
 def shared_address(suppliers):
     """One row per supplier that shares its address, naming the least other one. No pairs are made: the least and
     the second least of an address are enough."""
@@ -106,21 +132,24 @@ def sudden_growth(suppliers, contracts, variant: str = "batch"):
 
 def no_employees(suppliers, contracts):
     none = suppliers.filter("qtd_funcionarios = 0").select(F.col("pk_fornecedor").alias("fk_fornecedor"))
-    hit = none.join(contracts.select("fk_fornecedor"), "fk_fornecedor", "left_semi")
+    hit = none.join(core.per_supplier(contracts).select("fk_fornecedor"), "fk_fornecedor", "left_semi")
     return _fact(hit, "SEM_FUNCIONARIOS", F.lit("Empresa declara zero funcionarios no RAIS mas possui contratos governamentais"), F.lit("qtd_funcionarios=0, contratos_governamentais=sim"))
 
 
-def all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant: str = "batch") -> DataFrame:
+def all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant: str = "batch", per=None) -> DataFrame:
+    """All rules of one variant. ``per``: ``core.per_supplier(contracts)``, if it has been written already."""
+    per = core.per_supplier(contracts) if per is None else per
+    online = variant == "online"
     parts = [
-        low_capital(suppliers, contracts, variant),
-        recent_company(suppliers, contracts),
-        past_sanction(suppliers, sanctions, ref_date),
+        low_capital(suppliers, per, variant),
+        recent_company(suppliers, per),
+        past_sanction(suppliers, sanctions, ref_date, variant),
         multi_company_partner(suppliers, partners),
-        exclusive_buyer(suppliers, contracts),
-        incompatible_activity(suppliers, contracts),
-        shared_address(suppliers),
+        exclusive_buyer(suppliers, per),
+        incompatible_activity_online(suppliers, contracts) if online else incompatible_activity(suppliers, contracts),
+        neighbours(suppliers) if online else shared_address(suppliers),
         sudden_growth(suppliers, contracts, variant),
-        no_employees(suppliers, contracts),
+        no_employees(suppliers, per),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinela import functions as fn
-
 
 def paged(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def supplier_with_neighbours(suppliers: DataFrame, cnpj: str | None = None) -> DataFrame:
-    """Each supplier with the number of others at the same address text; all at once by a window, one by a filter."""
+    """Each supplier (or the one) with the number of others at the same address text."""
     if cnpj is None:
-        n = F.when(F.col("logradouro").isNotNull(), F.count("*").over(Window.partitionBy("logradouro")) - 1).otherwise(0)
-        return suppliers.withColumn("qtd_mesmo_endereco", n)
+        per = suppliers.filter("logradouro is not null").groupBy("logradouro").agg((F.count("*") - 1).alias("qtd_mesmo_endereco"))
+        return suppliers.join(per, "logradouro", "left").withColumn("qtd_mesmo_endereco", F.coalesce("qtd_mesmo_endereco", F.lit(0))).select(*suppliers.columns, "qtd_mesmo_endereco")
     own = suppliers.filter(F.col("cnpj") == cnpj)
     near = suppliers.select(F.col("cnpj").alias("_c"), F.col("logradouro").alias("_l")).filter(F.col("_c") != cnpj)
     return own.join(near, F.col("logradouro") == F.col("_l"), "left").groupBy(*suppliers.columns).agg(F.count("_c").alias("qtd_mesmo_endereco"))
@@ -74,6 +72,10 @@ def alert_feed(alerts: DataFrame, dimension: DataFrame, partners: DataFrame, kin
     return out if limit is None else paged(out, order, limit, offset)
 
 
+def alert_count(alerts: DataFrame) -> DataFrame:
+    return alerts.agg(F.count("*").alias("n"))
+
+
 def counts(**tables: DataFrame) -> DataFrame:
     """tabela, n of each table, in one plan."""
     out = None
@@ -130,6 +132,3 @@ def dossier_csv(rows: DataFrame) -> DataFrame:
         out = out.unionByName(x.select("cnpj", "secao", line(*[F.col(f"x.{f}") for f in fields]).alias("linha")))
     return out
 
-
-def valid_cnpj(df: DataFrame, column: str = "cnpj") -> DataFrame:
-    return df.filter(fn.cnpj_valid(F.col(column)))

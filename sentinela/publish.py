@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 REQUIRED = ["empresas", "qsa", "contratos", "sancoes", "servidores", "doacoes"]
 OPTIONAL = ["rais"]
+#: A small file with the name of the current version's folder.
+POINTER = "CURRENT"
 
 
 class Incomplete(Exception):
@@ -41,22 +43,32 @@ def check_complete(tables: dict[str, DataFrame | None]) -> list[str]:
     return [f"{n} is missing" for n in OPTIONAL if empty(n)]
 
 
+def _point(spark: SparkSession, out: str, version: str) -> None:
+    """Put the pointer file in place by one rename that replaces the old one: readers see either version."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, tmp = _fs(spark, f"{out}/_POINTER-{version}")
+    stream = fs.create(tmp, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    current_path = _fs(spark, f"{out}/{POINTER}")[1]
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(tmp, current_path, replace)
+    except Exception:
+        fs.delete(tmp, True)
+        raise
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> str:
-    """Write every table to a new version folder, then point ``out``/CURRENT at it in one rename. On an error the
-    new folder goes and the old version stays current."""
+    """Write every table to a new version folder, then point ``out``/CURRENT at it by one overwriting rename. On an
+    error the new folder goes and the old version stays current."""
     version = f"v-{uuid.uuid4().hex}"
     fs, root = _fs(spark, f"{out}/{version}")
     try:
         for name, df in tables.items():
-            df.write.parquet(f"{out}/{version}/{name}")
-        tmp = f"{out}/_CURRENT-{version}"
-        spark.createDataFrame([(version,)], "v string").coalesce(1).write.text(tmp)
-        tmp_path, current = _fs(spark, tmp)[1], _fs(spark, f"{out}/CURRENT")[1]
-        old = _fs(spark, f"{out}/_OLD-{version}")[1]
-        if fs.exists(current):
-            fs.rename(current, old)
-        fs.rename(tmp_path, current)
-        fs.delete(old, True)
+            write_staging(df, f"{out}/{version}/{name}")
+        _point(spark, out, version)
     except Exception:
         fs.delete(root, True)
         raise
@@ -64,12 +76,13 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> str:
 
 
 def current(spark: SparkSession, out: str) -> str:
-    return f"{out}/{spark.read.text(f'{out}/CURRENT').first()[0]}"
+    """The folder of the current version."""
+    return f"{out}/{spark.read.text(f'{out}/{POINTER}').first()[0]}"
 
 
 def table_counts(spark: SparkSession, out: str, names: list[str]) -> DataFrame:
     base, every = current(spark, out), None
     for n in names:
-        one = spark.read.parquet(f"{base}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("tabela"), "n")
+        one = read_staging(spark, f"{base}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("tabela"), "n")
         every = one if every is None else every.unionByName(one)
     return every

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import functions as F
 
 from sentinela import functions as fn
@@ -68,12 +70,12 @@ def _alert(name: str, evidence: str, description: str, source: str) -> str:
 
 NONE = "CAST(NULL AS BIGINT) AS fk_socio"
 ALERT_SQL = {
-    "alert_servant_partner": _alert("SOCIO_SERVIDOR_PUBLICO", "'nome=' || nome_socio || ', orgao=' || orgao_lotacao", "'Socio ' || nome_socio || ' e servidor publico (' || orgao_lotacao || ')'", "SELECT *, pk_socio AS fk_socio FROM partner_v WHERE is_servidor_publico"),
+    "alert_servant_partner": _alert("SOCIO_SERVIDOR_PUBLICO", "'nome=' || nome_socio || coalesce(', orgao=' || orgao_lotacao, '')", "'Socio ' || nome_socio || ' e servidor publico' || coalesce(' (' || orgao_lotacao || ')', '')", "SELECT *, pk_socio AS fk_socio FROM partner_v WHERE is_servidor_publico"),
     "alert_sanctioned_contracting": _alert("EMPRESA_SANCIONADA_CONTRATANDO", f"'sancoes_vigentes=' || {S('s')} || ', qtd_contratos=' || {S('c')}", f"'Empresa com ' || {S('s')} || ' sancao(oes) vigente(s) e ' || {S('c')} || ' contrato(s) ativo(s)'", f"SELECT fk_fornecedor, {NONE}, s, c FROM (SELECT fk_fornecedor, count(*) AS s FROM live_v GROUP BY 1) JOIN (SELECT fk_fornecedor, count(*) AS c FROM contract_v GROUP BY 1) USING (fk_fornecedor) WHERE fk_fornecedor IN (SELECT pk_fornecedor FROM supplier_v)"),
     "alert_donor_contractor": _alert("DOACAO_PARA_CONTRATANTE", f"'doacoes_materiais=' || {S('d')} || ', valor_total_contratos=' || {S('t')}", f"{S('d')} || ' doacao(oes) material(is) com contratos totalizando R$' || format('{{:,.2f}}', CAST(t AS DOUBLE))", f"SELECT fk_fornecedor, {NONE}, d, t FROM (SELECT fk_fornecedor, count(*) AS d FROM donation_v WHERE valor > 10000 GROUP BY 1) JOIN (SELECT fk_fornecedor, sum(valor) AS t FROM contract_v GROUP BY 1) USING (fk_fornecedor) WHERE t > 500000 AND fk_fornecedor IN (SELECT pk_fornecedor FROM supplier_v)"),
-    "alert_sanctioned_partner": _alert("SOCIO_SANCIONADO_EM_OUTRA", "'nome=' || nome_socio", "'Socio ' || nome_socio || ' e socio de outra empresa sancionada'", "SELECT *, pk_socio AS fk_socio FROM partner_v WHERE is_sancionado"),
+    "alert_sanctioned_partner": _alert("SOCIO_SANCIONADO_EM_OUTRA", "'nome=' || nome_socio || ', empresa_sancionada_cnpj=' || sancionado_cnpj_basico || ', empresa_sancionada_razao=' || sancionado_razao_social", "'Socio ' || nome_socio || ' e socio de empresa sancionada ' || sancionado_razao_social", "SELECT *, pk_socio AS fk_socio FROM partner_v WHERE is_sancionado"),
     "alert_bid_rotation": _alert("RODIZIO_LICITACAO", f"'max_licitacoes_comuns_com_par=' || {S('n')}", "'Empresa participa de licitacoes com outra empresa que compartilha socios'", f"SELECT fk_fornecedor, {NONE}, max(n) AS n FROM (SELECT a, b, n, unnest([a, b]) AS fk_fornecedor FROM rotation_v) GROUP BY 1"),
-    "alert_front_company": _alert("TESTA_DE_FERRO", f"'capital_social=' || {S('capital_social')} || ', data_abertura=' || {S('data_abertura')} || ', primeiro_contrato=' || {S('f')}", "'Empresa apresenta perfil composite de testa-de-ferro: capital baixo, entrada rapida em licitacoes, fornecedor exclusivo e socio suspeito'", f"SELECT pk_fornecedor AS fk_fornecedor, {NONE}, capital_social, data_abertura, f FROM supplier_v s JOIN (SELECT fk_fornecedor, min(data_assinatura) AS f FROM contract_v GROUP BY 1 HAVING count(DISTINCT fk_orgao) = 1) ON fk_fornecedor = pk_fornecedor WHERE capital_social < 10000 AND f - data_abertura < 365 AND EXISTS (SELECT 1 FROM partner_v p WHERE p.cnpj_basico = s.cnpj_basico AND (p.is_servidor_publico OR p.qtd_empresas_governo >= 3))"),
+    "alert_front_company": _alert("EMPRESA_DE_FACHADA", f"'capital_social=' || {S('capital_social')} || ', data_abertura=' || {S('data_abertura')} || ', primeiro_contrato=' || {S('f')}", "'Empresa apresenta perfil composto de empresa de fachada: capital baixo, entrada rapida em licitacoes, fornecedor exclusivo e socio suspeito'", f"SELECT pk_fornecedor AS fk_fornecedor, {NONE}, capital_social, data_abertura, f FROM supplier_v s JOIN (SELECT fk_fornecedor, min(data_assinatura) AS f FROM contract_v GROUP BY 1 HAVING count(DISTINCT fk_orgao) = 1) ON fk_fornecedor = pk_fornecedor WHERE capital_social < 10000 AND f - data_abertura < 365 AND EXISTS (SELECT 1 FROM partner_v p WHERE p.cnpj_basico = s.cnpj_basico AND (p.is_servidor_publico OR p.qtd_empresas_governo >= 3))"),
 }
 EXTRA_A = """,
 bid_v AS (SELECT DISTINCT fk_fornecedor, num_licitacao FROM contract_v WHERE num_licitacao IS NOT NULL),
@@ -111,7 +113,44 @@ def _dim(df):
 _query("score_details", DIM + "SELECT * FROM score_v")(lambda d: d.scores)
 _query("alert_facts", DIM + "SELECT * FROM alert_v")(lambda d: d.alerts)
 _query("denormalize_supplier", DIM + f"SELECT {DIM_COLUMNS} FROM dim_v")(lambda d: _dim(d.dimension))
-_query("score_total_online", DIM + "SELECT fk_fornecedor, least(100, sum(peso))::BIGINT AS score, CASE WHEN sum(peso) >= 66 THEN 'Critico' WHEN sum(peso) >= 41 THEN 'Alto' WHEN sum(peso) >= 21 THEN 'Moderado' ELSE 'Baixo' END AS faixa FROM score_v GROUP BY 1")(lambda d: score.total(d.scores).select("fk_fornecedor", F.col("score").cast("long"), "faixa"))
+
+def _object_kind(text: str) -> str:
+    """SQL for the category of a contract's object."""
+    from sentinela.constants import OBJECT_WORDS
+
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({text}), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in OBJECT_WORDS.items()) + " END"
+
+
+ONLINE_SQL = {
+    **IND_SQL,
+    "ind_low_capital": IND_SQL["ind_low_capital"].replace("t > 100000", "t >= 100000"),
+    "ind_past_sanction": IND_SQL["ind_past_sanction"].replace("data_fim <= DATE '2024-02-01'", "data_fim < DATE '2024-02-01'"),
+    "ind_incompatible_activity": _ind(
+        "CNAE_INCOMPATIVEL",
+        "'cnae=' || c || ', categoria_cnae=' || k || ', objeto_categoria=' || b",
+        "'CNAE ' || c || ' (' || k || ') incompativel com objeto contratado (' || b || ')'",
+        f"SELECT fk_fornecedor, c, k, arg_min(b, struct_pack(d := data_assinatura, p := pk_contrato)) AS b FROM (SELECT fk_fornecedor, data_assinatura, pk_contrato, {_object_kind('objeto')} AS b FROM contract_v) x JOIN (SELECT pk_fornecedor, cnae_principal AS c FROM supplier_v) s ON pk_fornecedor = fk_fornecedor JOIN bad_v ON bad_v.code = c AND bad_v.bad = b GROUP BY 1, 2, 3",
+    ),
+    "ind_same_address": _ind("MESMO_ENDERECO", f"'qtd_mesmo_endereco=' || {S('n')}", f"'Compartilha endereco com ' || {S('n')} || ' outro(s) fornecedor(es) do governo'", "SELECT pk_fornecedor AS fk_fornecedor, n FROM (SELECT pk_fornecedor, count(*) OVER (PARTITION BY logradouro) - 1 AS n FROM supplier_v) WHERE n >= 2"),
+    "ind_sudden_growth": IND_SQL["ind_sudden_growth"].replace("ORDER BY a.y DESC", "ORDER BY a.y").replace("a.v >= 5 * b.v", "a.v >= 5 * b.v AND a.v >= 200000"),
+}
+
+
+def _bad_view() -> str:
+    from sentinela.constants import ACTIVITY_CODES, INCOMPATIBLE
+
+    return "bad_v AS (SELECT * FROM (VALUES " + ", ".join(f"('{code}', '{kind}', '{bad}')" for kind, codes in ACTIVITY_CODES.items() for code in codes for bad in INCOMPATIBLE[kind]) + ") t(code, k, bad))"
+
+
+EXTRA_O = f"{EXTRA.rstrip()}, {_bad_view()} "
+SCORE_O = EXTRA_O + ", online_v AS (" + " UNION ALL ".join(f"SELECT * FROM ({s})" for s in ONLINE_SQL.values()) + ") "
+_query("score_details_online", SCORE_O + "SELECT * FROM online_v")(lambda d: d.scores_online)
+_query("score_total_online", SCORE_O + "SELECT fk_fornecedor, least(100, sum(peso))::BIGINT AS score, CASE WHEN sum(peso) >= 66 THEN 'Critico' WHEN sum(peso) >= 41 THEN 'Alto' WHEN sum(peso) >= 21 THEN 'Moderado' ELSE 'Baixo' END AS faixa FROM online_v GROUP BY 1")(lambda d: score.total(d.scores_online).select("fk_fornecedor", F.col("score").cast("long"), "faixa"))
+_query("ind_past_sanction_online", EXTRA_O + ONLINE_SQL["ind_past_sanction"])(lambda d: score.past_sanction(d.suppliers, d.sanctions, d.ref_date, "online"))
+_query("ind_incompatible_activity_online", EXTRA_O + ONLINE_SQL["ind_incompatible_activity"])(lambda d: score.incompatible_activity_online(d.suppliers, d.contracts))
+_query("ind_same_address_online", EXTRA_O + ONLINE_SQL["ind_same_address"])(lambda d: score.neighbours(d.suppliers))
+_THROUGH = "(SELECT DISTINCT pk_doacao, f AS fk_fornecedor, valor FROM (SELECT pk_doacao, fk_fornecedor AS f, valor FROM donation_v WHERE fk_fornecedor IS NOT NULL UNION ALL SELECT pk_doacao, r.fk_fornecedor, valor FROM donation_v JOIN raw_partner_v r ON pk_socio = fk_socio))"
+_query("alert_donor_contractor_online", EXTRA_A + ALERT_SQL["alert_donor_contractor"].replace("FROM donation_v", f"FROM {_THROUGH}"))(lambda d: alerts.donor_contractor(d.suppliers, d.per_supplier, d.donations, d.bridge))
 _query("ind_low_capital_online", EXTRA + IND_SQL["ind_low_capital"].replace("t > 100000", "t >= 100000"))(lambda d: score.low_capital(d.suppliers, d.contracts, "online"))
 _query("ind_sudden_growth_online", EXTRA + IND_SQL["ind_sudden_growth"].replace("ORDER BY a.y DESC", "ORDER BY a.y").replace("a.v >= 5 * b.v", "a.v >= 5 * b.v AND a.v >= 200000"))(lambda d: score.sudden_growth(d.suppliers, d.contracts, "online"))
 _query("alert_sanctioned_contracting_online", EXTRA_A + ALERT_SQL["alert_sanctioned_contracting"].replace("FROM live_v", "FROM sanction_v WHERE data_fim IS NULL OR data_fim >= DATE '2024-02-01'"))(lambda d: alerts.sanctioned_contracting(d.suppliers, d.contracts, d.sanctions, d.ref_date, inclusive=True))
@@ -122,17 +161,26 @@ _query("fk_resolve_contracts", "SELECT pk_contrato, pk_fornecedor AS fk_forneced
 _query("fk_resolve_sanctions", "SELECT pk_sancao, pk_fornecedor AS fk_fornecedor FROM sanction_v c LEFT JOIN supplier_v s ON s.cnpj = c.cnpj")(lambda d: core.resolve_sanctions(d.sanctions, d.suppliers).select("pk_sancao", "fk_fornecedor"))
 _query("fk_resolve_donations", "SELECT pk_doacao, pk_fornecedor AS fk_fornecedor FROM donation_v LEFT JOIN supplier_v ON cnpj = doc_doador AND tipo_doador = 'CNPJ'")(lambda d: core.resolve_donations(d.donations, d.suppliers).select("pk_doacao", "fk_fornecedor"))
 _query("servant_match", "SELECT pk_socio, is_servidor_publico, orgao_lotacao FROM partner_v")(lambda d: core.match_servants(d.raw_partners, d.servants).select("pk_socio", "is_servidor_publico", "orgao_lotacao"))
-_query("partner_enrichment", "SELECT pk_socio, nome_socio, is_sancionado, qtd_empresas_governo FROM partner_v")(lambda d: d.partners.select("pk_socio", "nome_socio", "is_sancionado", "qtd_empresas_governo"))
+_ENRICHED = ["pk_socio", "nome_socio", "is_sancionado", "sancionado_cnpj_basico", "sancionado_razao_social", "qtd_empresas_governo"]
+_query("partner_enrichment", f"SELECT {', '.join(_ENRICHED)} FROM partner_v")(lambda d: d.partners.select(*_ENRICHED))
 _query("same_address_pairs", EXTRA + "SELECT x.cnpj AS cnpj_a, y.cnpj AS cnpj_b, x.a AS endereco_compartilhado FROM address_v x JOIN address_v y ON x.a = y.a AND x.cnpj < y.cnpj")(lambda d: core.same_address(d.suppliers))
 _query("partner_staging", "SELECT row_number() OVER (ORDER BY cnpj_basico, nome_socio) AS pk, nome_socio AS nome, cnpj_basico FROM raw_partner_v")(lambda d: core.number_rows(d.raw_partners.select(F.col("nome_socio").alias("nome"), "cnpj_basico"), "pk", ["cnpj_basico", "nome"]))
-_query("cpf_hmac", None)(lambda d: core.hash_column(d.raw_partners.select("pk_socio", "cpf_parcial"), "cpf_parcial", KEY, "cpf_hmac"))
+
+
+def _hmac_sql(text: str) -> str:
+    """SQL for HMAC-SHA256 of a text with KEY: SHA-256 over the padded key and the message, twice."""
+    pad = lambda x: "".join(f"{b ^ x:02x}" for b in KEY.encode().ljust(64, b"\0"))
+    return f"sha256(unhex('{pad(0x5C)}') || unhex(sha256(unhex('{pad(0x36)}') || encode({text}))))"
+
+
+_query("cpf_hmac", f"SELECT pk_socio, {_hmac_sql('cpf_parcial')} AS cpf_hmac FROM raw_partner_v")(lambda d: core.hash_column(d.raw_partners.select("pk_socio", "cpf_parcial"), "cpf_parcial", KEY, "cpf_hmac"))
 # Validation and merges
-_query("dedup_keep_first", "SELECT num_licitacao, pk_contrato, valor FROM (SELECT *, row_number() OVER (PARTITION BY num_licitacao ORDER BY pk_contrato) AS n FROM contract_v) WHERE n = 1")(lambda d: core.keep_first(d.contracts, ["num_licitacao"], ["pk_contrato"]).select("num_licitacao", "pk_contrato", "valor"))
+_query("dedup_keep_first", "SELECT num_licitacao, pk_contrato, valor FROM (SELECT *, row_number() OVER (PARTITION BY num_licitacao ORDER BY pk_contrato, valor) AS n FROM contract_v) WHERE n = 1")(lambda d: core.keep_first(d.contracts, ["num_licitacao"], ["pk_contrato", "valor"]).select("num_licitacao", "pk_contrato", "valor"))
 _query("dedup_max_per_group", "SELECT fk_orgao, max(struct_pack(v := valor, k := pk_contrato)).v AS valor, max(struct_pack(v := valor, k := pk_contrato)).k AS pk_contrato FROM contract_v GROUP BY 1")(lambda d: core.keep_most(d.contracts.select("fk_orgao", "valor", "pk_contrato"), "fk_orgao", "valor"))
 _query("filter_positive_nonblank", "SELECT pk_contrato FROM contract_v WHERE valor > 0 AND trim(coalesce(num_licitacao, '')) <> ''")(lambda d: d.contracts.filter((F.col("valor") > 0) & ~fn.blank(F.col("num_licitacao"))).select("pk_contrato"))
 _query("truncate_text", "SELECT doc_id, substr(text, 1, 1000) AS objeto FROM documents", views=False)(lambda d: d.table("documents").select("doc_id", F.substring("text", 1, 1000).alias("objeto")))
 _query("surrogate_key", "SELECT row_number() OVER (ORDER BY cnpj) AS pk, cnpj FROM supplier_v")(lambda d: core.number_rows(d.suppliers.select("cnpj"), "pk", ["cnpj"]))
-_query("merge_headcount", "SELECT pk_fornecedor, q AS qtd_funcionarios FROM supplier_v LEFT JOIN (SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS r, max(event_id) AS q FROM events WHERE user_id % 2 = 0 GROUP BY 1) ON r = cnpj_basico")(lambda d: core.merge_headcount(d.suppliers, d.table("events").filter("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("cnpj_basico"), F.col("event_id").alias("qtd_funcionarios"), F.col("event_type").alias("porte_empresa"))).select("pk_fornecedor", "qtd_funcionarios"))
+_query("merge_headcount", "SELECT pk_fornecedor, q AS qtd_funcionarios FROM supplier_v LEFT JOIN (SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS r, max(event_id) AS q FROM events GROUP BY 1) ON r = cnpj_basico")(lambda d: core.merge_headcount(d.suppliers, d.table("events").select(F.col("user_id").cast("string").alias("cnpj_basico"), F.col("event_id").alias("qtd_funcionarios"), F.col("event_type").alias("porte_empresa"))).select("pk_fornecedor", "qtd_funcionarios"))
 _query("merge_contracts", "SELECT fk_fornecedor, num_licitacao, data_assinatura, fonte, pk_contrato FROM (SELECT *, row_number() OVER (PARTITION BY fk_fornecedor, num_licitacao, data_assinatura ORDER BY fonte, pk_contrato) AS n FROM (SELECT *, CASE WHEN pk_contrato % 2 = 0 THEN 'a' ELSE 'b' END AS fonte FROM contract_v)) WHERE n = 1")(lambda d: core.merge_first([d.contracts.filter("pk_contrato % 2 = 0").withColumn("fonte", F.lit("a")), d.contracts.filter("pk_contrato % 2 <> 0").withColumn("fonte", F.lit("b"))], ["fk_fornecedor", "num_licitacao", "data_assinatura"], ["pk_contrato"]).select("fk_fornecedor", "num_licitacao", "data_assinatura", "fonte", "pk_contrato"))
 _query("merge_ownership_diffs", "SELECT cnpj_basico, nome_socio, min(CASE WHEN pk_socio % 3 = 0 THEN 0 ELSE 1 END) AS fonte FROM raw_partner_v GROUP BY 1, 2")(lambda d: core.merge_first([d.raw_partners.filter("pk_socio % 3 = 0").withColumn("fonte", F.lit(0)), d.raw_partners.filter("pk_socio % 3 <> 0").withColumn("fonte", F.lit(1)).withColumn("data_saida", F.lit(None).cast("date"))], ["cnpj_basico", "nome_socio"], ["pk_socio"]).select("cnpj_basico", "nome_socio", "fonte"))
 # Graph
@@ -154,10 +202,12 @@ _query("q_search", "SELECT pk_fornecedor, cnpj, razao_social FROM supplier_v WHE
 _CONTRACT = "SELECT pk_contrato, valor, objeto, num_licitacao, data_assinatura, data_vigencia, codigo AS orgao_codigo, cnpj FROM contract_v JOIN supplier_v ON fk_fornecedor = pk_fornecedor JOIN agency_v ON fk_orgao = pk_orgao"
 _query("q_supplier_contracts", _CONTRACT + f" WHERE cnpj = '{CNPJ}'")(lambda d: serving.contract_list(d.contracts, d.suppliers, d.agencies, cnpj=CNPJ, limit=None))
 _query("q_contract_list", _CONTRACT + " WHERE codigo = 'ORG3' ORDER BY data_assinatura DESC NULLS LAST, pk_contrato LIMIT 50 OFFSET 5")(lambda d: serving.contract_list(d.contracts, d.suppliers, d.agencies, agency="ORG3", limit=50, offset=5))
-_query("q_supplier_donations", f"SELECT pk_doacao, valor, ano_eleicao FROM donation_v JOIN supplier_v ON fk_fornecedor = pk_fornecedor WHERE cnpj = '{CNPJ}'")(lambda d: serving.supplier_donations(d.donations, d.suppliers, d.raw_partners.select("fk_fornecedor", F.col("pk_socio").alias("fk_socio")), CNPJ).select("pk_doacao", "valor", "ano_eleicao"))
+_query("q_supplier_donations", "SELECT pk_doacao, valor, ano_eleicao FROM donation_v WHERE fk_fornecedor = 7 OR fk_socio IN (SELECT pk_socio FROM raw_partner_v WHERE fk_fornecedor = 7)")(lambda d: serving.supplier_donations(d.donations, d.suppliers, d.raw_partners.select("fk_fornecedor", F.col("pk_socio").alias("fk_socio")), CNPJ).select("pk_doacao", "valor", "ano_eleicao"))
 _query("q_supplier_sanctions", "SELECT pk_sancao, tipo_sancao, data_inicio, data_fim FROM sanction_v WHERE fk_fornecedor = 1")(lambda d: serving.of_supplier(d.sanctions, d.suppliers, "00000001000100").select("pk_sancao", "tipo_sancao", "data_inicio", "data_fim"))
 _query("q_supplier_partners", "SELECT pk_socio, nome_socio, is_servidor_publico, orgao_lotacao, is_sancionado, qtd_empresas_governo FROM partner_v WHERE fk_fornecedor = 7")(lambda d: serving.of_supplier(d.partners, d.suppliers, CNPJ).select("pk_socio", "nome_socio", "is_servidor_publico", "orgao_lotacao", "is_sancionado", "qtd_empresas_governo"))
-_query("q_servant_lookup", None)(lambda d: serving.servant_by_hash(core.hash_column(d.servants, "digitos_visiveis", KEY, "cpf_hmac"), __import__("hmac").new(KEY.encode(), b"000005", "sha256").hexdigest()))
+_query("q_servant_lookup", f"SELECT nome, orgao_lotacao, cpf_hmac FROM (SELECT *, {_hmac_sql('digitos_visiveis')} AS cpf_hmac FROM servant_v) WHERE cpf_hmac = {_hmac_sql(chr(39) + '000005' + chr(39))} ORDER BY nome, orgao_lotacao NULLS FIRST LIMIT 1")(
+    lambda d: serving.servant_by_hash(core.hash_column(d.servants, "digitos_visiveis", KEY, "cpf_hmac"), hmac.new(KEY.encode(), b"000005", "sha256").hexdigest())
+)
 _FEED = "SELECT tipo_alerta, severidade, descricao, evidencia, cnpj, razao_social, nome_socio AS socio_nome FROM alert_v a JOIN supplier_v ON a.fk_fornecedor = pk_fornecedor LEFT JOIN raw_partner_v p ON p.pk_socio = a.fk_socio"
 _query("q_alert_feed", DIM + _FEED + " ORDER BY tipo_alerta, cnpj, evidencia, descricao LIMIT 50")(lambda d: serving.alert_feed(d.alerts, d.suppliers, d.raw_partners))
 _query("q_alerts_by_type", DIM + _FEED + " WHERE tipo_alerta = 'SOCIO_SERVIDOR_PUBLICO' ORDER BY tipo_alerta, cnpj, evidencia, descricao LIMIT 50")(lambda d: serving.alert_feed(d.alerts, d.suppliers, d.raw_partners, kind="SOCIO_SERVIDOR_PUBLICO"))
@@ -165,11 +215,60 @@ _query("q_alerts_of_supplier", DIM + _FEED + f" WHERE cnpj = '{CNPJ}'")(lambda d
 _query("q_stats", "SELECT 'fornecedores' AS tabela, count(*) AS n FROM supplier_v UNION ALL SELECT 'contratos', count(*) FROM contract_v UNION ALL SELECT 'socios', count(*) FROM raw_partner_v UNION ALL SELECT 'sancoes', count(*) FROM sanction_v UNION ALL SELECT 'doacoes', count(*) FROM donation_v")(lambda d: serving.counts(fornecedores=d.suppliers, contratos=d.contracts, socios=d.raw_partners, sancoes=d.sanctions, doacoes=d.donations))
 _query("q_agency_summary", "SELECT codigo, nome, count(pk_contrato) AS qtd_contratos, CAST(coalesce(sum(valor), 0) AS DECIMAL(28,2)) AS total_contratado, count(DISTINCT fk_fornecedor) AS qtd_fornecedores FROM agency_v LEFT JOIN contract_v ON fk_orgao = pk_orgao GROUP BY 1, 2")(lambda d: serving.agency_summary(d.contracts, d.agencies))
 _query("q_agency_top10", DIM + "SELECT sum(valor) AS valor_total_orgao, count(*) AS qtd_contratos, cnpj, razao_social, CAST(any_value(score_risco) AS BIGINT) AS score_risco FROM contract_v JOIN dim_v ON fk_fornecedor = pk_fornecedor WHERE fk_orgao = 1 GROUP BY cnpj, razao_social ORDER BY 1 DESC, cnpj LIMIT 10")(lambda d: serving.agency_top(d.contracts, d.dimension, d.agencies, "ORG1").withColumn("score_risco", F.col("score_risco").cast("long")))
-_query("supplier_dossier", DIM + "SELECT cnpj, (SELECT count(*) FROM score_v x WHERE x.fk_fornecedor = pk_fornecedor) AS n_indicadores, (SELECT count(*) FROM alert_v x WHERE x.fk_fornecedor = pk_fornecedor) AS n_alertas, (SELECT count(*) FROM raw_partner_v x WHERE x.fk_fornecedor = pk_fornecedor) AS n_socios, (SELECT count(*) FROM contract_v x WHERE x.fk_fornecedor = pk_fornecedor) AS n_contratos, (SELECT count(*) FROM sanction_v x WHERE x.fk_fornecedor = pk_fornecedor) AS n_sancoes FROM supplier_v")(
-    lambda d: serving.dossier(d).select("cnpj", *[F.coalesce(F.size(c), F.lit(0)).cast("long").alias(f"n_{c}") for c in ("indicadores", "alertas", "socios", "contratos", "sancoes")])
-)
-_query("dossier_json", None)(lambda d: serving.dossier_json(serving.dossier(d)))
-_query("dossier_csv", None)(lambda d: serving.dossier_csv(serving.dossier(d)))
+#: The nested lists of a dossier: the fields of a line, and where SQL finds them.
+_SECTIONS = {
+    "indicadores": (["indicador", "peso", "descricao", "evidencia"], "score_v", "fk_fornecedor"),
+    "alertas": (["tipo_alerta", "severidade", "descricao", "evidencia"], "alert_v", "fk_fornecedor"),
+    "socios": (["nome_socio", "is_servidor_publico", "orgao_lotacao", "is_sancionado", "qtd_empresas_governo"], "partner_v", "fk_fornecedor"),
+    "sancoes": (["tipo_sancao", "data_inicio", "data_fim"], "sanction_v", "fk_fornecedor"),
+    "contratos": (["pk_contrato", "valor", "data_assinatura", "objeto"], "contract_v", "fk_fornecedor"),
+    "doacoes": (["pk_doacao", "valor", "ano_eleicao"], "donation_v", "fk_fornecedor"),
+}
+
+
+def _lines_sql(fields: list[str], view: str, key: str, sep: str) -> str:
+    line = f" || '{sep}' || ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in fields)
+    return f"(SELECT {key}, string_agg(x, chr(10) ORDER BY x) AS lines FROM (SELECT {key}, {line} AS x FROM {view}) GROUP BY 1)"
+
+
+def _lines(column: str, fields: list[str]):
+    """The list as text, a line each, in the order of the lines."""
+    return F.array_join(F.array_sort(F.transform(column, lambda x: F.concat_ws("|", *[F.coalesce(x[f].cast("string"), F.lit("")) for f in fields]))), "\n")
+
+
+_query(
+    "supplier_dossier",
+    DIM + f"SELECT cnpj, CAST(score_risco AS BIGINT) AS score_risco, faixa_risco, {', '.join(f'{n}.lines AS {n}' for n in _SECTIONS)} FROM dim_v " + " ".join(f"LEFT JOIN {_lines_sql(*v, '|')} {n} ON {n}.{v[2]} = pk_fornecedor" for n, v in _SECTIONS.items()),
+)(lambda d: serving.dossier(d).select("cnpj", F.col("score_risco").cast("long"), "faixa_risco", *[_lines(n, v[0]).alias(n) for n, v in _SECTIONS.items()]))
+_query(
+    "dossier_json",
+    DIM + "SELECT cnpj, razao_social, CAST(CAST(capital_social AS DOUBLE) AS VARCHAR) AS capital_social, CAST(data_abertura AS VARCHAR) AS data_abertura, CAST(CAST(score_risco AS BIGINT) AS VARCHAR) AS score_risco, "
+    "(SELECT min(indicador) FROM score_v WHERE fk_fornecedor = pk_fornecedor) AS primeiro_indicador, (SELECT CAST(min(pk_contrato) AS VARCHAR) FROM contract_v WHERE fk_fornecedor = pk_fornecedor) AS primeiro_contrato, "
+    "(SELECT CAST(min_by(is_servidor_publico, nome_socio) AS VARCHAR) FROM partner_v WHERE fk_fornecedor = pk_fornecedor) AS primeiro_socio_servidor FROM dim_v",
+)(lambda d: serving.dossier_json(serving.dossier(d)).select("cnpj", *[F.get_json_object("json", path).alias(n) for n, path in (("razao_social", "$.razao_social"), ("capital_social", "$.capital_social"), ("data_abertura", "$.data_abertura"), ("score_risco", "$.score_risco"), ("primeiro_indicador", "$.indicadores[0].indicador"), ("primeiro_contrato", "$.contratos[0].pk_contrato"), ("primeiro_socio_servidor", "$.socios[0].is_servidor_publico"))]))
+
+
+def _csv_sql() -> str:
+    head = " UNION ALL ".join(f"SELECT cnpj, 'DADOS CADASTRAIS' AS secao, '{label},' || coalesce(CAST({c} AS VARCHAR), '') AS linha FROM supplier_v" for label, c in (("CNPJ", "cnpj"), ("Razao Social", "razao_social"), ("Data Abertura", "data_abertura"), ("Capital Social", "capital_social"), ("CNAE", "cnae_principal")))
+    for section, view, fields in (("SCORE DE RISCO", "score_v", ["indicador", "peso", "descricao"]), ("ALERTAS CRITICOS", "alert_v", ["tipo_alerta", "severidade", "descricao"]), ("CONTRATOS", "contract_v", ["valor", "data_assinatura", "objeto"]), ("SOCIOS", "partner_v", ["nome_socio", "is_servidor_publico", "orgao_lotacao"])):
+        line = " || ',' || ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in fields)
+        head += f" UNION ALL SELECT cnpj, '{section}', {line} FROM {view} JOIN (SELECT pk_fornecedor AS k, cnpj FROM supplier_v) ON k = fk_fornecedor".replace("SELECT cnpj, '", "SELECT s.cnpj, '").replace("FROM supplier_v) ON", "FROM supplier_v) s ON")
+    return head
+
+
+_query("dossier_csv", DIM + _csv_sql())(lambda d: serving.dossier_csv(serving.dossier(d)))
+_query("q_alert_count", DIM + "SELECT count(*) AS n FROM alert_v")(lambda d: serving.alert_count(d.alerts))
+NEAR = ", h1 AS (SELECT DISTINCT y.fk_fornecedor FROM raw_partner_v x JOIN raw_partner_v y USING (nome_socio) WHERE x.fk_fornecedor = 7), near_v AS (SELECT DISTINCT y.fk_fornecedor FROM raw_partner_v x JOIN raw_partner_v y USING (nome_socio) WHERE x.fk_fornecedor IN (SELECT fk_fornecedor FROM h1)) "
+
+
+def _network(d):
+    names = d.raw_partners.groupBy("nome_socio").agg(F.min("pk_socio").alias("pk_socio"))
+    bridge = d.raw_partners.drop("pk_socio").join(names, "nome_socio").select("fk_fornecedor", F.col("pk_socio").alias("fk_socio"))
+    return graph.supplier_network(bridge, d.suppliers, names, d.suppliers.filter("pk_fornecedor = 7"))
+
+
+_query("graph_network_nodes", NEAR + "SELECT 'empresa_' || pk_fornecedor AS id, 'empresa' AS tipo, razao_social AS label FROM supplier_v WHERE pk_fornecedor IN (SELECT * FROM near_v) UNION ALL SELECT 'socio_' || min(pk_socio), 'socio', nome_socio FROM raw_partner_v WHERE nome_socio IN (SELECT nome_socio FROM raw_partner_v WHERE fk_fornecedor IN (SELECT * FROM near_v)) GROUP BY nome_socio")(lambda d: _network(d)[0].select("id", "tipo", "label"))
+_query("graph_network_edges", NEAR + "SELECT DISTINCT 'socio_' || k AS source, 'empresa_' || fk_fornecedor AS target, 'socio_de' AS tipo FROM raw_partner_v JOIN (SELECT nome_socio, min(pk_socio) AS k FROM raw_partner_v GROUP BY 1) USING (nome_socio) WHERE fk_fornecedor IN (SELECT * FROM near_v)")(lambda d: _network(d)[1].select("source", "target", "tipo"))
 # Design-time analytic queries
 _query("spec_alerts_by_type", DIM + "SELECT f.cnpj, f.razao_social, p.nome_socio AS servidor, p.orgao_lotacao, CAST(f.valor_total AS DECIMAL(28,2)) AS total_contratado, a.evidencia FROM alert_v a JOIN dim_v f ON a.fk_fornecedor = f.pk_fornecedor JOIN partner_v p ON p.pk_socio = a.fk_socio WHERE a.tipo_alerta = 'SOCIO_SERVIDOR_PUBLICO'")(
     lambda d: d.alerts.filter("tipo_alerta = 'SOCIO_SERVIDOR_PUBLICO'").join(d.dimension.select(F.col("pk_fornecedor").alias("fk_fornecedor"), "cnpj", "razao_social", F.col("valor_total").cast("decimal(28,2)").alias("total_contratado")), "fk_fornecedor").join(d.partners.select(F.col("pk_socio").alias("fk_socio"), F.col("nome_socio").alias("servidor"), "orgao_lotacao"), "fk_socio").select("cnpj", "razao_social", "servidor", "orgao_lotacao", "total_contratado", "evidencia")
@@ -181,10 +280,7 @@ _query("spec_both_dimensions", DIM + f"SELECT {DIM_COLUMNS} FROM dim_v WHERE dim
 _query("spec_shared_partner_network", "SELECT DISTINCT y.fk_fornecedor AS pk_fornecedor, y.nome_socio AS socio_compartilhado FROM raw_partner_v x JOIN raw_partner_v y ON x.nome_socio = y.nome_socio WHERE x.fk_fornecedor = 7")(lambda d: d.raw_partners.join(d.raw_partners.filter("fk_fornecedor = 7").select("nome_socio").distinct(), "nome_socio", "left_semi").select(F.col("fk_fornecedor").alias("pk_fornecedor"), F.col("nome_socio").alias("socio_compartilhado")).distinct())
 _query("spec_donor_contractors", "SELECT fk_fornecedor, g AS total_doado, c AS total_contratado FROM (SELECT fk_fornecedor, sum(valor) AS g FROM donation_v GROUP BY 1) JOIN (SELECT fk_fornecedor, sum(valor) AS c FROM contract_v GROUP BY 1) USING (fk_fornecedor) WHERE g > 0 AND c > 0")(lambda d: d.donations.groupBy("fk_fornecedor").agg(F.sum("valor").alias("total_doado")).join(d.contracts.groupBy("fk_fornecedor").agg(F.sum("valor").alias("total_contratado")), "fk_fornecedor").filter("total_doado > 0 and total_contratado > 0"))
 _query("spec_bid_rotation", EXTRA_A + "SELECT x.num_licitacao, p.a AS empresa_a, p.b AS empresa_b FROM pair_v p JOIN bid_v x ON x.fk_fornecedor = p.a JOIN bid_v y ON y.fk_fornecedor = p.b AND y.num_licitacao = x.num_licitacao")(
-    lambda d: (lambda bids, names: bids.withColumnRenamed("fk_fornecedor", "empresa_a").join(bids.withColumnRenamed("fk_fornecedor", "empresa_b"), "num_licitacao").filter("empresa_a < empresa_b").join(names, ["empresa_a", "empresa_b"], "left_semi").select("num_licitacao", "empresa_a", "empresa_b"))(
-        d.contracts.filter("num_licitacao is not null").select("fk_fornecedor", "num_licitacao").distinct(),
-        d.raw_partners.select(F.col("fk_fornecedor").alias("empresa_a"), "nome_socio").join(d.raw_partners.select(F.col("fk_fornecedor").alias("empresa_b"), "nome_socio"), "nome_socio").filter("empresa_a < empresa_b"),
-    )
+    lambda d: alerts.shared_bids(d.suppliers, d.raw_partners, d.contracts).select("num_licitacao", F.col("a").alias("empresa_a"), F.col("b").alias("empresa_b"))
 )
 # Scalars
 _query("classify_contract_object", "SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in __import__("sentinela.constants", fromlist=["x"]).OBJECT_WORDS.items()) + " END AS categoria FROM documents", views=False)(lambda d: d.table("documents").select("doc_id", fn.object_category(F.col("text")).alias("categoria")))
