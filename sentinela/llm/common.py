@@ -1,43 +1,42 @@
-"""Plan helpers shared by the operators: durable cuts of lineage, two-level ranks and bucket counts."""
+"""Plan helpers shared by the operators: what they write on their way, two-level ranks and bucket counts."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sentinela.durable import discard, materialise
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = f"file:///tmp/checkpoints/sentinela-{os.getpid()}"
-    return where.rstrip("/")
 
+class Tables:
+    """What an operator has written on its way, to be removed when nothing that is still to run reads it."""
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lost executors cost no recomputation.
+    def __init__(self):
+        self.frames: list[DataFrame] = []
 
-    The files stay until ``discard`` or until the shared folder is emptied.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sentinela_path = path
-    return out
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return self.add(materialise(df, name))
 
+    def add(self, written: DataFrame) -> DataFrame:
+        self.frames.append(written)
+        return written
 
-def discard(df: DataFrame) -> None:
-    """Remove what ``materialise`` wrote, when nothing that is still to run reads it."""
-    path = getattr(df, "_sentinela_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, keep: list[DataFrame] = ()) -> None:
+        """Discard all but ``keep``: those that the result, which is lazy, still reads."""
+        for df in self.frames:
+            if not any(df is k for k in keep):
+                discard(df)
+        self.frames = list(keep)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These column names, each with underscores in front until ``df`` has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: Column | str, remainder: int) -> Column:

@@ -151,24 +151,37 @@ def unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).reshape(-1).view(dtype)
 
 
+def binary_rows(a: np.ndarray) -> pa.Array:
+    """A binary column with the bytes of each row of a matrix."""
+    size = a.shape[1] * a.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
+
+
 class Slots:
-    """An open-addressing table from non-zero 64-bit keys to int64 values, filled and read in whole arrays."""
+    """An open-addressing table from non-zero 64-bit keys to int32 values, filled and read in whole arrays."""
 
     def __init__(self, keys: np.ndarray | None = None, values: np.ndarray | None = None, room: int = 0):
         n = 0 if keys is None else len(keys)
         self.used = 0
-        self._new(max(1024, 1 << int(2 * max(n, room)).bit_length()))
+        self._new(max(1024, 1 << (3 * max(n, room) // 2).bit_length()))
         if n:
             self.add(keys, values)
 
     def _new(self, size: int) -> None:
         self.mask = U64(size - 1)
         self.keys = np.zeros(size, U64)
-        self.values = np.full(size, -1, np.int64)
+        self.values = np.full(size, -1, np.int32)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Slots:
+        """The table that has these slots already."""
+        out = cls.__new__(cls)
+        out.keys, out.values, out.mask, out.used = keys, values, U64(len(keys) - 1), int((keys != 0).sum())
+        return out
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Insert distinct keys that are not in the table yet."""
-        if 2 * (self.used + len(keys)) > len(self.keys):
+        if 3 * (self.used + len(keys)) > 2 * len(self.keys):
             old = self.keys != 0
             k, v = self.keys[old], self.values[old]
             self._new(1 << int(3 * (self.used + len(keys))).bit_length())
