@@ -8,15 +8,19 @@ rejection threshold: a share of ``REJECT`` of correctly labelled texts may fall
 whole text; embedding and softmax are one table there, because both are linear.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without labelled
-rows everything is; a null id counts as seen; repeated rows are predicted each; an empty table gives no rows.
+rows everything is; a null id counts as seen; repeated rows are predicted each; an empty table gives no rows; columns
+named lang_pred, lang_score or lang_rejected are replaced, all others pass.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentinela.llm import common as C
 from sentinela.llm import kernels as K
@@ -45,31 +49,42 @@ def buckets_of(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def counts_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of one text and their shares."""
+def counts_of(data: np.ndarray) -> tuple[bytes, bytes]:
+    """The buckets of one text and how often each occurs, in one or four bytes."""
     ids, n = np.unique(np.concatenate(buckets_of(data)), return_counts=True)
-    return ids, (n / max(1, n.sum())).astype(np.float32)
+    return ids.astype(np.uint16).tobytes(), n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def shares_of(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of one text and their shares."""
+    own = np.frombuffer(ids, np.uint16)
+    n = np.frombuffer(counts, np.uint8 if len(counts) == len(own) else np.uint32)
+    return own, (n / max(1, n.sum())).astype(np.float32)
 
 
-class Model:
+class Model(NamedTuple):
     """Languages, the joint table (bucket, language), bias, temperature and threshold."""
 
-    def __init__(self, languages, table, bias, temperature, threshold):
-        self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
+    languages: list[str]
+    table: np.ndarray
+    bias: np.ndarray
+    temperature: float
+    threshold: float
+
 
-    def logits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """One row per text; an empty text has the bias alone."""
-        out = np.tile(self.bias, (len(offs) - 1, 1)).astype(np.float64)
-        full = np.flatnonzero(np.diff(offs))
-        if len(full):
-            grams = buckets_of(data)
-            for at in range(self.table.shape[1]):
-                column = np.ascontiguousarray(self.table[:, at])
-                each = column[grams[0]]
-                for g in grams[1:]:
-                    each += column[g]
-                out[full, at] += np.add.reduceat(each, offs[full], dtype=np.float64) / (np.diff(offs)[full] * len(SIZES))
-        return out
+def logits(table: np.ndarray, bias: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """One row per text; an empty text has the bias alone."""
+    out = np.tile(bias, (len(offs) - 1, 1)).astype(np.float64)
+    full = np.flatnonzero(np.diff(offs))
+    if len(full):
+        grams = buckets_of(data)
+        for at in range(table.shape[1]):
+            column = np.ascontiguousarray(table[:, at])
+            each = column[grams[0]]
+            for g in grams[1:]:
+                each += column[g]
+            out[full, at] += np.add.reduceat(each, offs[full], dtype=np.float64) / (np.diff(offs)[full] * len(SIZES))
+    return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -77,8 +92,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 1) -> Model:
-    """Train on (buckets, shares) of texts and their labels."""
+def fit(rows: list[tuple[bytes, bytes]], labels: list[str], seed: int = 1) -> Model:
+    """Train on (buckets, counts) of texts and their labels."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.RandomState(seed)
@@ -90,7 +105,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
     steps, done = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(train):
-            ids, share = rows[i]
+            ids, share = shares_of(*rows[i])
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = share @ embedding[ids]
@@ -102,7 +117,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
             embedding[ids] -= (rate * len(ids) ** 0.5) * share[:, None] * back[None, :]
     table = (embedding @ weight).astype(np.float32)
     held = apart if len(apart) else train
-    z = np.array([rows[i][1] @ table[rows[i][0]] + bias for i in held])
+    z = np.array([share @ table[ids] + bias for ids, share in (shares_of(*rows[i]) for i in held)])
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 20, 60):
         loss = -np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
@@ -119,18 +134,17 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     def run(batches):
         for batch in batches:
             data, offs = K.flat(batch.column(1))
-            rows = [counts_of(data[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["lang", "ids", "shares"])
+            ids, counts = zip(*(counts_of(data[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
     usable = labelled.filter("lang is not null and length(text) > 0")
     keys = usable.select(F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t")).distinct()
     keys = F.broadcast(keys.orderBy("_h", "_t").limit(sample))  # at most ``sample`` pairs of hashes
     first = usable.withColumns({"_h": F.xxhash64("doc_id"), "_t": F.xxhash64("text")}).join(keys, ["_h", "_t"]).dropDuplicates(["_h", "_t"])
-    got = first.select("lang", "text").mapInArrow(run, "lang string, ids binary, shares binary").collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["ids"]), bytes(r["shares"])))
-    if not got:
-        return None
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got], [r["lang"] for r in got])
+    got = first.select("lang", "text").mapInArrow(run, "lang string, ids binary, counts binary").toArrow()  # at most ``sample`` rows
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "ids", "counts")), strict=True))
+    del got
+    return fit([r[1:] for r in rows], [r[0] for r in rows]) if rows else None
 
 
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -146,36 +160,40 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` (which has ``text``) with lang_pred, lang_score and lang_rejected."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: Model | None, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all unless given) with lang_pred, lang_score and lang_rejected of its ``text``."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
+    columns = docs.columns if columns is None else columns
+    whole = columns if "text" in columns and docs.schema["text"].dataType == T.StringType() else ["_read", *columns]
+    read = whole.index("text") if len(whole) == len(columns) else 0
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else tuple(model))
 
     def run(batches):
-        m = shared.value
+        languages, table, bias, temperature, threshold = shared.value or ([], None, None, 1.0, 1.0)
         for batch in batches:
-            data, offs = K.flat(batch.column(batch.schema.get_field_index("text")))
+            data, offs = K.flat(batch.column(read))
             n = len(offs) - 1
             name, score = np.full(n, "und", object), np.zeros(n)
-            if m is not None:
+            if languages:
                 for a, b, d, o in K.pieces(data, offs):
-                    p = softmax(m.logits(d, o) / m.temperature)
+                    p = softmax(logits(table, bias, d, o) / temperature)
                     at = p.argmax(1)
                     own = np.flatnonzero(has_letter(d, o))
-                    name[a + own] = np.array(m.languages, object)[at[own]]
+                    name[a + own] = np.array(languages, object)[at[own]]
                     score[a + own] = p[own, at[own]]
-            rejected = (name == "und") | (score < (m.threshold if m else 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+            rejected = (name == "und") | (score < threshold)
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(whole) - len(columns) :], pa.array(name, pa.string()), pa.array(score), pa.array(rejected)], names=[*columns, "lang_pred", "lang_score", "lang_rejected"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
+    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(f"lang_{c}", t) for c, t in (("pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())))])
+    given = [F.col(f"`{c}`") for c in columns]
+    return docs.select(*([] if len(whole) == len(columns) else [F.col("text").cast("string").alias("_read")]), *given).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, remainder: int = 0, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text, lang, held_out, lang_pred, lang_score, lang_rejected; learns from rows that are not held out."""
+    """doc_id, lang_pred, lang_score, lang_rejected, held_out; learns from rows that are not held out."""
     slim = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(slim.filter(~C.held_out("doc_id", remainder)), sample)
-    out = predict(slim.select("doc_id", "text"), model)
+    out = predict(slim, model, ["doc_id"])
     return out.withColumn("held_out", C.held_out("doc_id", remainder))
 
 

@@ -1,11 +1,11 @@
 """Mixing sources to target weights (operator 10), DataFrame functions only.
 
 Every source is a line of words, its documents one after the other in a keyed pseudorandom order, cut into blocks
-of ``block`` words. Output shards of ``shard_slots`` slots draw how many of their slots each source fills: a
-multinomial draw by systematic resampling with one keyed offset per shard, so a shard's count is within one of
-its expectation. The k-th slot of a source takes block ``permutation(k mod blocks)`` of pass ``k div blocks``;
-slots and blocks are then joined by index. Slots past a source's third pass, which only the draw's rounding can
-bring, stay void: nothing is taken more than ``most`` times.
+of ``block`` words. Output shards of ``shard_slots`` slots draw how many of their slots each source fills: multinomial
+draws under the condition that they add up to the targets, which independent draws would miss by the root of a source's
+slots. The k-th slot of a source takes block ``permutation(k mod blocks)`` of pass ``k div blocks``; slots and blocks
+are then joined by index. Slots past a source's third pass, which only rounding can bring, stay void: nothing is taken
+more than ``most`` times.
 
 Defined results: a null or blank text has size 0 and is never taken; sources are ordered by code point with null
 last, null being a source of its own; repeated rows are separate documents; an empty table gives no rows.
@@ -25,8 +25,10 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 128
 SHARD_SLOTS = 1024
 MOST = 3
-ROUNDS = 24
-SLOTS_PER_TASK = 32_768
+ROUNDS = 12
+SLOTS_PER_TASK = 65_536
+#: Cells of [0, 1) by which shares are looked up; sources up to which their table is broadcast.
+CELLS, FEW_SOURCES = 1 << 12, 10_000
 
 
 def permuted(index: Column, n: Column, *key: Column) -> Column:
@@ -40,10 +42,11 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
 
 
 def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """_row, doc_id, source, size: one row per document, written so that _row names a row for good (``row``, if given)."""
+    """_row, doc_id, source, size, _hash (of the text): one row per document, written so that _row names a row for good
+    (``row``, if given)."""
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     row = F.monotonically_increasing_id() if row is None else row
-    return docs.select(row.alias("_row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    return docs.select(row.alias("_row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -66,45 +69,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "source_size", target.alias("target"))
 
 
-def slots(wanted: DataFrame, seed: int, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, most: int = MOST, parts: int = 1) -> DataFrame:
-    """shard, source, pass, block: what each slot of the mix holds, made by ``parts`` tasks."""
-    n = F.ceil(F.col("source_size") / block)
-    src = wanted.filter("source_size > 0 and target > 0").withColumn("blocks", n.cast("long"))
-    src = src.withColumn("_e", F.col("target") * F.col("blocks") / F.col("source_size"))
-    everything = Window.partitionBy(F.lit(0))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    total = F.sum("_e").over(everything)
-    src = src.withColumn("_n", F.round(total).cast("long"))
-    src = src.withColumn("_from", (F.sum("_e").over(order) - F.col("_e")) / total).withColumn("_to", F.sum("_e").over(order) / total)
-    last = F.row_number().over(Window.orderBy(F.col("source").desc_nulls_first())) == 1
-    src = src.withColumn("_to", F.when(last, F.lit(1.0)).otherwise(F.col("_to"))).withColumn("_key", F.coalesce("source", F.lit("\x00null")))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("_n") / shard_slots)).cast("long")
-    drawn = src.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
-    size = F.least(F.lit(shard_slots), F.col("_n") - F.col("shard") * shard_slots)
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), F.lit("shift")), F.lit(1 << 30)) / float(1 << 30)
-    count = F.ceil(size * F.col("_to") - shift) - F.ceil(size * F.col("_from") - shift)
-    drawn = drawn.select("source", "_key", "blocks", "shard", count.cast("long").alias("_count"))
-    drawn = C.running_total(drawn, ["_key"], ["shard"], F.floor(F.col("shard") / 4096), F.col("_count"), "_first").filter("_count > 0")
-    drawn = drawn.repartition(parts, "_key", "shard")  # a row becomes up to shard_slots slots
-    k = drawn.withColumn("_k", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)))
-    k = k.withColumn("pass", F.floor(F.col("_k") / F.col("blocks")).cast("long")).filter(F.col("pass") < most)
+def draws(wanted: DataFrame, seed: int, block: int, shard_slots: int) -> DataFrame:
+    """shard, _key, blocks, _k: the source that each slot of each shard draws, as the source's ``_k``-th slot.
+
+    A keyed permutation of all slots deals them to the sources: the shards' counts are multinomial draws under the
+    condition that they add up to every source's target. Sources are looked up by cells of the permuted numbers, in
+    which each stands once; that table is broadcast only if it is small.
+    """
+    src = wanted.filter("source_size > 0 and target > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    src = src.withColumn("_n", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).withColumn("_key", F.coalesce("source", F.lit("\x00null")))
+    n, sources = src.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    src = src.filter("_n > 0").withColumn("_to", F.sum("_n").over(Window.orderBy("_key"))).withColumn("_from", F.col("_to") - F.col("_n"))
+    width = max(1, -(-n // CELLS))
+    cell = lambda x: F.floor(x / width).cast("long")
+    shares = src.select("_key", "blocks", "_from", "_to", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to") - 1))).alias("cell"))
+    if sources <= FEW_SOURCES:
+        shares = F.broadcast(shares)  # at most FEW_SOURCES + CELLS rows
+    x = permuted(F.col("id"), F.lit(n), F.lit(seed), F.lit("slots"))
+    slots_ = wanted.sparkSession.range(0, n, 1, C.bucket_count(n, SLOTS_PER_TASK)).select(F.floor(F.col("id") / shard_slots).alias("shard"), x.alias("_x"))
+    drawn = slots_.withColumn("cell", cell(F.col("_x"))).join(shares, "cell").filter("_x >= _from and _x < _to")
+    return drawn.select("shard", "_key", "blocks", (F.col("_x") - F.col("_from")).alias("_k"))
+
+
+def slots(wanted: DataFrame, seed: int, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, most: int = MOST) -> DataFrame:
+    """shard, _key (the source), pass, block: what each slot of the mix holds."""
+    k = draws(wanted, seed, block, shard_slots).withColumn("pass", F.floor(F.col("_k") / F.col("blocks")).cast("long")).filter(F.col("pass") < most)
     at = permuted(F.pmod(F.col("_k"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("_key"), F.col("pass"))
-    return k.select("shard", "source", "_key", "pass", at.alias("block"))
+    return k.select("shard", "_key", "pass", at.alias("block"))
 
 
 def drawn_blocks(base: DataFrame, wanted: DataFrame, seed: int, block: int, shard_slots: int, most: int) -> DataFrame:
     """_row, block, _from, _here, _times: the words (first and number) that documents have in drawn blocks, and how often."""
     rows = base.count()
     line = base.withColumn("_key", F.coalesce("source", F.lit("\x00null")))
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(C.bucket_count(rows, 10_000)))
-    line = C.running_total(line, ["_key"], ["doc_id", "size"], spread, F.col("size"), "_at").filter("size > 0")
+    spread = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_hash")), F.lit(C.bucket_count(rows, 10_000)))
+    line = C.running_total(line, ["_key"], ["doc_id", "_hash"], spread, F.col("size"), "_at").filter("size > 0")
     reach = F.sequence(F.floor(F.col("_at") / block).cast("long"), F.floor((F.col("_at") + F.col("size") - 1) / block).cast("long"))
     part = line.select("_row", "_key", "_at", "size", F.explode(reach).alias("block"))
     start = F.greatest(F.col("_at"), F.col("block") * block)
     here = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - start
     part = part.select("_row", "_key", "block", (start - F.col("_at")).alias("_from"), here.alias("_here"))
-    words = wanted.agg(F.sum("source_size")).first()[0] or 0
-    used = slots(wanted, seed, block, shard_slots, most, C.bucket_count(words // block, SLOTS_PER_TASK)).groupBy("_key", "block").agg(F.count("*").alias("_times"))
+    used = slots(wanted, seed, block, shard_slots, most).groupBy("_key", "block").agg(F.count("*").alias("_times"))
     return part.join(used, ["_key", "block"]).drop("_key")
 
 
@@ -130,8 +135,9 @@ def mixed_texts(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_slots:
     the word before it), so each source has just the words that ``mix`` takes. Where a pass takes all of a document,
     its text is the whole text. ``docs`` may repeat rows and ids.
     """
-    rows = C.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    base = C.materialise(sized(rows, F.col("_row")), "sized")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = C.materialise(docs.select(F.struct(*columns).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    base = C.materialise(sized(rows.select("_doc.*", F.col("_row").alias(C.unused(docs, "_row")[0])), F.col(C.unused(docs, "_row")[0])), "sized")
     wanted = C.materialise(targets(base, weights, most), "targets")
     taken = drawn_blocks(base, wanted, seed, block, shard_slots, most).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("block", "_from", "_here", "_times"))).alias("_blocks"))
 
@@ -146,8 +152,8 @@ def mixed_texts(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard_slots:
 
     passes = [_let(in_pass(p), runs) for p in range(most)]
     taken = taken.select("_row", F.concat(*passes).alias("_runs"))
-    text = F.col("text").cast("string")
+    text = F.col("_doc.text").cast("string")
     cut = _let(F.regexp_extract_all(text, F.lit(SPACED), F.lit(0)), lambda w: F.transform("_runs", lambda r: F.array_join(F.slice(w, r["first"] + 1, r["n"]), "")))
     cut = F.when(F.forall("_runs", lambda r: r["n"] == F.col("size")), F.transform("_runs", lambda r: text)).otherwise(cut)
-    out = rows.join(taken.join(base.select("_row", "size"), "_row"), "_row").withColumn("text", F.explode(cut))
-    return out.select(*docs.columns)
+    out = rows.join(taken.join(base.select("_row", "size"), "_row"), "_row").select("_doc", F.explode(cut).alias("_text"))
+    return out.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))

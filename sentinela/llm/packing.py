@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = best_fit_plan(histogram, window)
     plan = spark.createDataFrame(runs, "run_length long, rank_from long, rank_to long, first_window long, per_window long, run_offset long")
     buckets = C.bucket_count(sum(histogram.values()), 20_000)
-    ranked = C.running_total(pieces, ["length"], ["doc_id", "start", "ids_crc32"], F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)), F.lit(1), "_rank")
+    ranked = C.running_total(pieces, ["length"], ["doc_id", "start", "ids_crc32"], F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)), F.lit(1), "_rank")
     if len(runs) <= BROADCAST_RUNS:
         plan = F.broadcast(plan)
     on = (F.col("length") == F.col("run_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to"))

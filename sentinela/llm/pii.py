@@ -9,17 +9,23 @@ ending. A surrogate is a keyed hash of the entity alone, so one entity has one s
 themselves an entity of the corpus; the losers draw again until all are distinct. Only these few exceptions have
 to be joined to the documents; all others are replaced by an expression in the scan.
 
-Names are found by the list of given names (everywhere), and as capitalised words after one of these or a form of
-address: the next word and up to two more, past initials and particles. What is found so is also replaced where it
-stands alone in the same text. Names that neither rule meets stay.
+Names are found by the list of given names (everywhere), and as capitalised words after one of these, a form of
+address or words that introduce a name: the next word and up to two more, past initials and particles. What is found so
+is also replaced where it stands alone in the same text. Names that neither rule meets stay.
+
+A secret is told by the word before it, the other kinds by their form; the same characters have one surrogate as a secret
+and another as a name. A format that has too few values for all its entities (one letter before an ``@``) gets longer
+surrogates from the ``LONGER``-th draw on, so that there is always a next one.
 
 Defined results: null text stays null with no entities; repeated rows get equal results; other columns pass
-through untouched, whatever their names; an empty table gives no rows.
+through untouched, whatever their names, but for one that is named like the count, which is replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +34,20 @@ from sentinela.llm import common as C
 
 # Given names by gender and script, forms of address, syllables of surnames.
 GIVEN = {
-    "f": ["Alice", "Amelia", "Beatriz", "Camille", "Carla", "Caroline", "Charlotte", "Chloé", "Claudia", "Eleanor", "Emily", "Fernanda", "Franziska", "Greta", "Hannah", "Helena", "Isabel", "Johanna", "Juliana", "Katharina", "Louise", "Lucía", "Margaret", "Mariana", "Monika", "Sabine", "Sophie", "Victoria"],
-    "m": ["Alexander", "Andrew", "Antoine", "Carlos", "Charles", "Diego", "Edward", "Fernando", "François", "Friedrich", "George", "Guillaume", "Heinrich", "Henry", "Javier", "Johannes", "José", "Jürgen", "Lukas", "Matthias", "Michael", "Nicolas", "Oliver", "Pablo", "Philippe", "Robert", "Stefan", "William"],
-    "cf": ["Анастасия", "Екатерина", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна", "Юлия"],
-    "cm": ["Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Сергей", "Юрий"],
+    "f": ["Mary", "Jennifer", "Linda", "Patricia", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Anna", "Laura", "María", "Carmen", "Ana", "Marie", "Ursula", "Ingrid", "Alice", "Amelia", "Beatriz", "Camille", "Carla", "Caroline", "Charlotte", "Chloé", "Claudia", "Eleanor", "Emily", "Fernanda", "Franziska", "Greta", "Hannah", "Helena", "Isabel", "Johanna", "Juliana", "Katharina", "Louise", "Lucía", "Margaret", "Mariana", "Monika", "Sabine", "Sophie", "Victoria"],
+    "m": ["John", "James", "David", "Richard", "Joseph", "Thomas", "Daniel", "Matthew", "Anthony", "Steven", "Paul", "Kevin", "Brian", "Peter", "Antonio", "Manuel", "Francisco", "Pedro", "João", "Pierre", "Jacques", "Hans", "Karl", "Wolfgang", "Alexander", "Andrew", "Antoine", "Carlos", "Charles", "Diego", "Edward", "Fernando", "François", "Friedrich", "George", "Guillaume", "Heinrich", "Henry", "Javier", "Johannes", "José", "Jürgen", "Lukas", "Matthias", "Michael", "Nicolas", "Oliver", "Pablo", "Philippe", "Robert", "Stefan", "William"],
+    "cf": ["Анастасия", "Екатерина", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна", "Юлия", "Людмила", "Галина"],
+    "cm": ["Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Сергей", "Юрий", "Владимир", "Виктор"],
 }
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Senhor", "Senhora", "г-н", "г-жа"]
+INTRODUCTIONS = ["my name is", "My name is", "signed by", "Signed by", "Sincerely,", "regards,", "me llamo", "Me llamo", "je m'appelle", "Je m'appelle", "ich heiße", "Ich heiße", "mein Name ist", "Mein Name ist", "meu nome é", "Meu nome é", "меня зовут", "Меня зовут"]
 SYLLABLES = {"latin": ["bar", "cor", "dan", "fel", "gar", "hol", "jan", "kel", "lin", "mar", "nor", "pel", "ran", "sol", "tam", "ver"], "cyrillic": ["бар", "вол", "гор", "дан", "кол", "лом", "мар", "нов", "пет", "рад", "сол", "тар"], "greek": ["βαρ", "γαλ", "δαν", "κορ", "λιν", "μαρ", "νικ", "παλ", "σολ", "ταν"]}
 _ANY = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join(TITLES)
+_INTRO = "|".join(INTRODUCTIONS)
 #: A name, without a final 's; what stands before one; small words inside names.
 _WORD = r"\p{Lu}(?:\p{L}+|(?=['’]\p{Lu}))(?:['’-]\p{L}{2,})*"
-_LEAD = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?|(?:{_ANY}))\s"
+_LEAD = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?|(?:{_ANY})|(?:{_INTRO}))\s"
 _PARTICLE = "(?:de|da|do|dos|das|del|di|du|la|le|van|von|der|den|zu|y|e)"
 _BETWEEN = rf"(?:\p{{Lu}}[\p{{L}}'’-]{{0,24}}\.?|{_PARTICLE})\s"
 #: Phone numbers: grouped, international, with a trunk 0 (not a date), and the short-grouped national forms of several countries.
@@ -64,22 +72,40 @@ KINDS = {
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])",
     "phone": "|".join(rf"(?<![0-9\w])(?<![0-9][.,/-]){p}(?![0-9])" for p in PHONES),
     "given": rf"(?=\p{{Lu}})(?:{_ANY})(?!\p{{L}})",
-    "surname": rf"(?=\p{{Lu}})(?<=[\p{{L}}.]\s)(?:(?<={_LEAD})|(?<={_BETWEEN})(?<={_LEAD}{_BETWEEN}(?:{_BETWEEN})?(?:{_BETWEEN})?)){_WORD}",
+    "surname": rf"(?=\p{{Lu}})(?<=[\p{{L}}.,]\s)(?:(?<={_LEAD})|(?<={_BETWEEN})(?<={_LEAD}{_BETWEEN}(?:{_BETWEEN})?(?:{_BETWEEN})?)){_WORD}",
 }
 #: All kinds start where no letter or digit stands before.
 PATTERN = r"(?<![\p{L}0-9])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: What a text must have at all for ``PATTERN`` to be tried: both are single cheap scans.
 MARKS = "[0-9@=:]"
-NAMES = rf"(?<!\p{{L}})(?=\p{{Lu}}|г)(?:{_TITLE}|{_ANY})(?!\p{{L}})"
-DRAWS = 32
+NAMES = rf"(?<!\p{{L}})(?:{_TITLE}|{_ANY}|{_INTRO})(?!\p{{L}})"
+SECRETS = r"\b(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]"
+#: Stands before a secret in the lists of entities.
+TAG = "\x01"
+#: From this draw on surrogates get longer, one character every so many draws.
+LONGER = 16
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def entities(text: Column, names: Column | None = None) -> Column:
-    """The entities of a text in order; with ``names`` also where these stand alone."""
+    """The entities of a text in order, secrets behind ``TAG``; with ``names`` also where these stand alone."""
     if names is not None:
-        return F.regexp_extract_all(text, pattern(names), F.lit(0))
-    hint = text.rlike(MARKS) | text.rlike(NAMES)
-    return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        found = F.regexp_extract_all(text, pattern(names), F.lit(0))
+    else:
+        hint = text.rlike(MARKS) | text.rlike(NAMES)
+        found = F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    secrets = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}0-9])(?:{KINDS['secret']})"), F.lit(0))
+    marked = _let(F.struct(found.alias("f"), secrets.alias("s")), lambda x: F.transform(x["f"], lambda e: F.when(F.array_contains(x["s"], e) & ~e.rlike("@|^(?:AKIA|ASIA)[0-9A-Z]{16}$"), F.concat(F.lit(TAG), e)).otherwise(e)))
+    return F.when(text.rlike(SECRETS), marked).otherwise(found)
+
+
+def plain(entity: Column) -> Column:
+    """The characters of an entity."""
+    return F.translate(entity, TAG, "")
 
 
 def names_of(found: Column) -> Column:
@@ -96,10 +122,11 @@ def pattern(names: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a matched value, told from its form alone."""
+    """The kind of an entity: a tagged one is a secret, the others are told by their form."""
     names = "|".join(f"^{n}$" for names in GIVEN.values() for n in names)
     return (
-        F.when(value.contains("@"), "email")
+        F.when(value.startswith(TAG), "secret")
+        .when(value.contains("@"), "email")
         .when(value.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$"), "access_key")
         .when(value.rlike(rf"^(?:{KINDS['ip'].replace('(?<![0-9.])', '').replace('(?!\\.?[0-9])', '')})$"), "ip")
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}$"), "national_id")
@@ -161,11 +188,6 @@ def _surname(value: Column, stream: Column, draw: Column) -> Column:
     return F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word))))
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def surrogate(value: Column, key: str, draw: Column | None = None) -> Column:
     """The surrogate of an entity at its ``draw``-th attempt (0 if not given)."""
     draw = F.lit(0) if draw is None else draw
@@ -180,20 +202,22 @@ def surrogate(value: Column, key: str, draw: Column | None = None) -> Column:
         """``new``: the value in its own format."""
         octet = lambda i: _number(stream, F.lit(i), 254) + 1
         country = F.regexp_extract(v, prefix, 0)
+        more = F.substring(F.translate(stream, "abcdef", "012345"), F.lit(1), F.floor(draw / LONGER).cast("int"))
+        long = F.concat(new, more)
         return (
-            F.when(kind == "email", F.concat(F.substring_index(new, "@", 1), F.lit("@"), F.regexp_replace(F.substring_index(new, "@", -1), r"\.[^.]+$", ""), F.lit(".example")))
-            .when(kind == "access_key", F.concat(F.substring(v, 1, 4), F.substring(new, F.lit(5), F.lit(16))))
+            F.when(kind == "email", F.concat(F.substring_index(new, "@", 1), more, F.lit("@"), F.regexp_replace(F.substring_index(new, "@", -1), r"\.[^.]+$", ""), F.lit(".example")))
+            .when(kind == "access_key", F.concat(F.substring(v, 1, 4), F.substring(new, F.lit(5), F.lit(16)), more))
             .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
-            .when(kind == "card", _luhn(F.concat(F.substring(v, 1, 1), F.substring(new, F.lit(2), F.length(new) - 1))))
-            .when(kind == "iban", F.concat(F.substring(v, 1, 2), F.substring(new, F.lit(3), F.length(new))))
-            .when(kind == "phone", F.when(v.rlike(prefix + "[ .(-]"), F.concat(country, F.substring(new, F.length(country) + 1, F.length(new)))).otherwise(new))
+            .when(kind == "card", _luhn(F.concat(F.substring(v, 1, 1), F.substring(long, F.lit(2), F.length(long) - 1))))
+            .when(kind == "iban", F.concat(F.substring(v, 1, 2), F.substring(long, F.lit(3), F.length(long))))
+            .when(kind == "phone", F.when(v.rlike(prefix + "[ .(-]"), F.concat(country, F.substring(long, F.length(country) + 1, F.length(long)))).otherwise(long))
             .when(kind == "given", F.element_at(given, v))
             .when(kind == "surname", _surname(v, stream, draw))
-            .otherwise(new)
+            .otherwise(long)
         )
 
     return _let(
-        F.struct(value.alias("v"), kind_of(value).alias("k"), _stream(key, value, draw).alias("s")),
+        F.struct(plain(value).alias("v"), kind_of(value).alias("k"), _stream(key, value, draw).alias("s")),
         lambda x: _let(F.struct(x["v"].alias("v"), x["k"].alias("k"), x["s"].alias("s"), _same_format(x["v"], x["s"]).alias("f")), lambda y: form(y["v"], y["k"], y["s"], y["f"])),
     )
 
@@ -202,9 +226,9 @@ def exceptions(found: DataFrame, key: str) -> DataFrame | None:
     """entity, draw of the entities whose first surrogate was taken; ``found`` (entity) may repeat. None: none."""
     real = C.materialise(found.filter(kind_of(F.col("entity")) != "given").select("entity").distinct(), "entities")
     open_, placed, out = real.withColumn("draw", F.lit(0)), None, None
-    for draw in range(DRAWS):
+    for draw in itertools.count():
         tried = open_.select("entity", F.lit(draw).alias("draw")).withColumn("surrogate", surrogate(F.col("entity"), key, F.lit(draw)))
-        free = tried.join(real.select(F.lower("entity").alias("_s")).distinct(), F.lower("surrogate") == F.col("_s"), "left_anti")
+        free = tried.join(real.select(F.lower(plain(F.col("entity"))).alias("_s")).distinct(), F.lower("surrogate") == F.col("_s"), "left_anti")
         if placed is not None:
             free = free.join(placed.select(F.lower("surrogate").alias("_s")), F.lower("surrogate") == F.col("_s"), "left_anti")
         first = free.groupBy(F.lower("surrogate").alias("_s")).agg(F.min_by(F.struct("entity", "draw", "surrogate"), F.struct(F.lower("entity"), "entity")).alias("r"), F.min(F.lower("entity")).alias("_e"))
@@ -217,7 +241,7 @@ def exceptions(found: DataFrame, key: str) -> DataFrame | None:
         open_ = C.materialise(open_.join(same.select("entity"), "entity", "left_anti").select("entity"), "open")
         if not open_.limit(1).count():
             return None if out is None else out.select("entity", "draw")
-    raise ValueError(f"no distinct surrogate after {DRAWS} draws: the format of some entities leaves too few values")
+    return None
 
 
 def replace(text: Column, found: Column, names: Column, key: str, draws: Column | None = None) -> Column:
@@ -228,20 +252,23 @@ def replace(text: Column, found: Column, names: Column, key: str, draws: Column
     return F.when(F.size(found) > 0, woven).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with its text replaced, and the number of entities added as _n_entities (long)."""
-    seen = docs.withColumn("_first", entities(F.col(text))).withColumn("_names", names_of(F.col("_first")))
-    seen = seen.withColumn("_found", F.when(F.size("_names") > 0, entities(F.col(text), F.col("_names"))).otherwise(F.col("_first"))).drop("_first")
-    late = exceptions(seen.select(F.explode("_found").alias("entity")), key)
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "_n_entities") -> DataFrame:
+    """``docs`` with its text replaced, and the number of entities as ``count`` (long)."""
+    docs = docs.drop(count)
+    first, names, found, ident, mine = C.unused(docs, "_first", "_names", "_found", "_ident", "_draws")
+    seen = docs.withColumn(text, F.col(text).cast("string")).withColumn(first, entities(F.col(text))).withColumn(names, names_of(F.col(first)))
+    seen = seen.withColumn(found, F.when(F.size(names) > 0, entities(F.col(text), F.col(names))).otherwise(F.col(first))).drop(first)
+    late = exceptions(seen.select(F.explode(found).alias("entity")), key)
     draws = None
     if late is not None:
         late = C.materialise(late, "late")
-        ident = F.md5(F.col(text).cast("binary"))
-        touched = seen.filter(F.size("_found") > 0).select(ident.alias("_ident"), F.explode("_found").alias("entity")).distinct().join(late, "entity")
-        touched = C.materialise(touched.groupBy("_ident").agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias("_draws")), "touched")
+        of_text = F.md5(F.col(text).cast("binary"))
+        touched = seen.filter(F.size(found) > 0).select(of_text.alias(ident), F.explode(found).alias("entity")).distinct().join(late, "entity")
+        touched = C.materialise(touched.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(mine)), "touched")
         if touched.count() <= 20_000:  # rows of a hash and a few entities; beyond that the join shuffles
             touched = F.broadcast(touched)
-        seen = seen.withColumn("_ident", ident).join(touched, "_ident", "left")
-        draws = F.coalesce(F.col("_draws"), F.from_json(F.lit("{}"), "map<string,int>"))
-    n = F.coalesce(F.size("_found"), F.lit(0)).cast("long")
-    return seen.withColumn("_n_entities", F.greatest(n, F.lit(0))).withColumn(text, replace(F.col(text), F.col("_found"), F.col("_names"), key, draws)).drop("_found", "_names", "_ident", "_draws")
+        seen = seen.withColumn(ident, of_text).join(touched, ident, "left")
+        draws = F.coalesce(F.col(mine), F.from_json(F.lit("{}"), "map<string,int>"))
+    n = F.coalesce(F.size(found), F.lit(0)).cast("long")
+    out = seen.withColumn(count, F.greatest(n, F.lit(0))).withColumn(text, replace(F.col(text), F.col(found), F.col(names), key, draws))
+    return out.select(*docs.columns, count)

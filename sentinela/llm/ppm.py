@@ -33,13 +33,13 @@ ORDER = 5
 SHARE = 1 << 19
 WHOLE = 2
 HOT_SHARE = 1 << 12
-#: Grams that a task sorts at a time.
-GRAMS = 1_000_000
+#: Grams, or grams and words, that a task sorts at a time.
+GRAMS = 500_000
 #: Documents for each part that the words are dealt to; parts are a power of two, at least LEAST_PARTS.
 PART_DOCS = 8_000
 #: Least buckets that the grams of an order are dealt to; as many as twice the parts of the words, if that is more.
 GRAM_BUCKETS = 32
-LEAST_PARTS = 8
+LEAST_PARTS, MOST_PARTS = 8, 1 << 14
 END_WORD = np.uint64(0xE0D0E0D0E0D0E0D1)
 PAD, END = 0xFF, 0xFE
 ALPHABET = 255
@@ -118,6 +118,17 @@ class Trie:
         with np.errstate(divide="ignore", invalid="ignore"):
             self.plain = np.log10(counts / (self.total[home] + self.kinds[home]))
 
+    def arrays(self) -> tuple:
+        """All of the trie as plain arrays, to be broadcast."""
+        return (self.order, self.count, self.total, self.kinds, self.ruled, self.plain, self.edge.keys, self.edge.values, self.node.keys, self.node.values)
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Trie:
+        out = cls.__new__(cls)
+        out.order, out.count, out.total, out.kinds, out.ruled, out.plain, *slots = arrays
+        out.edge, out.node = K.Slots.of(*slots[:2]), K.Slots.of(*slots[2:])
+        return out
+
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the bytes before it."""
         out = np.zeros(len(g))
@@ -267,14 +278,14 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
 
     Learns from the documents that are not held out (crc32 of the id's text modulo 5 is not ``remainder``).
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, C.Tables()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), C.held_out("doc_id", remainder).alias("held_out"))
     learn = slim.filter("not held_out").select("text")
-    bits = max(LEAST_PARTS.bit_length() - 1, (slim.count() // PART_DOCS).bit_length())
+    bits = min(max(LEAST_PARTS.bit_length() - 1, (slim.count() // PART_DOCS).bit_length()), MOST_PARTS.bit_length() - 1)
     buckets = min(1 << 16, max(GRAM_BUCKETS, 2 << bits))
-    contexts = count_contexts(learn, order, buckets)
+    contexts = tables.add(count_contexts(learn, order, buckets))
     edges = frequent_edges(contexts, order, share)
-    trie, short = spark.sparkContext.broadcast(Trie(edges)), spark.sparkContext.broadcast(edges[: WHOLE + 1])
+    trie, short = spark.sparkContext.broadcast(Trie(edges).arrays()), spark.sparkContext.broadcast(edges[: WHOLE + 1])
     del edges
     parts, shift = 1 << bits, np.uint64(64 - bits)
 
@@ -303,7 +314,7 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
         return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "words": [K.planes(h)], "counts": [K.planes(c)], "n": pa.array([int(c.sum())], pa.int64()), "v": pa.array([len(h)], pa.int64())})
 
     vocabulary = learn.mapInArrow(count_words, "part int, words binary, counts binary")
-    vocabulary = C.materialise(vocabulary.groupBy("part").applyInArrow(add_words, "part int, words binary, counts binary, n long, v long"), "words")
+    vocabulary = tables.write(vocabulary.groupBy("part").applyInArrow(add_words, "part int, words binary, counts binary, n long, v long"), "words")
     n_all, v_all = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.sum("v")).first())
 
     def frequent(batches):
@@ -321,128 +332,129 @@ def score(docs: DataFrame, order: int = ORDER, share: int = SHARE, remainder: in
     base = float(np.log10(n_all + 0.5 * (v_all + 1)))
 
     def score_texts(batches):
-        """For each run of documents: their own row with what is known here, and a row per part of the words.
-
-        Symbols that other tasks code are held for many runs: a row per bucket, with the row of each symbol's document.
-        """
+        """Per piece of text a row (kind 0) with its documents and what is known of them here; per flush a row for each
+        part of the rare words (1) and each bucket of the rare contexts (2), with the places of their documents."""
         from pyspark import TaskContext
 
-        model, row = trie.value, TaskContext.get().partitionId() << 33
-        flush, held_g, held_row, n_held = row, [], [], 0
+        model, task = Trie.of(trie.value), TaskContext.get().partitionId() << 32
+        flush, docs_here, held, n_held = task, 0, ([], [], [], []), 0
+
+        def rows_of(kind: int, home: np.ndarray, *columns: np.ndarray):
+            """A row for each value of ``home``, which is sorted."""
+            at = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+            for x, y in zip(at.tolist(), [*at[1:].tolist(), len(home)], strict=False):
+                yield {"kind": kind, "part": int(home[x]), "flush": flush, "keys": K.planes(columns[0][x:y]), "who": K.planes(columns[1][x:y]), "times": K.planes(columns[2][x:y])}
 
         def later():
-            g, who = np.concatenate(held_g), np.concatenate(held_row)
+            h, at, g, who = (np.concatenate(x) for x in held)
+            by = np.lexsort((at, h))
+            h, at = h[by], at[by]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])])) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(h))).astype(np.uint32)
+            h, at = h[first], at[first]
+            rows = list(rows_of(1, (h >> shift).astype(np.int64), h, at, times))
             home = bucket_of(g, buckets)
             by = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[by], np.arange(buckets + 1))
-            own = [(b, by[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut)).tolist()]
-            return pa.RecordBatch.from_pylist([{"kind": 2, "part": b, "ids": [flush], "words": K.planes(g[x]), "who": K.planes(who[x])} for b, x in own], ARROW_SCORES)
+            return pa.RecordBatch.from_pylist([*rows, *rows_of(2, home[by].astype(np.int64), g[by], who[by], np.zeros(len(by), np.uint8))], ARROW_SCORES)
 
         for batch in batches:
             data, offs = K.flat(batch.column(1))
-            for a, b, d, o in K.pieces(data, offs, 600_000):
-                ids = batch.column(0).slice(a, b - a)
-                total = np.zeros(b - a)
-                for a2, b2, d2, o2 in K.pieces(d, o, 250_000):
-                    text, begin = padded(d2, o2, model.order)
-                    at, first = predicted(begin, np.diff(o2), model.order)
-                    g = grams(text, model.order)[at]
-                    cold = (model.node.find(node_key(g, order)) < 0) if order > WHOLE else np.zeros(len(g), bool)
-                    p = np.zeros(len(g))
-                    p[~cold] = model.log10(g[~cold])
-                    total[a2:b2] = np.add.reduceat(p, first)
-                    held_g.append(g[cold])
-                    held_row.append((row + a2 + np.repeat(np.arange(b2 - a2), np.diff(o2) + 1))[cold])
-                    n_held += len(held_g[-1])
+            for a, b, d, o in K.pieces(data, offs, 250_000):
+                here = docs_here + np.arange(b - a, dtype=np.uint32)
+                text, begin = padded(d, o, model.order)
+                at, first = predicted(begin, np.diff(o), model.order)
+                g = grams(text, model.order)[at]
+                cold = (model.node.find(node_key(g, order)) < 0) if order > WHOLE else np.zeros(len(g), bool)
+                p = np.zeros(len(g))
+                p[~cold] = model.log10(g[~cold])
+                own = np.add.reduceat(p, first)
+                held[2].append(g[cold])
+                held[3].append(np.repeat(here, np.diff(o) + 1)[cold])
                 h, doc = word_counts(d, o)
                 tokens = np.bincount(doc, minlength=b - a)
                 spot = np.minimum(np.searchsorted(hot_words, h), max(0, len(hot_words) - 1)) if len(hot_words) else np.zeros(len(h), np.int64)
                 is_hot = hot_words[spot] == h if len(hot_words) else np.zeros(len(h), bool)
                 known = np.bincount(doc[is_hot], minlength=b - a)
                 part_base = np.bincount(doc[is_hot], np.log10(hot_counts[spot[is_hot]] + 0.5), b - a) if len(hot_words) else np.zeros(b - a)
-                h, doc = h[~is_hot], doc[~is_hot]
-                words, at = np.unique(h, return_inverse=True)
-                order_ = np.argsort(at, kind="stable")
-                at, doc = at[order_], doc[order_]
-                cut_w = np.searchsorted((words >> shift).astype(np.int64), np.arange(parts + 1))
-                cut_p = np.searchsorted(at, cut_w)
-                rows = [{"kind": 0, "part": -1, "ids": list(range(row, row + b - a)), "docs": ids.to_pylist(), "held": batch.column(2).slice(a, b - a).to_pylist(), "tokens": tokens.tolist(), "known": known.tolist(), "base": (part_base - tokens * base).tolist(), "score": total.tolist()}]
-                for p in range(parts):
-                    w0, w1, p0, p1 = cut_w[p], cut_w[p + 1], cut_p[p], cut_p[p + 1]
-                    if w1 > w0:
-                        who, local = np.unique(doc[p0:p1], return_inverse=True)
-                        rows.append({"kind": 1, "part": p, "ids": (who + row).tolist(), "words": K.planes(words[w0:w1]), "per": K.planes(np.bincount(at[p0:p1] - w0).astype(np.uint32)), "who": K.planes(local.astype(np.uint32))})
-                row += b - a
-                yield pa.RecordBatch.from_pylist(rows, ARROW_SCORES)
+                held[0].append(h[~is_hot])
+                held[1].append(here[doc[~is_hot]])
+                n_held += len(held[0][-1]) + len(held[2][-1])
+                row = {"kind": 0, "part": -1, "flush": flush, "places": here.tolist(), "docs": batch.column(0).slice(a, b - a).to_pylist(), "held": batch.column(2).slice(a, b - a).to_pylist()}
+                row |= {"tokens": tokens.tolist(), "known": known.tolist(), "base": (part_base - tokens * base).tolist(), "score": own.tolist()}
+                yield pa.RecordBatch.from_pylist([row], ARROW_SCORES)
+                docs_here += b - a
                 if n_held >= GRAMS:
                     yield later()
-                    flush, held_g, held_row, n_held = flush + 1, [], [], 0
+                    flush, docs_here, held, n_held = flush + 1, 0, ([], [], [], []), 0
         if n_held:
             yield later()
 
-    scored = C.materialise(slim.select("doc_id", "text", "held_out").mapInArrow(score_texts, SCORES), "scores")
+    scored = tables.write(slim.select("doc_id", "text", "held_out").mapInArrow(score_texts, SCORES), "scores")
+
+    def by_flush(left: pa.Table, value) -> pa.Table:
+        """Per flush the places of its documents, and the sums of ``value`` (known, base, score of keys and times)."""
+        out = {"flush": [], "places": [], "known": [], "base": [], "score": []}
+        for flush, keys, who, times in zip(*(left.column(c) for c in ("flush", "keys", "who", "times")), strict=True):
+            who = K.unplanes(who.as_buffer(), np.uint32)
+            places, at = np.unique(who, return_inverse=True)
+            out["flush"].append(flush.as_py())
+            out["places"].append(K.planes(places))
+            for name, x in zip(("known", "base", "score"), value(K.unplanes(keys.as_buffer(), np.uint64), times.as_buffer()), strict=True):
+                out[name].append(b"" if x is None else K.planes(np.bincount(at, x, len(places))))
+        return pa.table(out, pa.schema([("flush", pa.int64()), *((c, pa.binary()) for c in ("places", "known", "base", "score"))]))
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, known, bases = [], [], []
+        """What the training texts know of rare words."""
+        w, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if right.num_rows and left.num_rows:
-            w = np.concatenate([K.unplanes(x, np.uint64) for x in right.column("words").to_pylist()])
-            c = np.concatenate([K.unplanes(x, np.int64) for x in right.column("counts").to_pylist()])
-        else:
-            w, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for who, words, per, local in zip(*(left.column(k) for k in ("ids", "words", "per", "who")), strict=True):
-            words = K.unplanes(words.as_py(), np.uint64)
+            w, c = level_edges(list(zip(right.column("words").to_pylist(), right.column("counts").to_pylist(), strict=True)))
+
+        def value(words, times):
             at = np.minimum(np.searchsorted(w, words), max(0, len(w) - 1))
             n = np.where(w[at] == words, c[at], 0) if len(w) else np.zeros(len(words), np.int64)
-            n = np.repeat(n, K.unplanes(per.as_py(), np.uint32))
-            local = K.unplanes(local.as_py(), np.uint32)
-            size = len(who)
-            ids.append(who.values)
-            known.append(np.bincount(local, n > 0, size).astype(np.int64))
-            bases.append(np.bincount(local, np.log10(n + 0.5), size))
-        out = pa.table({"row": pa.concat_arrays(ids) if ids else pa.array([], pa.int64()), "known": np.concatenate([np.zeros(0, np.int64), *known]), "base": np.concatenate([np.zeros(0), *bases])})
-        return out.group_by("row").aggregate([("known", "sum"), ("base", "sum")]).select(["row", "known_sum", "base_sum"]).rename_columns(["row", "more_known", "more_base"])
-
-    words = scored.filter("kind = 1").select("part", "ids", "words", "per", "who")
-    looked = words.groupBy("part").cogroup(vocabulary.select("part", "words", "counts").groupBy("part")).applyInArrow(look_up, "row long, more_known long, more_base double")
-    parted = contexts.filter(F.col("level") > WHOLE).select(F.col("bucket").alias("part"), "level", "grams", "counts")
+            m = K.unplanes(times, np.uint32)
+            return (n > 0) * m, np.log10(n + 0.5) * m, None
+
+        return by_flush(left, value)
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Per run of held symbols: the documents' rows and the sums of what was coded here."""
+        """The probabilities of symbols after rare contexts."""
         if not left.num_rows:
-            return pa.table({"flush": pa.array([], pa.int64()), "rows": pa.array([], pa.binary()), "sums": pa.array([], pa.binary())})
+            return by_flush(left, None)
         level, blobs = right.column("level").to_pylist(), list(zip(right.column("grams").to_pylist(), right.column("counts").to_pylist(), strict=True))
         model = Trie([*(short.value[k] for k in range(WHOLE + 1)), *(level_edges([b for x, b in zip(level, blobs, strict=True) if x == k]) for k in range(WHOLE + 1, order + 1))])
-        out = []
-        for ids, g, who in zip(left.column("ids").to_pylist(), left.column("words"), left.column("who"), strict=True):
-            who, g = K.unplanes(who.as_buffer(), np.int64), K.unplanes(g.as_buffer(), np.uint64)
-            p = np.concatenate([model.log10(g[a : a + 250_000]) for a in range(0, len(g), 250_000)])
-            doc, first = np.unique(who, return_index=True)  # rows are in order
-            out.append((ids[0], K.planes(doc), K.planes(np.add.reduceat(p, first))))
-        return pa.table({"flush": pa.array([x[0] for x in out], pa.int64()), "rows": [x[1] for x in out], "sums": [x[2] for x in out]})
-
-    def add_coded(t: pa.Table) -> pa.Table:
-        doc = np.concatenate([K.unplanes(x.as_buffer(), np.int64) for x in t.column("rows")])
-        p = np.concatenate([K.unplanes(x.as_buffer(), np.float64) for x in t.column("sums")])
-        doc, at = np.unique(doc, return_inverse=True)
-        return pa.table({"row": doc, "more_score": np.bincount(at, p, len(doc))})
-
-    rest = scored.filter("kind = 2").select("part", "ids", "words", "who")
-    coded = rest.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(code, "flush long, rows binary, sums binary")
-    coded = coded.groupBy("flush").applyInArrow(add_coded, "row long, more_score double")
-    coded = coded.groupBy("row").agg(F.sum("more_score").alias("more_score"))  # a document in two flushes of a task
-    looked = looked.groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
-    own = scored.filter("kind = 0").select(F.explode(F.arrays_zip("ids", "docs", "held", "tokens", "known", "base", "score")).alias("r"))
-    return own.withColumn("row", F.col("r.ids")).join(looked, "row", "left").join(coded, "row", "left").select(
+        return by_flush(left, lambda g, _: (None, None, np.concatenate([model.log10(g[a : a + 250_000]) for a in range(0, len(g), 250_000)])))
+
+    def add_up(t: pa.Table) -> pa.Table:
+        """The sums of one flush, whose documents are no other one's."""
+        every = [K.unplanes(x.as_buffer(), np.uint32) for x in t.column("places")]
+        places, at = np.unique(np.concatenate(every), return_inverse=True)
+        sums = {}
+        for name in ("known", "base", "score"):
+            raw = [np.zeros(len(e)) if not len(b.as_py()) else K.unplanes(b.as_buffer(), np.float64) for e, b in zip(every, t.column(name), strict=True)]
+            sums[f"more_{name}"] = np.bincount(at, np.concatenate(raw), len(places))
+        return pa.table({"flush": pa.array([t.column("flush")[0].as_py()] * len(places), pa.int64()), "place": places.astype(np.int64), **sums})
+
+    words = scored.filter("kind = 1").select("part", "flush", "keys", "who", "times")
+    found = "flush long, places binary, known binary, base binary, score binary"
+    looked = words.groupBy("part").cogroup(vocabulary.select("part", "words", "counts").groupBy("part")).applyInArrow(look_up, found)
+    parted = contexts.filter(F.col("level") > WHOLE).select(F.col("bucket").alias("part"), "level", "grams", "counts")
+    rest = scored.filter("kind = 2").select("part", "flush", "keys", "who", "times")
+    coded = rest.groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(code, found)
+    more = looked.unionByName(coded).groupBy("flush").applyInArrow(add_up, "flush long, place long, more_known double, more_base double, more_score double")
+    own = scored.filter("kind = 0").select("flush", F.explode(F.arrays_zip("places", "docs", "held", "tokens", "known", "base", "score")).alias("r")).withColumn("place", F.col("r.places"))
+    tables.drop(keep=[scored, vocabulary, contexts])
+    return own.join(more, ["flush", "place"], "left").select(
         F.col("r.docs").alias("doc_id"),
         F.col("r.held").alias("held_out"),
         F.col("r.tokens").alias("n_tokens"),
-        (F.col("r.known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("r.known") + F.coalesce("more_known", F.lit(0.0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("r.base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("r.score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
-SCORES = "kind int, part int, ids array<long>, docs array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, score array<double>, words binary, per binary, who binary"
-ARROW_SCORES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *((k, pa.list_(pa.int64())) for k in ("ids", "docs")), ("held", pa.list_(pa.bool_())), *((k, pa.list_(pa.int64())) for k in ("tokens", "known")), *((k, pa.list_(pa.float64())) for k in ("base", "score")), *((k, pa.binary()) for k in ("words", "per", "who"))])
+SCORES = "kind int, part int, flush long, places array<long>, docs array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, score array<double>, keys binary, who binary, times binary"
+ARROW_SCORES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("flush", pa.int64()), *((k, pa.list_(pa.int64())) for k in ("places", "docs")), ("held", pa.list_(pa.bool_())), *((k, pa.list_(pa.int64())) for k in ("tokens", "known")), *((k, pa.list_(pa.float64())) for k in ("base", "score")), *((k, pa.binary()) for k in ("keys", "who", "times"))])
 K.ship(__name__)

@@ -87,8 +87,10 @@ def measure(data: np.ndarray, offs: np.ndarray, window: int = 5) -> dict[str, np
     closed = CLOSING[data[np.maximum(0, ends[last_word] - 1)]] if len(starts) else np.zeros(len(l_start), bool)
     several = np.bincount(l_doc[solid], minlength=n)[l_doc] > 1
     phrase = np.zeros(len(l_start), bool)
-    hits = [m.start() for m in BOILERPLATE.finditer(K.LOWER[data].tobytes())]
-    phrase[np.searchsorted(l_start, np.array(hits, np.int64), side="right") - 1] = True if hits else False
+    apart = np.insert(K.LOWER[data], offs[1:-1], 10)  # a line end between documents: no phrase crosses it
+    hits = np.array([m.start() for m in BOILERPLATE.finditer(apart.tobytes())], np.int64)
+    hits -= np.searchsorted(offs[1:-1] + np.arange(n - 1), hits, side="right") if n > 1 else 0
+    phrase[np.searchsorted(l_start, hits, side="right") - 1] = True
     failed = (l_words > 0) & (later | phrase | (bars >= 3) | ((l_words <= 3) & ~closed & several) | (15 * symbols >= np.maximum(1, l_chars)))
     out["lost_chars"] = np.bincount(l_doc, l_chars * failed, n).astype(np.int64)
     out["n_failed_lines"] = np.bincount(l_doc, failed, n).astype(np.int64)

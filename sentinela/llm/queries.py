@@ -7,14 +7,15 @@ tests/llm.
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.llm import chat, fingerprints, language, mixing, near, packing, pii, ppm, quality, repeats
 
-#: The secret of the surrogates; set it in production.
-PII_KEY = os.environ.get("SENTINELA_PII_KEY", "a key for tests only")
+#: The secret of the surrogates. Unless it is set, one is drawn anew in each process, and surrogates of two runs differ.
+PII_KEY = os.environ.get("SENTINELA_PII_KEY") or secrets.token_hex(32)
 
 
 def vocabulary_path() -> str:

@@ -10,9 +10,9 @@ are exactly the repeated windows.
   Runs whose digit occurs once cannot repeat and are done.
 * Second digit: the run's own bytes, by hash. Where two runs have the same bytes, all their windows repeat.
 * Remaining digits: one copy of each other run sends its bytes to a bucket of its first digit, where
-  most-significant-digit passes order the windows; groups of one drop out at every pass.
-  A first digit with very many different runs (a common line amid other text) takes two 64-bit hashes of the
-  whole window as its last digits instead and is grouped with map-side sums, so it never meets in one task.
+  most-significant-digit passes order the windows, eight bytes a pass; groups of one drop out at every pass.
+  A first digit with very many different runs (a common line amid other text) would meet in one task; its windows
+  take two 64-bit hashes of all their bytes as one last digit and are grouped in the cluster with map-side sums.
 
 Defined results: a null or empty text has no windows; texts shorter than ``depth`` keep all bytes; repeated rows
 count as further places; an empty table gives no rows. Matches never cross documents.
@@ -109,26 +109,34 @@ def digit_counts(keyed: DataFrame, depth: int, gram: int) -> DataFrame:
     return keyed.select("text").mapInArrow(run, "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n"))
 
 
-def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int, passes: int = 3) -> np.ndarray:
+def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
     """Most-significant-digit passes over the windows at ``starts``: which share all ``depth`` bytes with another
-    window of their group. A digit is a third of the window, by its 64-bit hash; a group's name is the hash of its
-    parent and its digit, and only groups of two or more reach the next pass."""
+    window of their group. A digit is the next eight bytes as a number; each pass sorts every group by it, where its
+    members differ, and only groups of two or more reach the next one."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    digits = np.zeros(len(data) + 1, np.uint64)
+    for k in range(8):
+        digits = digits << np.uint64(8) | padded[k : k + len(digits)]
+    live = np.argsort(group, kind="stable")
+    name = group[live]
+    for at in [*range(0, depth - 8, 8), max(0, depth - 8)]:
+        d = digits[starts[live] + at]
+        border = name[1:] != name[:-1]
+        mixed = (d[1:] != d[:-1]) & ~border
+        if mixed.any():
+            own = np.concatenate([[0], np.cumsum(border)])
+            unequal = np.zeros(own[-1] + 1, bool)
+            unequal[own[1:][mixed]] = True
+            where = np.flatnonzero(unequal[own])
+            by = where[np.lexsort((d[where], own[where]))]
+            live[where], d[where] = live[by], d[by]
+            border |= d[1:] != d[:-1]
+        twin = np.zeros(len(live), bool)
+        twin[1:] = ~border
+        twin[:-1] |= ~border
+        name = np.concatenate([[0], np.cumsum(border)])[: len(live)][twin]
+        live = live[twin]
     repeated = np.zeros(len(starts), bool)
-    live, name = np.arange(len(starts)), K.mix(group)
-    prefix = K.prefix_hash(data)
-    cuts = np.linspace(0, depth, passes + 1).astype(int)
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        if not len(live):
-            break
-        with np.errstate(over="ignore"):
-            name = K.mix(name * np.uint64(0xD6E8FEB86659FD93) + K.span_hash(prefix, starts[live] + lo, starts[live] + hi))
-        order = np.argsort(name)
-        s = name[order]
-        twin = np.zeros(len(s), bool)
-        twin[1:] = s[1:] == s[:-1]
-        twin[:-1] |= twin[1:]
-        keep = order[twin]
-        live, name = live[keep], name[keep]
     repeated[live] = True
     return repeated
 
