@@ -32,9 +32,10 @@ def build(tables: dict[str, DataFrame], ref_date, key: str, variant: str = "batc
     partners = core.match_servants(partners, tables["servidores"])
     partners = core.hash_column(partners, "cpf_parcial", key, "cpf_hmac")
     partners = core.number_rows(core.enrich_partners(partners, suppliers, sanctions, ref_date), "pk_socio", ["cnpj_basico", "nome_socio"])
-    scores = score.all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant)
-    found = alerts.all_alerts(suppliers, partners, contracts, sanctions, donations, ref_date)
+    per = core.per_supplier(contracts).persist()  # a row per supplier, read by all rules
+    scores = score.all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant, per)
+    found = alerts.all_alerts(suppliers, partners, contracts, sanctions, donations, ref_date, per)
     edges = graph.edges(suppliers, partners)
     top, top_edges = graph.top(edges, graph.nodes(suppliers, partners, edges))
     donations = core.hash_column(donations, "doc_doador", key, "doc_doador_hmac")
-    return {"dim_fornecedor": core.denormalise(suppliers, scores, found, contracts), "dim_socio": partners, "fato_contrato": contracts, "fato_doacao": donations, "dim_sancao": sanctions, "fato_score_detalhe": scores, "fato_alerta_critico": found.withColumn("detectado_em", F.lit(ref_date).cast("timestamp_ntz")), "grafo_nos": top, "grafo_arestas": top_edges}
+    return {"dim_fornecedor": core.denormalise(suppliers, scores, found, per), "dim_socio": partners, "fato_contrato": contracts, "fato_doacao": donations, "dim_sancao": sanctions, "fato_score_detalhe": scores, "fato_alerta_critico": found.withColumn("detectado_em", F.lit(ref_date).cast("timestamp_ntz")), "grafo_nos": top, "grafo_arestas": top_edges}

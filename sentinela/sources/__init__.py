@@ -65,10 +65,11 @@ CONTRACT_SCHEMA = "num_licitacao string, cnpj_fornecedor string, codigo_orgao st
 
 
 def contracts_json(spark, path) -> DataFrame:
-    """Files that hold ``{"data": [...]}`` or a bare list of records."""
-    raw = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", f"struct<data:array<{_RECORD}>>")["data"]
-    rows = raw.select(F.explode(F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{_RECORD}>")).otherwise(wrapped)).alias("r"))
+    """Files that hold ``{"data": [...]}`` or a bare list of records; many files are read by many tasks."""
+    record = T._parse_datatype_string(_RECORD)
+    schema = T.StructType([T.StructField("data", T.ArrayType(record)), *record.fields])
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = raw.select(F.explode(F.coalesce("data", F.array(F.struct(*record.names)))).alias("r"))
     some = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
     return rows.select(
         F.monotonically_increasing_id().alias("_ord"),
@@ -89,9 +90,7 @@ def contracts_json(spark, path) -> DataFrame:
 
 def contracts_parquet(spark, directory: str) -> DataFrame:
     """The windows of a directory as one table; nothing there gives an empty one."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/window_*.parquet")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    if not found:
+    if not files_of(spark, f"{directory}/window_*.parquet"):
         return spark.createDataFrame([], CONTRACT_SCHEMA).withColumn("_ord", F.monotonically_increasing_id())
     return spark.read.schema(CONTRACT_SCHEMA).parquet(f"{directory}/window_*.parquet").withColumn("_ord", F.monotonically_increasing_id())
 
@@ -101,13 +100,23 @@ def servants(spark, path) -> DataFrame:
     return df.select("_ord", F.upper(col(df, "NOME")).alias("nome"), col(df, "CPF").alias("cpf_mascarado"), fn.visible_digits(col(df, "CPF")).alias("digitos_visiveis"), col(df, "CARGO_DESCRICAO", "DESCRICAO_CARGO").alias("cargo"), col(df, "ORGAO_LOTACAO", "ORG_LOTACAO").alias("orgao_lotacao"), F.lit(True).alias("is_servidor_publico"))
 
 
-def donations(spark, paths: list[str]) -> DataFrame:
-    """Files of one or more states (national totals and original donors are left out), columns matched by name."""
-    own = [p for p in paths if "_brasil" not in p.lower() and "doador_originario" not in p.lower()]
+def files_of(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a glob pattern matches, by Spark's own file systems, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def donations(spark, paths: list[str] | str) -> DataFrame:
+    """Files of one or more states, or all CSV files of a directory (national totals and original donors are left out),
+    columns matched by name."""
+    paths = files_of(spark, f"{paths}/*.csv") if isinstance(paths, str) else paths
+    name = lambda p: p.rstrip("/").rpartition("/")[2].lower()
     out = None
-    for p in own:
-        one = read_csv(spark, p)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    for p in paths:
+        if "_brasil" not in name(p) and "doador_originario" not in name(p):
+            one = read_csv(spark, p)
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], "_ord long, doc_doador string, nome_doador string, doc_candidato string, nome_candidato string, partido string, cargo string, uf string, valor decimal(18,2), tipo_recurso string, data_receita date, ano_eleicao int, tipo_doador string")
     doc = col(out, "NR_CPF_CNPJ_DOADOR")

@@ -57,6 +57,24 @@ def test_run_and_publish(spark, tables, tmp_path):
     assert publish.current(spark, str(tmp_path / "w")).endswith(version)
 
 
+def test_a_failed_pointer_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    out, df = str(tmp_path / "w"), spark.range(2)
+    first = publish.publish(spark, {"a": df}, out)
+    point = publish._point
+
+    def broken(spark, out, version):
+        raise OSError("no rename")
+
+    monkeypatch.setattr(publish, "_point", broken)
+    with pytest.raises(OSError):
+        publish.publish(spark, {"a": df}, out)
+    assert publish.current(spark, out).endswith(first) and len(list((tmp_path / "w").glob("v-*"))) == 1
+    monkeypatch.setattr(publish, "_point", point)
+    second = publish.publish(spark, {"a": df.limit(1)}, out)
+    assert publish.current(spark, out).endswith(second) and not list((tmp_path / "w").glob("_POINTER*"))
+    assert publish.table_counts(spark, out, ["a"]).first().n == 1
+
+
 def test_gate(tables):
     with pytest.raises(publish.Incomplete) as e:
         publish.check_complete({**tables, "qsa": tables["qsa"].limit(0), "doacoes": None})
