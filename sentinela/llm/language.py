@@ -77,7 +77,10 @@ def logits(table: np.ndarray, bias: np.ndarray, data: np.ndarray, offs: np.ndarr
     out = np.tile(bias, (len(offs) - 1, 1)).astype(np.float64)
     full = np.flatnonzero(np.diff(offs))
     if len(full):
-        grams = buckets_of(data)
+        own = np.arange(len(data)) + 4 * np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        apart = np.full(len(data) + 4 * (len(offs) - 1), 32, np.uint8)  # blanks after each text: no n-gram reaches the next
+        apart[own] = data
+        grams = [g[own] for g in buckets_of(apart)]
         for at in range(table.shape[1]):
             column = np.ascontiguousarray(table[:, at])
             each = column[grams[0]]

@@ -11,7 +11,7 @@ import pytest
 from pyspark import cloudpickle
 
 import corpus_pipeline
-from sentinela.llm import chat, common, fingerprints, language, mixing, near, pii, ppm, quality
+from sentinela.llm import chat, common, fingerprints, kernels, language, mixing, near, pii, ppm, quality, repeats
 
 
 def test_a_phrase_across_two_documents_is_none():
@@ -102,7 +102,8 @@ def test_workers_need_not_have_the_package(tmp_path):
     trie = ppm.Trie([(np.array([97], np.uint64), np.array([2]))])
     shipped = pickle.dumps((tuple(model), trie.arrays()))
     assert b"sentinela" not in shipped
-    (tmp_path / "f").write_bytes(cloudpickle.dumps((lambda m, t: (near.shingles(data, offs, 4)[0].tolist(), language.logits(m[1], m[2], data, offs).shape, ppm.Trie.of(t).log10(np.array([97], np.uint64)).shape), shipped)))
+    shingles, logits, of = near.shingles, language.logits, ppm.Trie.of
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((lambda m, t: (shingles(data, offs, 4)[0].tolist(), logits(m[1], m[2], data, offs).shape, of(t).log10(np.array([97], np.uint64)).shape), shipped)))
     code = f"import pickle, sys; f, b = pickle.load(open({str(tmp_path / 'f')!r}, 'rb')); assert 'sentinela' not in sys.modules; print(f(*pickle.loads(b)))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
     assert done.returncode == 0 and done.stdout.strip() == "([0, 0], (1, 2), (1,))", done.stderr
@@ -132,6 +133,22 @@ def test_mixing_deals_all_slots(spark):
     assert len({v for (_, key), v in by_shard.items() if key == "a"}) > 1
 
 
+def test_pieces_of_a_batch_do_not_matter(spark, monkeypatch):
+    """Texts longer than a piece, and pieces of one text each, give what large pieces give."""
+    rng = np.random.RandomState(4)
+    shared = " ".join(f"p{i}" for i in range(90))
+    rows = [(i, " ".join([*(f"w{x}" for x in rng.randint(0, 50, 20 + 60 * i)), shared, "click here\n", *(f"v{x}" for x in rng.randint(0, 50, 30))]), "ab"[i % 2] * 2) for i in range(12)]
+    docs = spark.createDataFrame([*rows, rows[3], (99, None, "aa"), (100, "", "bb")], "doc_id long, text string, lang string").repartition(2)
+
+    def found():
+        every = [repeats.cut_repeats(docs), near.near_duplicates(docs).drop("row_key", "group"), quality.judge(docs), language.identify(docs), fingerprints.fingerprint_documents(docs), ppm.score(docs)]
+        return [sorted(tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in df.collect()) for df in every]
+
+    want = found()
+    monkeypatch.setattr(kernels.pieces, "__defaults__", (700,))
+    assert found() == want
+
+
 def test_unused_names(spark):
     assert common.unused(spark.createDataFrame([(1, 2)], "a int, _A int"), "a", "b") == ["__a", "b"]
 
