@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +41,12 @@ GIVEN = {
     "cm": ["Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Сергей", "Юрий", "Владимир", "Виктор"],
 }
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Senhor", "Senhora", "г-н", "г-жа"]
-INTRODUCTIONS = ["my name is", "My name is", "signed by", "Signed by", "Sincerely,", "regards,", "me llamo", "Me llamo", "je m'appelle", "Je m'appelle", "ich heiße", "Ich heiße", "mein Name ist", "Mein Name ist", "meu nome é", "Meu nome é", "меня зовут", "Меня зовут"]
 SYLLABLES = {"latin": ["bar", "cor", "dan", "fel", "gar", "hol", "jan", "kel", "lin", "mar", "nor", "pel", "ran", "sol", "tam", "ver"], "cyrillic": ["бар", "вол", "гор", "дан", "кол", "лом", "мар", "нов", "пет", "рад", "сол", "тар"], "greek": ["βαρ", "γαλ", "δαν", "κορ", "λιν", "μαρ", "νικ", "παλ", "σολ", "ταν"]}
 _ANY = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join(TITLES)
-_INTRO = "|".join(INTRODUCTIONS)
 #: A name, without a final 's; what stands before one; small words inside names.
 _WORD = r"\p{Lu}(?:\p{L}+|(?=['’]\p{Lu}))(?:['’-]\p{L}{2,})*"
-_LEAD = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?|(?:{_ANY})|(?:{_INTRO}))\s"
+_LEAD = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?|(?:{_ANY}))\s"
 _PARTICLE = "(?:de|da|do|dos|das|del|di|du|la|le|van|von|der|den|zu|y|e)"
 _BETWEEN = rf"(?:\p{{Lu}}[\p{{L}}'’-]{{0,24}}\.?|{_PARTICLE})\s"
 #: Phone numbers: grouped, international, with a trunk 0 (not a date), and the short-grouped national forms of several countries.
@@ -72,13 +71,16 @@ KINDS = {
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])",
     "phone": "|".join(rf"(?<![0-9\w])(?<![0-9][.,/-]){p}(?![0-9])" for p in PHONES),
     "given": rf"(?=\p{{Lu}})(?:{_ANY})(?!\p{{L}})",
-    "surname": rf"(?=\p{{Lu}})(?<=[\p{{L}}.,]\s)(?:(?<={_LEAD})|(?<={_BETWEEN})(?<={_LEAD}{_BETWEEN}(?:{_BETWEEN})?(?:{_BETWEEN})?)){_WORD}",
+    "surname": rf"(?=\p{{Lu}})(?<=[\p{{L}}.]\s)(?:(?<={_LEAD})|(?<={_BETWEEN})(?<={_LEAD}{_BETWEEN}(?:{_BETWEEN})?(?:{_BETWEEN})?)){_WORD}",
 }
 #: All kinds start where no letter or digit stands before.
 PATTERN = r"(?<![\p{L}0-9])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: What a text must have at all for ``PATTERN`` to be tried: both are single cheap scans.
 MARKS = "[0-9@=:]"
-NAMES = rf"(?<!\p{{L}})(?:{_TITLE}|{_ANY}|{_INTRO})(?!\p{{L}})"
+NAMES = rf"(?<!\p{{L}})(?=\p{{Lu}}|г)(?:{_TITLE}|{_ANY})(?!\p{{L}})"
+#: Words that introduce a name (all but their first letter), and the name after them.
+INTRODUCTIONS = ["y name is ", "igned by ", "e llamo ", "e m'appelle ", "ch heiße ", "ein Name ist ", "eu nome é ", "еня зовут "]
+INTRODUCED = rf"(?<=\p{{L}})(?:{'|'.join(INTRODUCTIONS)})({_WORD}(?:\s{_WORD}){{0,2}})"
 SECRETS = r"\b(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]"
 #: Stands before a secret in the lists of entities.
 TAG = "\x01"
@@ -108,11 +110,14 @@ def plain(entity: Column) -> Column:
     return F.translate(entity, TAG, "")
 
 
-def names_of(found: Column) -> Column:
-    """The names among a text's entities that are not in the list, longest first."""
+def names_of(text: Column, found: Column) -> Column:
+    """The names among a text's entities that are not in the list, and those that are introduced, longest first."""
     listed = "|".join(f"^{n}$" for names in GIVEN.values() for n in names)
-    own = F.array_distinct(F.filter(found, lambda e: e.rlike(rf"^{_WORD}$") & ~e.rlike(listed)))
-    return F.reverse(F.transform(F.array_sort(F.transform(own, lambda e: F.struct(F.length(e).alias("n"), e.alias("e")))), lambda x: x["e"]))
+    own = F.filter(found, lambda e: e.rlike(rf"^{_WORD}$") & ~e.rlike(listed))
+    introduced = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(INTRODUCED), F.lit(1)), lambda e: F.split(e, r"\s")))
+    hint = reduce(Column.__or__, [text.contains(x) for x in INTRODUCTIONS])
+    every = F.when(hint, F.concat(own, introduced)).otherwise(own)
+    return F.reverse(F.transform(F.array_sort(F.transform(F.array_distinct(every), lambda e: F.struct(F.length(e).alias("n"), e.alias("e")))), lambda x: x["e"]))
 
 
 def pattern(names: Column) -> Column:
@@ -256,7 +261,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "_n
     """``docs`` with its text replaced, and the number of entities as ``count`` (long)."""
     docs = docs.drop(count)
     first, names, found, ident, mine = C.unused(docs, "_first", "_names", "_found", "_ident", "_draws")
-    seen = docs.withColumn(text, F.col(text).cast("string")).withColumn(first, entities(F.col(text))).withColumn(names, names_of(F.col(first)))
+    seen = docs.withColumn(text, F.col(text).cast("string")).withColumn(first, entities(F.col(text))).withColumn(names, names_of(F.col(text), F.col(first)))
     seen = seen.withColumn(found, F.when(F.size(names) > 0, entities(F.col(text), F.col(names))).otherwise(F.col(first))).drop(first)
     late = exceptions(seen.select(F.explode(found).alias("entity")), key)
     draws = None
