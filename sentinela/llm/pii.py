@@ -132,8 +132,8 @@ def names_of(text: Column, found: Column) -> Column:
 
 def pattern(names: Column) -> Column:
     """``PATTERN``, and names wherever they stand."""
-    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}0-9])(?=\p{Lu})(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}0-9])"))
-    return F.when(F.size(names) > 0, alone).otherwise(F.lit(PATTERN))
+    alone = F.concat(F.lit(r"|(?<![\p{L}0-9])(?=\p{Lu})(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}0-9])"))
+    return F.concat(F.lit(PATTERN), F.when(F.size(names) > 0, alone).otherwise(""))
 
 
 def kind_of(value: Column) -> Column:
@@ -243,6 +243,7 @@ def exceptions(found: DataFrame, key: str) -> DataFrame | None:
     open_, placed, out = real.withColumn("draw", F.lit(0)), None, None
     for draw in itertools.count():
         tried = open_.select("entity", F.lit(draw).alias("draw")).withColumn("surrogate", surrogate(F.col("entity"), key, F.lit(draw)))
+        tried = C.materialise(tried, "tried")  # the long expression stands in this plan alone
         free = tried.join(real.select(F.lower(plain(F.col("entity"))).alias("_s")).distinct(), F.lower("surrogate") == F.col("_s"), "left_anti")
         if placed is not None:
             free = free.join(placed.select(F.lower("surrogate").alias("_s")), F.lower("surrogate") == F.col("_s"), "left_anti")
