@@ -141,13 +141,16 @@ def chain(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The array's bytes plane by plane: sorted or small integers then compress well in a shuffle."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+    """The array's bytes plane by plane, which suits sorted or small integers, compressed; the size stands in front."""
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+    return raw.nbytes.to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw.nbytes else b"")
 
 
-def unplanes(b: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(b, np.uint8)
+def unplanes(b: bytes | pa.Buffer, dtype) -> np.ndarray:
+    """The array of ``planes``."""
+    size, whole = np.dtype(dtype).itemsize, pa.py_buffer(b)
+    n = int.from_bytes(whole[:8], "little")
+    raw = np.frombuffer(pa.decompress(whole[8:], decompressed_size=n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).reshape(-1).view(dtype)
 
 
