@@ -15,7 +15,9 @@ from pyspark import cloudpickle
 
 U64 = np.uint64
 _rng = np.random.RandomState(20240229)
-#: A random 64-bit value per byte and an odd base: a polynomial hash modulo 2**64.
+#: A random 64-bit value per byte and an odd base: a polynomial hash modulo 2**64, of at most ``SPAN_BLOCK`` bytes at a
+#: time. Over longer stretches such a sum falls on equal values for strings like the Thue-Morse words, whatever the base.
+SPAN_BLOCK = 32
 BYTE_VALUE = _rng.randint(0, 2**63 - 1, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 BYTE_VALUE_2 = _rng.randint(0, 2**63 - 1, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
@@ -115,10 +117,27 @@ def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE_VALUE) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
+    """A 64-bit hash of each span's bytes, the same wherever the span stands: a span's blocks of ``SPAN_BLOCK`` bytes are
+    mixed one by one with their places, summed, and mixed again with the length."""
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
     with np.errstate(over="ignore"):
         inv = powers(BASE_INV, len(prefix))
-        return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(U64))
+        size = ends - starts
+        out = mix((prefix[np.minimum(ends, starts + SPAN_BLOCK)] - prefix[starts]) * inv[starts] + size.astype(U64))
+        long = np.flatnonzero(size > SPAN_BLOCK)
+        at, most = 0, 1 << 20
+        blocks = -(-size[long] // SPAN_BLOCK) - 1
+        upto = np.cumsum(blocks)
+        while at < len(long):  # about a million blocks at a time
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+            n = blocks[at:end]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+            a = np.repeat(starts[long[at:end]], n) + k * SPAN_BLOCK
+            b = np.minimum(a + SPAN_BLOCK, np.repeat(ends[long[at:end]], n))
+            part = mix((prefix[b] - prefix[a]) * inv[a] ^ mix(k.astype(U64)))
+            out[long[at:end]] = mix(out[long[at:end]] + np.add.reduceat(part, np.cumsum(n) - n))
+            at = end
+        return out
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
