@@ -12,7 +12,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinela.llm import chat, fingerprints, language, mixing, near, packing, pii, ppm, quality, repeats
+from sentinela.llm import chat, fingerprints, jaccard, language, mixing, near, packing, pii, ppm, quality, repeats
 
 #: The secret of the surrogates. Unless it is set, one is drawn anew in each process, and surrogates of two runs differ.
 PII_KEY = os.environ.get("SENTINELA_PII_KEY") or secrets.token_hex(32)
@@ -73,7 +73,11 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language, op3_ppm, op4_fingerprints, op5_repeats, op6_chat, op7_near, op8_quality, op9_packing, op10_mixing)}
+def op11_jaccard(spark, sf_dir):
+    return jaccard.similar_documents(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language, op3_ppm, op4_fingerprints, op5_repeats, op6_chat, op7_near, op8_quality, op9_packing, op10_mixing, op11_jaccard)}
 
 ORACLE = {
     "op6_chat": """
