@@ -12,7 +12,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinela.llm import chat, fingerprints, jaccard, language, mixing, near, packing, pii, ppm, quality, repeats
+from sentinela.llm import chat, divergence, fingerprints, jaccard, language, mixing, near, packing, pii, ppm, quality, repeats, spelling
 
 #: The secret of the surrogates. Unless it is set, one is drawn anew in each process, and surrogates of two runs differ.
 PII_KEY = os.environ.get("SENTINELA_PII_KEY") or secrets.token_hex(32)
@@ -77,7 +77,16 @@ def op11_jaccard(spark, sf_dir):
     return jaccard.similar_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language, op3_ppm, op4_fingerprints, op5_repeats, op6_chat, op7_near, op8_quality, op9_packing, op10_mixing, op11_jaccard)}
+def op12_spelling(spark, sf_dir):
+    out = spelling.spelling_variants(_documents(spark, sf_dir), drop=199)
+    return out.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language, op3_ppm, op4_fingerprints, op5_repeats, op6_chat, op7_near, op8_quality, op9_packing, op10_mixing, op11_jaccard, op12_spelling, op13_divergence)}
 
 ORACLE = {
     "op6_chat": """
@@ -92,5 +101,36 @@ c AS (
 u AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS copies, whole, min(rendered) AS rendered FROM c GROUP BY n, whole)
 SELECT conv_id, n_turns, copies, rendered FROM u
 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > u.n_turns AND starts_with(c.whole, u.whole))
+""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT row, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    CAST(1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0)::HUGEINT + 2 * v.v) AS BIGINT) AS p
+  FROM grp g JOIN kept k USING (lang) JOIN vocabulary v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+cl AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term),
+nl AS (SELECT lang, sum(c) AS n FROM cl GROUP BY lang),
+q AS (SELECT cl.lang, term, CAST(1 + (1000000000::HUGEINT * (c + 2)) // (n::HUGEINT + 2 * v) AS BIGINT) AS q FROM cl JOIN nl USING (lang) JOIN vocabulary USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pair.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT * FROM (
+  SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 10
 """,
 }
