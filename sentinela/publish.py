@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentinela import layout as files
+
 REQUIRED = ["empresas", "qsa", "contratos", "sancoes", "servidores", "doacoes"]
 OPTIONAL = ["rais"]
 #: A small file with the name of the current version's folder.
@@ -60,21 +62,45 @@ def _point(spark: SparkSession, out: str, version: str) -> None:
         raise
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> str:
+def publish(spark: SparkSession, tables: dict[str, DataFrame], out: str, layout: dict | None = None, keep: int | None = None) -> str:
     """Write every table to a new version folder, then point ``out``/CURRENT at it by one overwriting rename. On an
-    error the new folder goes and the old version stays current."""
+    error the new folder goes and the old version stays current. ``layout``: how tables are laid out (``layout.LAYOUT``);
+    ``keep``: how many versions stay, this one included (all, if not given)."""
     version = f"v-{uuid.uuid4().hex}"
     fs, root = _fs(spark, f"{out}/{version}")
     try:
         for name, df in tables.items():
-            write_staging(df, f"{out}/{version}/{name}")
+            path = f"{out}/{version}/{name}"
+            if layout and name in layout:
+                files.write(df, path, layout[name])
+            else:
+                write_staging(df, path)
         _point(spark, out, version)
     except Exception:
         fs.delete(root, True)
         raise
+    if keep is not None:
+        retire(spark, out, keep)
     return version
 
 
+def retire(spark: SparkSession, out: str, keep: int) -> None:
+    """Remove all but the newest ``keep`` versions; never the current one."""
+    fs, root = _fs(spark, out)
+    now = current(spark, out).rpartition("/")[2]
+    old = [f for f in fs.listStatus(root) if f.getPath().getName().startswith("v-") and f.getPath().getName() != now]
+    for f in sorted(old, key=lambda f: f.getModificationTime(), reverse=True)[max(0, keep - 1) :]:
+        fs.delete(f.getPath(), True)
+
+
+def published(spark: SparkSession, out: str, layout: dict | None = None) -> dict[str, DataFrame]:
+    """The tables of the current version."""
+    base = current(spark, out)
+    fs, root = _fs(spark, base)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory())
+    return {n: files.read(spark, f"{base}/{n}", (layout or {}).get(n)) for n in names}
+
+
 def current(spark: SparkSession, out: str) -> str:
     """The folder of the current version."""
     return f"{out}/{spark.read.text(f'{out}/{POINTER}').first()[0]}"
