@@ -3,9 +3,12 @@
 A text is the average of the embeddings of its byte 2-, 3- and 4-grams (A-Z lower-cased; digits, ASCII
 punctuation and white space become one blank), hashed to ``BUCKETS`` rows; a linear softmax on that average is
 trained with it by stochastic gradient descent in numpy. The fit uses at most ``SAMPLE`` labelled rows, the first
-by a hash of the id, each with its whole text; a fifth of them is kept back to fit a temperature and the
-rejection threshold: a share of ``REJECT`` of correctly labelled texts may fall below it. Prediction reads every
-whole text; embedding and softmax are one table there, because both are linear.
+by a hash of the id, each with its whole text; a fifth of them is kept back to calibrate. A temperature makes the scores
+probabilities (labels are smoothed by the error rate, so that it is finite when all are right). A text is rejected if its
+score is low (at most a share of ``REJECT`` of correctly labelled texts is), or if it does not look like the language that
+it is given: its n-grams' mean log share in that language's training texts lies further below the median than ``FAR``
+times the distance of the first percentile. Prediction reads every whole text; embedding, softmax and log shares are one
+table there, because all are linear.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without labelled
 rows everything is; a null id counts as seen; repeated rows are predicted each; an empty table gives no rows; columns
@@ -32,6 +35,8 @@ SAMPLE = 3_000
 EPOCHS = 8
 RATE = 0.5
 REJECT = 0.002
+#: How far below the median a text's mean log share may lie, in distances of the first percentile (of ``NEAREST`` at least).
+FAR, NEAREST = 8.0, 0.3
 FOLD = K.LOWER.copy()
 FOLD[:128] = np.where(np.array([chr(c).isalpha() for c in range(128)]), K.LOWER[:128], 32)
 
@@ -63,13 +68,16 @@ def shares_of(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model(NamedTuple):
-    """Languages, the joint table (bucket, language), bias, temperature and threshold."""
+    """Languages, the joint table (bucket, language), bias, temperature and threshold of the score; log shares (bucket,
+    language) and for each language the limit of their mean."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    shares: np.ndarray
+    limits: np.ndarray
 
 
 def logits(table: np.ndarray, bias: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -118,17 +126,28 @@ def fit(rows: list[tuple[bytes, bytes]], labels: list[str], seed: int = 1) -> Mo
             weight -= rate * np.outer(hidden, error)
             bias -= rate * error * 0.1
             embedding[ids] -= (rate * len(ids) ** 0.5) * share[:, None] * back[None, :]
-    table = (embedding @ weight).astype(np.float32)
+    share = np.zeros((BUCKETS, m))
+    for i in train:
+        ids, own = shares_of(*rows[i])
+        share[ids, y[i]] += own
+    share /= np.maximum(1, np.bincount(y[train], minlength=m))
+    table, shares = (embedding @ weight).astype(np.float32), np.log(share + 1e-6).astype(np.float32)
     held = apart if len(apart) else train
-    z = np.array([share @ table[ids] + bias for ids, share in (shares_of(*rows[i]) for i in held)])
+    z = np.array([own @ table[ids] + bias for ids, own in (shares_of(*rows[i]) for i in held)])
+    looks = np.array([own @ shares[ids, y[i]] for i, (ids, own) in ((i, shares_of(*rows[i])) for i in held)])
+    wrong = (1 + (z.argmax(1) != y[held]).sum()) / (2 + len(held))
+    target = np.full((len(held), m), wrong / max(1, m - 1))
+    target[np.arange(len(held)), y[held]] = 1 - wrong if m > 1 else 1.0
     best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.05, 20, 60):
-        loss = -np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
+    for t in np.geomspace(0.005, 50, 120):
+        loss = -(target * np.log(np.maximum(softmax(z / t), 1e-12))).sum(axis=1).mean()
         if loss < best:
             best, temperature = loss, float(t)
     right = softmax(z / temperature)[np.arange(len(held)), y[held]]
     threshold = float(min(0.5, np.quantile(right, REJECT)))
-    return Model(languages, table, bias, temperature, threshold)
+    middle = [np.quantile(looks[y[held] == k] if (y[held] == k).any() else looks, [0.01, 0.5]) for k in range(m)]
+    limits = np.array([mid - FAR * max(mid - low, NEAREST) for low, mid in middle])
+    return Model(languages, table, bias, temperature, threshold, shares, limits)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -172,19 +191,23 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str] | None = No
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else tuple(model))
 
     def run(batches):
-        languages, table, bias, temperature, threshold = shared.value or ([], None, None, 1.0, 1.0)
+        languages, table, bias, temperature, threshold, shares, limits = shared.value or ([], None, None, 1.0, 1.0, None, None)
+        if languages:
+            table, bias = np.concatenate([table, shares], axis=1), np.concatenate([bias, np.zeros(len(languages), np.float32)])
         for batch in batches:
             data, offs = K.flat(batch.column(read))
             n = len(offs) - 1
-            name, score = np.full(n, "und", object), np.zeros(n)
+            name, score, far = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
             if languages:
                 for a, b, d, o in K.pieces(data, offs):
-                    p = softmax(logits(table, bias, d, o) / temperature)
+                    z = logits(table, bias, d, o)
+                    p = softmax(z[:, : len(languages)] / temperature)
                     at = p.argmax(1)
+                    far[a:b] = z[np.arange(b - a), len(languages) + at] < limits[at]
                     own = np.flatnonzero(has_letter(d, o))
                     name[a + own] = np.array(languages, object)[at[own]]
                     score[a + own] = p[own, at[own]]
-            rejected = (name == "und") | (score < threshold)
+            rejected = (name == "und") | (score < threshold) | far
             yield pa.RecordBatch.from_arrays([*batch.columns[len(whole) - len(columns) :], pa.array(name, pa.string()), pa.array(score), pa.array(rejected)], names=[*columns, "lang_pred", "lang_score", "lang_rejected"])
 
     schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(f"lang_{c}", t) for c, t in (("pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())))])
