@@ -202,7 +202,20 @@ _query("q_search", "SELECT pk_fornecedor, cnpj, razao_social FROM supplier_v WHE
 _CONTRACT = "SELECT pk_contrato, valor, objeto, num_licitacao, data_assinatura, data_vigencia, codigo AS orgao_codigo, cnpj FROM contract_v JOIN supplier_v ON fk_fornecedor = pk_fornecedor JOIN agency_v ON fk_orgao = pk_orgao"
 _query("q_supplier_contracts", _CONTRACT + f" WHERE cnpj = '{CNPJ}'")(lambda d: serving.contract_list(d.contracts, d.suppliers, d.agencies, cnpj=CNPJ, limit=None))
 _query("q_contract_list", _CONTRACT + " WHERE codigo = 'ORG3' ORDER BY data_assinatura DESC NULLS LAST, pk_contrato LIMIT 50 OFFSET 5")(lambda d: serving.contract_list(d.contracts, d.suppliers, d.agencies, agency="ORG3", limit=50, offset=5))
-_query("q_supplier_donations", "SELECT pk_doacao, valor, ano_eleicao FROM donation_v WHERE fk_fornecedor = 7 OR fk_socio IN (SELECT pk_socio FROM raw_partner_v WHERE fk_fornecedor = 7)")(lambda d: serving.supplier_donations(d.donations, d.suppliers, d.raw_partners.select("fk_fornecedor", F.col("pk_socio").alias("fk_socio")), CNPJ).select("pk_doacao", "valor", "ano_eleicao"))
+_BOTH = "(SELECT fk_fornecedor FROM (SELECT DISTINCT fk_fornecedor FROM donation_v SEMI JOIN supplier_v ON fk_fornecedor = pk_fornecedor) ORDER BY fk_fornecedor IN (SELECT p.fk_fornecedor FROM donation_v g JOIN raw_partner_v p ON p.pk_socio = g.fk_socio) DESC, fk_fornecedor LIMIT 1)"
+
+
+def _given_to(d) -> str:
+    """The least supplier with donations of its own, and through a partner if there is one."""
+    own = d.donations.select("fk_fornecedor").distinct().join(d.suppliers.select(F.col("pk_fornecedor").alias("fk_fornecedor"), "cnpj"), "fk_fornecedor")
+    through = d.donations.select("fk_socio").join(d.bridge, "fk_socio").select("fk_fornecedor").distinct().withColumn("both", F.lit(True))
+    first = own.join(through, "fk_fornecedor", "left").orderBy(F.col("both").desc_nulls_last(), "fk_fornecedor").first()
+    return first["cnpj"] if first else ""
+
+
+_query("q_supplier_donations", f"SELECT pk_doacao, valor, ano_eleicao FROM donation_v WHERE fk_fornecedor = {_BOTH} OR fk_socio IN (SELECT pk_socio FROM raw_partner_v WHERE fk_fornecedor = {_BOTH})")(
+    lambda d: serving.supplier_donations(d.donations, d.suppliers, d.bridge, _given_to(d)).select("pk_doacao", "valor", "ano_eleicao")
+)
 _query("q_supplier_sanctions", "SELECT pk_sancao, tipo_sancao, data_inicio, data_fim FROM sanction_v WHERE fk_fornecedor = 1")(lambda d: serving.of_supplier(d.sanctions, d.suppliers, "00000001000100").select("pk_sancao", "tipo_sancao", "data_inicio", "data_fim"))
 _query("q_supplier_partners", "SELECT pk_socio, nome_socio, is_servidor_publico, orgao_lotacao, is_sancionado, qtd_empresas_governo FROM partner_v WHERE fk_fornecedor = 7")(lambda d: serving.of_supplier(d.partners, d.suppliers, CNPJ).select("pk_socio", "nome_socio", "is_servidor_publico", "orgao_lotacao", "is_sancionado", "qtd_empresas_governo"))
 _query("q_servant_lookup", f"SELECT nome, orgao_lotacao, cpf_hmac FROM (SELECT *, {_hmac_sql('digitos_visiveis')} AS cpf_hmac FROM servant_v) WHERE cpf_hmac = {_hmac_sql(chr(39) + '000005' + chr(39))} ORDER BY nome, orgao_lotacao NULLS FIRST LIMIT 1")(
@@ -300,3 +313,7 @@ _D11 = "lpad(CAST(o_orderkey * 7919 AS VARCHAR), 11, '0')"
 _query("cnpj_check_digits", f"SELECT o_orderkey, {_check_sql(_D14, 12, 5)} = CAST(substr({_D14}, 13, 1) AS INTEGER) AND {_check_sql(_D14, 13, 6)} = CAST(substr({_D14}, 14, 1) AS INTEGER) AND replace({_D14}, substr({_D14}, 1, 1), '') <> '' AS ok FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cnpj_valid(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 14, "0")).alias("ok")))
 _query("cpf_check_digits", f"SELECT o_orderkey, {_check_sql(_D11, 9, 10)} = CAST(substr({_D11}, 10, 1) AS INTEGER) AND {_check_sql(_D11, 10, 11)} = CAST(substr({_D11}, 11, 1) AS INTEGER) AND replace({_D11}, substr({_D11}, 1, 1), '') <> '' AS ok FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cpf_valid(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 11, "0")).alias("ok")))
 _query("cpf_mask", f"SELECT o_orderkey, '***.' || substr({_D11}, 4, 3) || '.' || substr({_D11}, 7, 3) || '-**' AS mascara FROM orders", views=False)(lambda d: d.table("orders").select("o_orderkey", fn.cpf_mask(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 11, "0")).alias("mascara")))
+_DAY = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN '31/02/' || CAST(year(o_orderdate) AS VARCHAR) WHEN 2 THEN ' ' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END"
+_query("lenient_dates", f"SELECT o_orderkey, {_DAY} AS texto, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) END AS dia FROM orders", views=False)(
+    lambda d: d.table("orders").select("o_orderkey", F.expr("case pmod(o_orderkey, 4) when 0 then date_format(o_orderdate, 'dd/MM/yyyy') when 1 then concat('31/02/', year(o_orderdate)) when 2 then ' ' else cast(cast(o_orderdate as date) as string) end").alias("texto")).withColumn("dia", fn.day(F.col("texto"), "dd/MM/yyyy"))
+)

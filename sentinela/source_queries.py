@@ -60,12 +60,13 @@ def partners(d, path):
     return out.select("cnpj_basico", "nome_socio", "cpf_parcial", "data_entrada")
 
 
-@_source("source_sanctions", f"WITH {VIEWS} SELECT cnpj, tipo_sancao, data_inicio, max(razao_social) AS razao_social, count(*) > 0 AS there FROM sanction_v GROUP BY 1, 2, 3")
+@_source("source_sanctions", f"WITH {VIEWS} SELECT cnpj, CASE WHEN pk_sancao % 5 = 0 THEN 'CEPIM' ELSE tipo_sancao END AS tipo_sancao, data_inicio, max(razao_social) AS razao_social, count(*) > 0 AS there FROM sanction_v GROUP BY 1, 2, 3")
 def sanctions(d, path):
     out = None
-    for kind in ("CEIS", "CNEP"):
-        s = d.sanctions.filter(F.col("tipo_sancao") == kind)
-        raw = s.select(F.col("cnpj").alias("CPF OU CNPJ DO SANCIONADO"), F.lit(" ").alias("RAZÃO SOCIAL - CADASTRO RECEITA"), F.col("razao_social").alias("NOME DO SANCIONADO"), F.lit("CGU").alias("ÓRGÃO SANCIONADOR"), F.lit("x").alias("CATEGORIA DA SANÇÃO"), _day(F.col("data_inicio")).alias("DATA INÍCIO SANÇÃO"), _day(F.col("data_fim")).alias("DATA FINAL SANÇÃO"))
+    kinds = d.sanctions.withColumn("tipo_sancao", F.when(F.col("pk_sancao") % 5 == 0, "CEPIM").otherwise(F.col("tipo_sancao")))
+    for kind in ("CEIS", "CNEP", "CEPIM"):
+        s = kinds.filter(F.col("tipo_sancao") == kind)
+        raw = s.select(F.col("cnpj").alias("CPF OU CNPJ DO SANCIONADO"), F.when(F.col("pk_sancao") % 2 == 0, " ").alias("RAZÃO SOCIAL - CADASTRO RECEITA"), F.col("razao_social").alias("NOME DO SANCIONADO"), F.lit("CGU").alias("ÓRGÃO SANCIONADOR"), F.lit("x").alias("CATEGORIA DA SANÇÃO"), _day(F.col("data_inicio")).alias("DATA INÍCIO SANÇÃO"), _day(F.col("data_fim")).alias("DATA FINAL SANÇÃO"))
         one = sources.valid_sanctions(sources.sanctions(d.spark, _csv(raw, f"{path}-{kind}"), kind)).select("cnpj", "tipo_sancao", "data_inicio", "razao_social", F.lit(True).alias("there"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -82,8 +83,12 @@ def _orders(d):
 @_source("source_contracts_json", _CONTRACT)
 def contracts_json(d, path):
     record = F.struct(F.col("n").alias("numeroContratoEmpenho"), F.struct(F.lit("1").alias("cnpj"), F.lit("Agency").alias("razaoSocial")).alias("orgaoEntidade"), F.col("c").alias("niFornecedor"), F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss").alias("dataAssinatura"), _day(F.col("e"), "yyyy-MM-dd").alias("dataVigenciaFim"), F.col("v").alias("valorInicial"), F.lit("objeto").alias("objetoContrato"))
-    windows = _orders(d).groupBy(F.date_format("d", "yyyy-MM").alias("month")).agg(F.to_json(F.struct(F.collect_list(record).alias("data"))).alias("value"))
-    windows.repartition(F.col("month")).select("month", "value").write.partitionBy("month").text(path)  # a file per month
+    month = F.date_format("d", "yyyy-MM").alias("month")
+    lines = _orders(d).select(month, F.lit(1).alias("k"), F.concat(F.to_json(record), F.lit(",")).alias("value"))
+    edges = lines.select("month").distinct()
+    head, foot = (edges.select("month", F.lit(k).alias("k"), F.lit(v).alias("value")) for k, v in ((0, '{"paginas": [{"n": 1}], "data": ['), (2, 'null], "totalPaginas": {"n": "}"}}')))
+    every = lines.unionByName(head).unionByName(foot).repartition("month").sortWithinPartitions("month", "k")
+    every.select("month", "value").write.partitionBy("month").text(path)  # a file per month
     out = sources.valid_contracts(sources.contracts_json(d.spark, f"{path}/month=*"))
     return out.select("num_licitacao", "cnpj_fornecedor", "valor", "data_assinatura", "data_vigencia")
 
@@ -115,10 +120,10 @@ def servants(d, path):
     return sources.valid_servants(sources.servants(d.spark, _csv(raw, path))).select("nome", "digitos_visiveis", "orgao_lotacao")
 
 
-@_source("source_donations", f"WITH {VIEWS} SELECT DISTINCT doc_doador, valor, ano_eleicao, 'CNPJ' AS tipo_doador FROM donation_v WHERE valor > 0")
+@_source("source_donations", f"WITH {VIEWS} SELECT DISTINCT CASE WHEN tipo_doador = 'CPF' THEN '000' || substr(doc_doador, 1, 8) ELSE doc_doador END AS doc_doador, valor, ano_eleicao, tipo_doador FROM donation_v WHERE valor > 0")
 def donations(d, path):
-    raw = d.donations.select(_text("ano_eleicao").alias("AA_ELEICAO"), F.col("doc_doador").alias("NR_CPF_CNPJ_DOADOR"), _money(F.col("valor")).alias("VR_RECEITA"))
-    _csv(raw.filter("pk_doacao % 2 = 0"), f"{path}/receitas_AC.csv")
+    raw = d.donations.select("pk_doacao", _text("ano_eleicao").alias("AA_ELEICAO"), F.when(F.col("tipo_doador") == "CPF", F.concat(F.lit("000"), F.substring("doc_doador", 1, 8))).otherwise(F.col("doc_doador")).alias("NR_CPF_CNPJ_DOADOR"), _money(F.col("valor")).alias("VR_RECEITA"))
+    _csv(raw.filter("pk_doacao % 2 = 0").drop("pk_doacao"), f"{path}/receitas_AC.csv")
     _csv(raw.filter("pk_doacao % 2 = 1").select("VR_RECEITA", "NR_CPF_CNPJ_DOADOR", "AA_ELEICAO"), f"{path}/receitas_SP.csv")
     _csv(raw, f"{path}/receitas_BRASIL.csv")  # the national total, to be left out
     return sources.valid_donations(sources.donations(d.spark, path)).select("doc_doador", "valor", "ano_eleicao", "tipo_doador")
@@ -143,3 +148,15 @@ def published_counts(d, path):
     publish.publish(d.spark, {"fornecedores": d.suppliers.limit(1)}, path)
     publish.publish(d.spark, {"fornecedores": d.suppliers, "sancoes": d.sanctions, "doacoes": d.donations}, path)
     return publish.table_counts(d.spark, path, ["fornecedores", "sancoes", "doacoes"])
+
+
+@_source("completeness_gate", f"WITH {VIEWS}, n AS (SELECT 'sancoes' AS tabela, count(*) AS n FROM sanction_v UNION ALL SELECT 'empresas', count(*) FROM supplier_v UNION ALL SELECT 'qsa', count(*) FROM raw_partner_v UNION ALL SELECT 'contratos', count(*) FROM contract_v WHERE valor < 0 UNION ALL SELECT 'servidores', count(*) FROM servant_v UNION ALL SELECT 'doacoes', count(*) FROM donation_v WHERE ano_eleicao < 1900) SELECT tabela, n > 0 AS completa FROM n")
+def completeness_gate(d, path):
+    """What the gate finds missing: two of these tables have no row."""
+    tables = {"empresas": d.suppliers, "qsa": d.raw_partners, "contratos": d.contracts.filter("valor < 0"), "sancoes": d.sanctions, "servidores": d.servants, "doacoes": d.donations.filter("ano_eleicao < 1900")}
+    try:
+        publish.check_complete(tables)
+        missing = []
+    except publish.Incomplete as e:
+        missing = e.missing
+    return d.spark.createDataFrame([(n, n not in missing) for n in tables], "tabela string, completa boolean")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sentinela import functions as fn
 from sentinela.operators import core
+from sentinela.sources import json_array
 
 MONEY = "decimal(18,2)"
 
@@ -65,14 +66,11 @@ CONTRACT_SCHEMA = "num_licitacao string, cnpj_fornecedor string, codigo_orgao st
 
 
 def contracts_json(spark, path) -> DataFrame:
-    """Files that hold ``{"data": [...]}`` or a bare list of records; many files are read by many tasks."""
-    record = T._parse_datatype_string(_RECORD)
-    schema = T.StructType([T.StructField("data", T.ArrayType(record)), *record.fields])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = raw.select(F.explode(F.coalesce("data", F.array(F.struct(*record.names)))).alias("r"))
+    """Files that hold ``{"data": [...]}`` or a bare list of records; a large file is read by many tasks."""
+    rows = json_array.records(spark, path).select("_ord", F.from_json("text", _RECORD).alias("r"))
     some = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
     return rows.select(
-        F.monotonically_increasing_id().alias("_ord"),
+        "_ord",
         F.col("r.numeroContratoEmpenho").alias("num_licitacao"),
         F.regexp_replace(F.coalesce("r.niFornecedor", "r.fornecedor.cnpjFormatado"), "[./-]", "").alias("cnpj_fornecedor"),
         F.col("r.orgaoEntidade.cnpj").alias("codigo_orgao"),
