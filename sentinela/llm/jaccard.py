@@ -10,14 +10,14 @@ one band or in two neighbouring ones; a set therefore signs for its own band and
    equal for unrelated sets: they are not emitted. A set is served if more than k / 2 of its groups keep something whatever
    partition goes (at least two shingles if that suffices, else one); if not, it signs again with another dealing of
    the domain. A pair is found as long as one of the two is served, and the few that never are share one signature.
-2. Equal sets form one class. Signatures travel as compressed blobs to buckets; of those that a task meets four times or
-   more just the first two go there, the other members are paired with these two on the spot.
-3. Every member of a signature is paired with its first two members. Pairs that a bound on the difference leaves open
-   (sums of absolute differences of counts over ``SLOTS`` hash slots, never more than the true difference) are verified on
-   the full sets, and what is linked is contracted to components.
-4. Signatures whose members still lie in several components (one of each set of members) do so with two more, and what is
-   left is compared block by block inside tasks: k members are dealt to blocks of ``BLOCK``, rows are written k / BLOCK
-   times, and a task emits only pairs of different components that the bound leaves open.
+2. Equal sets form one class. Signatures travel as compressed blobs to buckets; of those that a task meets three times or
+   more just the first two members go there, the others are known to share it and leave by themselves.
+3. Every class is paired with the least class that it shares a signature with. Pairs that a bound on the difference leaves
+   open (sums of absolute differences of counts over ``SLOTS`` hash slots, never more than the true difference) are
+   verified on the full sets, and what is linked is contracted to components.
+4. In signatures whose members still lie in several components (one of each set of members) all are paired with two
+   members, and what is left is compared block by block inside tasks: k members are dealt to blocks of ``BLOCK``, rows are
+   written k / BLOCK times, and a task emits only pairs of different components that the bound leaves open.
 
 No link is lost at any step, and nothing is capped. ``similar_pairs`` gives every link between different sets instead of
 components; there all members of a signature are compared block by block.
@@ -43,9 +43,11 @@ PARTS = 3
 SPARE, DEALS = 0.2, 8
 SLOTS = 256
 #: Signatures per blob flush and per bucket; members of one signature in a flush from which all but two stay out of it.
-FLUSH, BUCKET, LOCAL = 1_500_000, 3_000_000, 4
+FLUSH, BUCKET, LOCAL = 1_500_000, 1_500_000, 3
 #: Members per block and rows per task of the block-wise comparison.
 BLOCK, TASK_ROWS = 400, 4_000
+#: Units of at most so many members are compared together, so many pairs at a time.
+SMALL, PAIRS = 48, 100_000
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 
@@ -144,17 +146,13 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row_key binary, n long, set_key binary, key long, sketch binary")
 
 
-MEMBER = "sig long, key long, hub long, second long"
-
-
-def blob_columns(sig: np.ndarray, *keys: np.ndarray) -> list[bytes]:
-    return [K.planes(sig), *(K.planes(k) for k in keys)]
+MEMBER = "sig long, key long, hub long"
 
 
 def signature_blobs(docs: DataFrame, width: int, threshold: int, buckets: int, flush: int = FLUSH) -> DataFrame:
-    """bucket, sigs, own, keys, hubs, seconds: blobs of signatures with their sets' keys (``own`` counts into ``keys``);
-    where ``hubs`` is there, of members already paired, in any bucket."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sigs", "own", "keys", "hubs", "seconds"))])
+    """bucket, sigs, own, keys, hubs: blobs of signatures with their sets' keys (``own`` counts into ``keys``); where ``hubs``
+    is there, of members that are known to share theirs with a hub, in any bucket."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sigs", "own", "keys", "hubs"))])
 
     def blobs(sig: np.ndarray, key: np.ndarray):
         by = np.lexsort((key, sig))
@@ -168,8 +166,7 @@ def signature_blobs(docs: DataFrame, width: int, threshold: int, buckets: int, f
         aside = (np.repeat(size, size) >= LOCAL) & (np.arange(len(sig)) - begin >= 2)
         for some in np.array_split(np.flatnonzero(aside), max(1, int(aside.sum()) // 100_000)):
             if len(some):
-                own, hub, second = key[some], key[begin[some]], key[begin[some] + 1]
-                yield {"bucket": int(K.mix(sig[some[:1]])[0] % U(buckets)), "sigs": K.planes(sig[some]), "own": b"", "keys": K.planes(own), "hubs": K.planes(hub), "seconds": K.planes(second)}
+                yield {"bucket": int(K.mix(sig[some[:1]])[0] % U(buckets)), "sigs": K.planes(sig[some]), "own": b"", "keys": K.planes(key[some]), "hubs": K.planes(key[begin[some]])}
         sig, key = sig[~aside], key[~aside]
         home = (sig % U(buckets)).astype(np.int64)
         by = np.argsort(home, kind="stable")
@@ -178,7 +175,7 @@ def signature_blobs(docs: DataFrame, width: int, threshold: int, buckets: int, f
             own = by[cut[b] : cut[b + 1]]
             keys, at = np.unique(key[own], return_inverse=True)
             at = at.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)
-            yield {"bucket": b, "sigs": K.planes(sig[own]), "own": bytes([at.dtype.itemsize]) + K.planes(at), "keys": K.planes(keys), "hubs": None, "seconds": None}
+            yield {"bucket": b, "sigs": K.planes(sig[own]), "own": bytes([at.dtype.itemsize]) + K.planes(at), "keys": K.planes(keys), "hubs": None}
 
     def run(batches):
         held, n = [], 0
@@ -202,16 +199,16 @@ def signature_blobs(docs: DataFrame, width: int, threshold: int, buckets: int, f
         if held:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, own binary, keys binary, hubs binary, seconds binary")
+    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, own binary, keys binary, hubs binary")
 
 
 def members_of_bucket(table: pa.Table) -> pa.Table:
-    """sig, key, hub, second of the signatures with several members; hub and second are the first two of them."""
+    """sig, key, hub of the signatures with several members; the hub is the least of them."""
     sigs, keys, paired = [np.zeros(0, U)], [np.zeros(0, U)], []
-    for s, o, k, h, x in zip(*(table.column(c) for c in ("sigs", "own", "keys", "hubs", "seconds")), strict=True):
+    for s, o, k, h in zip(*(table.column(c) for c in ("sigs", "own", "keys", "hubs")), strict=True):
         sig, key = K.unplanes(s.as_py(), U), K.unplanes(k.as_py(), U)
         if h.is_valid:
-            paired.append((sig, key, K.unplanes(h.as_py(), U), K.unplanes(x.as_py(), U)))
+            paired.append((sig, key, K.unplanes(h.as_py(), U)))
         else:
             own = o.as_py()
             sigs.append(sig)
@@ -226,8 +223,8 @@ def members_of_bucket(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(start, len(sig)))
     row = np.flatnonzero(np.repeat(size, size) > 1)
     begin = np.repeat(start, size)[row]
-    paired.append((sig[row], key[row], key[begin], key[begin + 1] if len(row) else key[row]))
-    return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*paired, strict=True)], names=["sig", "key", "hub", "second"])
+    paired.append((sig[row], key[row], key[begin]))
+    return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*paired, strict=True)], names=["sig", "key", "hub"])
 
 
 def promising(pairs: DataFrame, classes: DataFrame, threshold: int, by: str = "key") -> DataFrame:
@@ -245,21 +242,36 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: int, by: str = "k
     return both.select(F.least("node_a", "node_b"), F.greatest("node_a", "node_b"), "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def open_of_unit(node, label, n, block, sketch, threshold: int):
-    """Pairs of one unit's members, between two blocks if there are two, of different labels, that the bounds leave open."""
-    two, odd = block[0] != block[-1], np.packbits(sketch & 1, axis=1).view(U)
-    for i in range(len(node) - 1):
-        if two and block[i] != block[0]:
-            break
-        ok = label[i + 1 :] != label[i]
-        if two:
-            ok &= block[i + 1 :] != block[i]
-        at = np.flatnonzero(ok) + i + 1
-        most = differences(n[i] + n[at], threshold)
-        at = at[np.bitwise_count(odd[at] ^ odd[i]).sum(axis=1) <= most]
-        if len(at):
-            at = at[open_rows(np.broadcast_to(sketch[i], (len(at), SLOTS)), sketch[at], np.full(len(at), n[i]), n[at], threshold)]
-            yield np.full(len(at), node[i]), node[at]
+def close_enough(i, j, label, n, block, two, odd, sketch, threshold: int) -> np.ndarray:
+    """Which pairs (i, j) of rows have different labels, stand in two blocks if their unit has two, and are left open."""
+    at = np.flatnonzero((label[i] != label[j]) & (~two[i] | (block[i] != block[j])))
+    at = at[np.bitwise_count(odd[i[at]] ^ odd[j[at]]).sum(axis=1) <= differences(n[i[at]] + n[j[at]], threshold)]
+    return at[open_rows(sketch[i[at]], sketch[j[at]], n[i[at]], n[j[at]], threshold)]
+
+
+def open_pairs(unit, label, n, block, sketch, threshold: int):
+    """Pairs of rows, of one unit each, that may be linked; rows are sorted by unit and block."""
+    odd = np.packbits(sketch & 1, axis=1).view(U)
+    cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
+    size = np.diff(cut)
+    two = np.repeat(block[cut[:-1]] != block[cut[1:] - 1], size)
+    stop = np.repeat(cut[1:], size)
+    small = np.repeat(size <= SMALL, size)
+    rows = np.flatnonzero(small)
+    upto = np.cumsum(stop[rows] - rows - 1)
+    edge = [0, *(np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS)) + 1).tolist(), len(rows)] if len(rows) else [0]
+    for x, y in zip(edge[:-1], edge[1:], strict=True):
+        some = rows[x:y]
+        per = stop[some] - some - 1
+        i = np.repeat(some, per)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per)
+        ok = close_enough(i, j, label, n, block, two, odd, sketch, threshold)
+        yield i[ok], j[ok]
+    for row in np.flatnonzero(~small).tolist():
+        j = np.arange(row + 1, stop[row])
+        i = np.full(len(j), row)
+        ok = close_enough(i, j, label, n, block, two, odd, sketch, threshold)
+        yield i[ok], j[ok]
 
 
 def compared(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -276,11 +288,8 @@ def compared(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
         t = t.sort_by([("unit", "ascending"), ("block", "ascending"), ("node", "ascending")])
         unit, node, label, n, block = (t.column(c).to_numpy() for c in ("unit", "node", "label", "n", "block"))
         sketch = K.flat(t.column("sketch"))[0].reshape(-1, SLOTS)
-        cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            found += open_of_unit(node[x:y], label[x:y], n[x:y], block[x:y], sketch[x:y], threshold)
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *open_pairs(unit, label, n, block, sketch, threshold), strict=True))
+        a, b = node[i], node[j]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
@@ -330,12 +339,10 @@ class Join:
 def similar_documents(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (see the module's docstring)."""
     j = Join(docs, width, threshold)
-    star = j.bins.select(F.col("key").alias("a"), F.explode(F.array("hub", "second")).alias("b")).filter("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     contract = lambda pairs, label: j.tables.add(near.components(j.verified(pairs), label))
+    star = j.bins.groupBy(F.col("key").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
     label = contract(promising(star, j.classes, threshold), j.nodes())
-    large = j.bins.groupBy("sig").agg(F.count("*").alias("_k")).filter("_k > 3").select("sig")
-    members = j.write(one_of_equal(j.bins.select("sig", "key").distinct().join(large, "sig").join(j.classes.select("key", "node"), "key").select("sig", "node"), label, 4), "members")
+    members = j.write(one_of_equal(j.members(), label, 2), "members")
     hub = lambda seed: F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(seed)))
     hubs = members.groupBy("sig").agg(hub(11).alias("hub"), hub(12).alias("second"))
     star = members.join(hubs, "sig").select("node", "label", F.explode(F.array("hub", "second")).alias("hub")).filter("label <> hub.label")

@@ -61,9 +61,11 @@ def rows():
     return [(100 + i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, "nobody else has this text at all here"), (100, texts[0])]
 
 
-@pytest.mark.parametrize(("local", "block"), [(4, 400), (2, 5), (10**6, 400)])
-def test_components(spark, rows, local, block, monkeypatch):
+@pytest.mark.parametrize(("local", "block", "small"), [(3, 400, 48), (3, 5, 3), (10**6, 5, 0)])
+def test_components(spark, rows, local, block, small, monkeypatch):
     monkeypatch.setattr(jaccard, "LOCAL", local)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "PAIRS", 100)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "BUCKET", 2_000)
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, key int, node int").repartition(3)
