@@ -143,7 +143,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
                 cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.bincount(doc, minlength=b - a).astype(np.int64)), K.binary_rows(keys), pa.array(keys[:, 0].view(np.int64)), K.binary_rows(sketches(doc, g, b - a))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "n", "set_key", "key", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, row_key binary, n long, set_key binary, key long, sketch binary")
+    return docs.mapInArrow(K.tidy(run), "doc_id long, row_key binary, n long, set_key binary, key long, sketch binary")
 
 
 MEMBER = "sig long, key long, hub long"
@@ -199,7 +199,7 @@ def signature_blobs(docs: DataFrame, width: int, threshold: int, buckets: int, f
         if held:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, own binary, keys binary, hubs binary")
+    return docs.select("text").mapInArrow(K.tidy(run), "bucket int, sigs binary, own binary, keys binary, hubs binary")
 
 
 def members_of_bucket(table: pa.Table) -> pa.Table:
@@ -332,6 +332,14 @@ class Join:
     def members(self) -> DataFrame:
         return self.bins.select("sig", "key").distinct().join(self.classes.select("key", "node"), "key").select("sig", "node")
 
+    def mixed(self, label: DataFrame) -> DataFrame:
+        """sig, node of the signatures in which a member and its hub lie in different components."""
+        known = self.write(label.join(self.classes.select("node", "key"), "node"), "known")
+        of = lambda c: known.select(F.col("key").alias(c), F.col("label").alias(f"_{c}"))
+        sigs = self.bins.join(of("key"), "key").join(of("hub"), "hub").filter("_key <> _hub").select("sig").distinct()
+        rows = self.bins.join(self.write(sigs, "sigs"), "sig", "left_semi").select("sig", "key").distinct()
+        return rows.join(known.select("key", "node"), "key").select("sig", "node")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         return self.write(near.verified(self.write(pairs, "pairs"), self.texts, self.width, self.threshold), "linked")
 
@@ -342,7 +350,7 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: int = 80) -> D
     contract = lambda pairs, label: j.tables.add(near.components(j.verified(pairs), label))
     star = j.bins.groupBy(F.col("key").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
     label = contract(promising(star, j.classes, threshold), j.nodes())
-    members = j.write(one_of_equal(j.members(), label, 2), "members")
+    members = j.write(one_of_equal(j.mixed(label), label, 2), "members")
     hub = lambda seed: F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(seed)))
     hubs = members.groupBy("sig").agg(hub(11).alias("hub"), hub(12).alias("second"))
     star = members.join(hubs, "sig").select("node", "label", F.explode(F.array("hub", "second")).alias("hub")).filter("label <> hub.label")

@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str] | None = No
 
     schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(f"lang_{c}", t) for c, t in (("pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())))])
     given = [F.col(f"`{c}`") for c in columns]
-    return docs.select(*([] if len(whole) == len(columns) else [F.col("text").cast("string").alias("_read")]), *given).mapInArrow(run, schema)
+    return docs.select(*([] if len(whole) == len(columns) else [F.col("text").cast("string").alias("_read")]), *given).mapInArrow(K.tidy(run), schema)
 
 
 def identify(docs: DataFrame, remainder: int = 0, sample: int = SAMPLE) -> DataFrame:

@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id:
                 )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return slim.mapInArrow(K.tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class RoomTree:
