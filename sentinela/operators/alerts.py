@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentinela import constants as K
 from sentinela import functions as fn
-from sentinela.operators import core
+from sentinela.operators import core, overlap
 
 
 def _text(*parts):
@@ -92,9 +92,10 @@ def shared_bids(suppliers, partners, contracts):
 
 
 def bid_rotation(suppliers, partners, contracts):
-    """Companies that share a partner's name and at least three bids with another."""
-    hit = shared_bids(suppliers, partners, contracts).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= K.SHARED_BIDS)
-    each = hit.select(F.explode(F.array("a", "b")).alias("fk_fornecedor"), "n").groupBy("fk_fornecedor").agg(F.max("n").alias("n"))
+    """Companies that share a partner's name and at least three bids with another: ``overlap.most_shared``, names as groups."""
+    bids = contracts.select(F.col("fk_fornecedor").alias("member"), F.col("num_licitacao").alias("item"))
+    who = _of_companies(partners, suppliers).select(F.col("nome_socio").alias("group"), F.col("fk_fornecedor").alias("member"))
+    each = overlap.most_shared(bids, who, K.SHARED_BIDS).withColumnRenamed("member", "fk_fornecedor")
     return _fact(each, "RODIZIO_LICITACAO", F.lit("Empresa participa de licitacoes com outra empresa que compartilha socios"), _text("max_licitacoes_comuns_com_par=", F.col("n")))
 
 
