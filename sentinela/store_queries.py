@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sentinela import durable, pages, partials, postings
+from sentinela import durable, merge, pages, partials, postings
 from sentinela.plans import serving
 from sentinela.plans.driver_map import VIEWS, Domain
 from sentinela.queries import ALERT_SQL, EXTRA_A
@@ -85,3 +85,21 @@ def contracts_after(d, where):
     pages.write(d.contracts.select(*names), where, order, rows=500_000)
     seen = pages.page(d.spark, where, 6, 100).collect()[-1]
     return pages.after(d.spark, where, order, tuple(seen[c] for c in names), 100).select("pk_contrato", "fk_fornecedor", "valor", "data_assinatura")
+
+
+#: Three deliveries of contracts: which of them, how much their value is off, and whether they replace what is stored.
+_RUNS = [("pk_contrato % 2 = 0", 0, False), ("pk_contrato % 3 = 0", 1, False), ("pk_contrato % 50 = 7", 2, True)]
+
+
+@_query(
+    "store_merged_contracts",
+    ", run_v AS (" + " UNION ALL ".join(f"SELECT {p} AS rang, pk_contrato, fk_fornecedor, data_assinatura, CAST(valor + {off} AS DECIMAL(18,2)) AS valor FROM contract_v WHERE {when}" for (when, off, _), p in zip(_RUNS, (1, 2, 0), strict=True)) + ") "
+    "SELECT pk_contrato, fk_fornecedor, data_assinatura, valor FROM run_v QUALIFY row_number() OVER (PARTITION BY pk_contrato ORDER BY rang, fk_fornecedor, data_assinatura, valor) = 1",
+)
+def merged_contracts(d, where):
+    """The second delivery adds to the first, the third replaces."""
+    rows = d.contracts.select("pk_contrato", "fk_fornecedor", "data_assinatura", "valor")
+    for when, off, newest in _RUNS:
+        own = rows.filter(when).withColumn("valor", (F.col("valor") + off).cast("decimal(18,2)"))
+        merge.merge(own, where, ["pk_contrato"], ["fk_fornecedor", "data_assinatura", "valor"], newest, buckets=16)
+    return merge.read(d.spark, where)

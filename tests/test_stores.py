@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sentinela import layout, pages, partials, postings
+from sentinela import layout, merge, pages, partials, postings, publish
+from sentinela.operators import core
 
 
 def deals(spark, rows):
@@ -105,3 +106,52 @@ def test_empty_pages(spark, tmp_path):
     df = spark.createDataFrame([], "pk long, nome string")
     pages.write(df, str(tmp_path / "p"), [("pk", False)])
     assert pages.page(spark, str(tmp_path / "p"), 0, 5).count() == 0 and pages.after(spark, str(tmp_path / "p"), [("pk", False)], (1,), 5).count() == 0
+
+
+def numbers(spark, rows):
+    return spark.createDataFrame(rows, "k long, s string, v int")
+
+
+def some_numbers(seed, n):
+    r = random.Random(seed)
+    return [(r.choice([None, *range(60)]), r.choice([None, "a", "b"]), r.randrange(1000)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("newest", [False, True])
+def test_merge_equals_whole_merge(spark, tmp_path, newest):
+    out, frames = str(tmp_path / "t"), [numbers(spark, some_numbers(s, n)) for s, n in ((1, 150), (2, 80), (3, 2), (4, 0))]
+    for f in frames:
+        merge.merge(f, out, ["k", "s"], ["v"], newest, buckets=8, files=2)
+    want = core.merge_first(frames[::-1] if newest else frames, ["k", "s"], ["v"])
+    assert sorted(map(str, merge.read(spark, out).collect())) == sorted(map(str, want.collect()))
+
+
+def test_merge_writes_touched_buckets_only(spark, tmp_path):
+    out = str(tmp_path / "t")
+    merge.merge(numbers(spark, [(i, "a", i) for i in range(500)]), out, ["k", "s"], ["v"], buckets=16)
+    before = merge.read(spark, out)
+    stored = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+    assert len(merge.merge(numbers(spark, [(900, "a", 1), (7, "a", -1)]), out, ["k", "s"], ["v"], newest=True)) <= 2
+    added = [f for f in (tmp_path / "t" / "data").rglob("*.parquet") if f not in stored]
+    assert 1 <= len(added) <= 2 and all(f.stat().st_mtime_ns == t for f, t in stored.items())
+    assert before.count() == 500 and before.filter("k = 7").first().v == 7  # its readers still have the old version
+    now = merge.read(spark, out)
+    assert now.count() == 501 and now.filter("k = 7").first().v == -1
+    merge.retire(spark, out)
+    assert merge.read(spark, out).count() == 501 and len(list((tmp_path / "t" / "data").rglob("*.parquet"))) <= 16
+    assert len(list((tmp_path / "t").glob("v-*"))) == 1
+
+
+def test_merge_columns_and_errors(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "t")
+    merge.merge(numbers(spark, []), out, ["k"], ["v"], buckets=4)
+    assert merge.read(spark, out).count() == 0
+    merge.merge(numbers(spark, [(1, "a", 1)]), out, ["k"], ["v"])
+    merge.merge(spark.createDataFrame([(2, "new")], "k long, more string"), out, ["k"], ["k"])
+    assert sorted(map(tuple, merge.read(spark, out).collect())) == [(1, "a", 1, None), (2, None, None, "new")]
+    with pytest.raises(ValueError, match="v"):
+        merge.merge(spark.createDataFrame([(3, "x")], "k long, v string"), out, ["k"], ["k"])
+    monkeypatch.setattr(publish, "_point", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        merge.merge(numbers(spark, [(1, "b", 0), (4, "b", 0)]), out, ["k"], ["v"], newest=True)
+    assert merge.read(spark, out).count() == 2 and merge.read(spark, out).filter("k = 1").first().s == "a"
