@@ -6,12 +6,14 @@ The files go to the folder that driver and executors share. SQL says what must c
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela import durable, publish, sources
 from sentinela.plans.driver_map import VIEWS, Domain
+from sentinela.sources import windows
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -93,6 +95,36 @@ def contracts_json(d, path):
     return out.select("num_licitacao", "cnpj_fornecedor", "valor", "data_assinatura", "data_vigencia")
 
 
+def _archive(d, path):
+    """Pages of at most 200 orders in a folder for each month, and the first and last day."""
+    record = F.struct(F.col("n").alias("numeroContratoEmpenho"), F.col("c").alias("niFornecedor"), F.date_format("d", "yyyy-MM-dd").alias("dataAssinatura"), _day(F.col("e"), "yyyy-MM-dd").alias("dataVigenciaFim"), F.col("v").cast("string").alias("valorInicial"))
+    o = _orders(d).select(F.col("d").alias("dia"), F.to_json(record).alias("x"), (F.xxhash64("n") % F.ceil(F.count("*").over(Window.partitionBy("d")) / 200)).alias("k"))
+    paged = o.groupBy("dia", "k").agg(F.concat(F.lit('\t{"data": ['), F.array_join(F.collect_list("x"), ","), F.lit("]}")).alias("page"))
+    lines = paged.select(F.date_format("dia", "yyyy-MM").alias("mes"), F.concat("dia", "page").alias("value"))
+    lines.repartition("mes").write.partitionBy("mes").text(path)
+    return d.table("orders").select(F.min(F.col("o_orderdate").cast("date")), F.max(F.col("o_orderdate").cast("date"))).first()
+
+
+@_source("source_contract_windows", _CONTRACT)
+def contract_windows(d, path):
+    """An archive by day is taken in by two runs: the second reads only windows that the first has not finished."""
+    first, last = _archive(d, f"{path}/archive")
+    if first is not None:
+        for end in (first + (last - first) / 2, last + timedelta(days=windows.DAYS)):
+            windows.ingest(d.spark, f"{path}/archive", f"{path}/windows", first, end)
+    return sources.valid_contracts(sources.contracts_parquet(d.spark, f"{path}/windows")).select("num_licitacao", "cnpj_fornecedor", "valor", "data_assinatura", "data_vigencia")
+
+
+@_source("source_contract_days", f"SELECT data_assinatura AS dia, count(*) AS n, sum(valor) AS total FROM ({_CONTRACT}), (SELECT CAST(min(o_orderdate) AS DATE) AS first FROM orders) WHERE data_assinatura BETWEEN first + 100 AND first + 199 GROUP BY 1")
+def contract_days(d, path):
+    """A hundred days out of the archive: four or five windows are read, of all."""
+    first, last = _archive(d, f"{path}/archive")
+    if first is None:
+        return d.spark.createDataFrame([], "dia date, n long, total decimal(38,2)")
+    found = windows.pages(d.spark, f"{path}/archive", first, last, first + timedelta(days=100), first + timedelta(days=199))
+    return windows.contracts(found).filter("valor > 0").groupBy("dia").agg(F.count("*").alias("n"), F.sum("valor").cast("decimal(38,2)").alias("total"))
+
+
 def _rows(d):
     none = [F.lit(None).cast("string").alias(c) for c in ("codigo_orgao", "nome_orgao", "poder_orgao", "esfera_orgao", "modalidade_nome", "modalidade_codigo")]
     return _orders(d).select(F.col("n").alias("num_licitacao"), F.col("c").alias("cnpj_fornecedor"), *none, F.col("v").alias("valor"), F.lit("x").alias("objeto"), F.col("d").alias("data_assinatura"), F.col("e").alias("data_vigencia"))

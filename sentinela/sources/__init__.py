@@ -61,16 +61,14 @@ def sanctions(spark, path, kind: str) -> DataFrame:
     return df.select("_ord", col(df, "CPF OU CNPJ DO SANCIONADO").alias("cnpj"), F.when(fn.blank(name), other).otherwise(name).alias("razao_social"), F.lit(kind).alias("tipo_sancao"), col(df, "ÓRGÃO SANCIONADOR").alias("orgao_sancionador"), col(df, "CATEGORIA DA SANÇÃO").alias("motivo"), fn.day(col(df, "DATA INÍCIO SANÇÃO"), "dd/MM/yyyy").alias("data_inicio"), fn.day(col(df, "DATA FINAL SANÇÃO"), "dd/MM/yyyy").alias("data_fim"))
 
 
-_RECORD = "struct<numeroContratoEmpenho:string,orgaoEntidade:struct<cnpj:string,razaoSocial:string,poderId:string,esferaId:string>,niFornecedor:string,fornecedor:struct<cnpjFormatado:string,razaoSocial:string>,dataAssinatura:string,dataVigencia:string,dataVigenciaFim:string,valorInicial:string,objetoContrato:string,modalidadeNome:string,modalidadeCodigo:string,categoriaProcesso:struct<id:string,nome:string>>"
+RECORD = "struct<numeroContratoEmpenho:string,orgaoEntidade:struct<cnpj:string,razaoSocial:string,poderId:string,esferaId:string>,niFornecedor:string,fornecedor:struct<cnpjFormatado:string,razaoSocial:string>,dataAssinatura:string,dataVigencia:string,dataVigenciaFim:string,valorInicial:string,objetoContrato:string,modalidadeNome:string,modalidadeCodigo:string,categoriaProcesso:struct<id:string,nome:string>>"
 CONTRACT_SCHEMA = "num_licitacao string, cnpj_fornecedor string, codigo_orgao string, nome_orgao string, poder_orgao string, esfera_orgao string, modalidade_nome string, modalidade_codigo string, valor decimal(18,2), objeto string, data_assinatura date, data_vigencia date"
 
 
-def contracts_json(spark, path) -> DataFrame:
-    """Files that hold ``{"data": [...]}`` or a bare list of records; a large file is read by many tasks."""
-    rows = json_array.records(spark, path).select("_ord", F.from_json("text", _RECORD).alias("r"))
+def contract_columns() -> list[Column]:
+    """The staging columns of a contract, from a record ``r``."""
     some = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
-    return rows.select(
-        "_ord",
+    return [
         F.col("r.numeroContratoEmpenho").alias("num_licitacao"),
         F.regexp_replace(F.coalesce("r.niFornecedor", "r.fornecedor.cnpjFormatado"), "[./-]", "").alias("cnpj_fornecedor"),
         F.col("r.orgaoEntidade.cnpj").alias("codigo_orgao"),
@@ -83,7 +81,13 @@ def contracts_json(spark, path) -> DataFrame:
         F.col("r.objetoContrato").alias("objeto"),
         fn.day(F.substring("r.dataAssinatura", 1, 10)).alias("data_assinatura"),
         fn.day(F.substring(some("r.dataVigenciaFim", "r.dataVigencia"), 1, 10)).alias("data_vigencia"),
-    )
+    ]
+
+
+def contracts_json(spark, path) -> DataFrame:
+    """Files that hold ``{"data": [...]}`` or a bare list of records; a large file is read by many tasks."""
+    rows = json_array.records(spark, path).select("_ord", F.from_json("text", RECORD).alias("r"))
+    return rows.select("_ord", *contract_columns())
 
 
 def contracts_parquet(spark, directory: str) -> DataFrame:
