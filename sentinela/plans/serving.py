@@ -120,15 +120,3 @@ def dossier(domain, cnpj: str | None = None) -> DataFrame:
 
 def dossier_json(rows: DataFrame) -> DataFrame:
     return rows.select("cnpj", F.to_json(F.struct(*rows.columns)).alias("json"))
-
-
-def dossier_csv(rows: DataFrame) -> DataFrame:
-    """cnpj, secao, linha: the sections of the export, a row per line."""
-    line = lambda *c: F.concat_ws(",", *[F.coalesce(x.cast("string"), F.lit("")) for x in c])
-    head = rows.select("cnpj", F.lit("DADOS CADASTRAIS").alias("secao"), F.explode(F.array(*[F.concat(F.lit(f"{label},"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for label, c in (("CNPJ", "cnpj"), ("Razao Social", "razao_social"), ("Data Abertura", "data_abertura"), ("Capital Social", "capital_social"), ("CNAE", "cnae_principal"))])).alias("linha"))
-    out = head
-    for section, column, fields in (("SCORE DE RISCO", "indicadores", ["indicador", "peso", "descricao"]), ("ALERTAS CRITICOS", "alertas", ["tipo_alerta", "severidade", "descricao"]), ("CONTRATOS", "contratos", ["valor", "data_assinatura", "objeto"]), ("SOCIOS", "socios", ["nome_socio", "is_servidor_publico", "orgao_lotacao"])):
-        x = rows.select("cnpj", F.lit(section).alias("secao"), F.explode(column).alias("x"))
-        out = out.unionByName(x.select("cnpj", "secao", line(*[F.col(f"x.{f}") for f in fields]).alias("linha")))
-    return out
-

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sentinela import functions as fn
 from sentinela.operators import alerts, core, graph, score
-from sentinela.plans import serving
+from sentinela.plans import export, serving
 from sentinela.plans.driver_map import KEY, VIEWS, Domain
 
 QUERIES: dict = {}
@@ -269,7 +269,7 @@ def _csv_sql() -> str:
     return head
 
 
-_query("dossier_csv", DIM + _csv_sql())(lambda d: serving.dossier_csv(serving.dossier(d)))
+_query("dossier_csv", DIM + _csv_sql())(lambda d: export.lines(d).select("cnpj", "secao", "linha"))
 _query("q_alert_count", DIM + "SELECT count(*) AS n FROM alert_v")(lambda d: serving.alert_count(d.alerts))
 NEAR = ", h1 AS (SELECT DISTINCT y.fk_fornecedor FROM raw_partner_v x JOIN raw_partner_v y USING (nome_socio) WHERE x.fk_fornecedor = 7), near_v AS (SELECT DISTINCT y.fk_fornecedor FROM raw_partner_v x JOIN raw_partner_v y USING (nome_socio) WHERE x.fk_fornecedor IN (SELECT fk_fornecedor FROM h1)) "
 

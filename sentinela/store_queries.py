@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from sentinela import durable, merge, pages, partials, postings
-from sentinela.plans import serving
+from sentinela.plans import export, serving
 from sentinela.plans.driver_map import VIEWS, Domain
-from sentinela.queries import ALERT_SQL, EXTRA_A
+from sentinela.queries import ALERT_SQL, DIM, EXTRA_A
 from sentinela.star_queries import _and_remove
 
 QUERIES: dict = {}
@@ -103,3 +103,19 @@ def merged_contracts(d, where):
         own = rows.filter(when).withColumn("valor", (F.col("valor") + off).cast("decimal(18,2)"))
         merge.merge(own, where, ["pk_contrato"], ["fk_fornecedor", "data_assinatura", "valor"], newest, buckets=16)
     return merge.read(d.spark, where)
+
+
+def _lines_sql() -> str:
+    rows = [f"SELECT cnpj, 0 AS ordem, 'DADOS CADASTRAIS' AS secao, '{label},' || coalesce(CAST({c} AS VARCHAR), '') AS linha, {i} AS chave FROM supplier_v" for i, (label, c) in enumerate((("CNPJ", "cnpj"), ("Razao Social", "razao_social"), ("Data Abertura", "data_abertura"), ("Capital Social", "capital_social"), ("CNAE", "cnae_principal")))]
+    sections = ("SCORE DE RISCO", "score_v", ["indicador", "peso", "descricao"], "NULL"), ("ALERTAS CRITICOS", "alert_v", ["tipo_alerta", "severidade", "descricao"], "NULL"), ("CONTRATOS", "contract_v", ["valor", "data_assinatura", "objeto"], "pk_contrato"), ("SOCIOS", "partner_v", ["nome_socio", "is_servidor_publico", "orgao_lotacao"], "pk_socio")
+    for i, (section, view, fields, key) in enumerate(sections, start=1):
+        line = " || ',' || ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in fields)
+        rows.append(f"SELECT s.cnpj, {i}, '{section}', {line}, {key} FROM {view} JOIN (SELECT pk_fornecedor AS k, cnpj FROM supplier_v) s ON k = fk_fornecedor")
+    return DIM + " UNION ALL ".join(rows)
+
+
+@_query("store_dossier_lines", _lines_sql())
+def dossier_lines(d, where):
+    """The dossiers of all suppliers, written in order and read again."""
+    export.write(export.lines(d), where, 8)
+    return export.read(d.spark, where)
