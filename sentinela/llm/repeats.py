@@ -34,6 +34,8 @@ GRAM = 48
 HOT_RUNS = 20_000
 #: Runs per bucket of the last passes.
 BUCKET_RUNS = 3_000
+#: Windows that a task of these passes sorts at once.
+WINDOWS = 500_000
 RUN = "key binary, first int, last int, at int, digit long, body long"
 PART = "key binary, single boolean, hot boolean, digit long, at int, low int, high int, body binary, window_a long, window_b long"
 
@@ -93,7 +95,7 @@ def text_runs(keyed: DataFrame, depth: int, gram: int) -> DataFrame:
                     names=["key", "first", "last", "at", "digit", "body"],
                 )
 
-    return keyed.select("key", "text").mapInArrow(run, RUN)
+    return keyed.select("key", "text").mapInArrow(K.tidy(run), RUN)
 
 
 def digit_counts(keyed: DataFrame, depth: int, gram: int) -> DataFrame:
@@ -106,7 +108,7 @@ def digit_counts(keyed: DataFrame, depth: int, gram: int) -> DataFrame:
                 digit, n = np.unique(runs_of(d, o, depth, gram, bodies=False)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(digit.view(np.int64)), pa.array(n.astype(np.int64))], names=["digit", "n"])
 
-    return keyed.select("text").mapInArrow(run, "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n"))
+    return keyed.select("text").mapInArrow(K.tidy(run), "digit long, n long").groupBy("digit").agg(F.sum("n").alias("n"))
 
 
 def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
@@ -149,22 +151,82 @@ def ranges(row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[at], window[at], window[np.append(at[1:], len(row)) - 1] if len(at) else window
 
 
+def portions(digit: np.ndarray, least: np.ndarray, most: np.ndarray):
+    """Runs (by number) and the first and last place of the digit in their windows, about ``WINDOWS`` windows at a time.
+    Windows that can be equal, of one digit at one place, come together; each portion has all of them. ``least`` and
+    ``most``: of each run the places of its digit in its windows."""
+    by = np.argsort(digit, kind="stable")
+    upto = np.cumsum((most - least + 1)[by])
+    edge = np.append(np.flatnonzero(np.diff(digit[by])) + 1, len(by)) if len(by) else np.zeros(0, np.int64)
+    x = 0
+    while x < len(by):
+        done = upto[x - 1] if x else 0
+        fit = edge[(edge > x) & (upto[edge - 1] <= done + WINDOWS)]
+        y = int(fit[-1] if len(fit) else edge[edge > x][0])
+        rows = by[x:y]
+        low, high = int(least[rows].min()), int(most[rows].max())
+        step = high - low + 1 if len(fit) else max(1, WINDOWS // len(rows))  # a run has a window for each place at most
+        for place in range(low, high + 1, step):
+            yield rows, place, min(high, place + step - 1)
+        x = y
+
+
 def repeated_in_bucket(table: pa.Table, depth: int) -> pa.Table:
     """Stretches of repeated windows in the single runs of a bucket.
 
     ``body`` holds the bytes from window ``low`` to window ``high``; a window's group is the digit and its place in
-    the window, so windows that differ in either never meet.
+    the window, so windows that differ in either never meet, and are sorted some at a time.
     """
-    data, offs = K.flat(table.column("body"))
     low, high, at, digit = (table.column(c).to_numpy() for c in ("low", "high", "at", "digit"))
-    n = (high - low + 1).astype(np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    group = np.unique(digit, return_inverse=True)[1].ravel()[row] * (depth + 1) + (at[row] - low[row] - step)
-    hit = radix_groups(data, offs[row] + step, group, depth)
-    hit &= table.column("single").to_numpy()[row]
-    r, first, last = ranges(row[hit], (low[row] + step)[hit])
-    return pa.table([table.column("key").take(pa.array(r)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "first", "last"])
+    single, body, keys = table.column("single").to_numpy(), table.column("body").combine_chunks(), table.column("key")
+    found = [(np.zeros(0, np.int64),) * 2]
+    for rows, least, most in portions(digit, at - high, at - low):
+        data, offs = K.flat(body.take(pa.array(rows)))
+        begin, end = np.maximum(low[rows], at[rows] - most), np.minimum(high[rows], at[rows] - least)
+        n = np.maximum(0, end - begin + 1).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        window = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        group = np.unique(digit[rows], return_inverse=True)[1].ravel()[row] * (depth + 1) + (at[rows][row] - window)
+        hit = radix_groups(data, offs[row] + window - low[rows][row], group, depth) & single[rows][row]
+        found.append((rows[row[hit]], window[hit].astype(np.int64)))
+    row, window = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.lexsort((window, row))
+    r, first, last = ranges(row[by], window[by])
+    return pa.table([keys.take(pa.array(r)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "first", "last"])
+
+
+def part(key: pa.Array, single, hot: bool, digit, at, low, high, bodies=None, wa=None, wb=None) -> pa.RecordBatch:
+    n = len(key)
+    none = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [key, pa.array(single), pa.array(np.full(n, hot)), pa.array(digit), *(pa.array(x.astype(np.int32)) for x in (at, low, high)), pa.nulls(n, pa.binary()) if bodies is None else pa.array(bodies, pa.binary()), none if wa is None else pa.array(wa.view(np.int64)), none if wb is None else pa.array(wb.view(np.int64))],
+        names=["key", "single", "hot", "digit", "at", "low", "high", "body", "window_a", "window_b"],
+    )
+
+
+def bodies_of(batch: pa.RecordBatch, depth: int):
+    """The rows of ``PART`` for a batch (key, text, runs), some documents at a time: a worker keeps the powers of the
+    longest stretch that it has hashed."""
+    text, every = K.flat(batch.column(1)), batch.column(2)
+    for x, y, data, offs in K.pieces(*text):
+        lists, keys = every.slice(x, y - x), batch.column(0).slice(x, y - x)
+        fields = lists.flatten()
+        doc = np.repeat(np.arange(y - x), np.diff(lists.offsets.to_numpy()))
+        first, last, at, digit, single, hot = (np.asarray(fields.field(k)) for k in ("first", "last", "at", "digit", "single", "hot"))
+        single, hot = single.astype(bool), hot.astype(bool)
+        cold = np.flatnonzero(~hot)
+        raw = data.tobytes()
+        begin, end = offs[doc] + first, offs[doc] + last + depth
+        bodies = [raw[i:j] for i, j in zip(begin[cold].tolist(), end[cold].tolist(), strict=True)]
+        yield part(keys.take(pa.array(doc[cold])), single[cold], False, digit[cold], at[cold], first[cold], last[cold], bodies)
+        if hot.any():
+            a, b = K.prefix_hash(data), K.prefix_hash(data, K.BYTE_VALUE_2)
+            for some in np.array_split(np.flatnonzero(hot), max(1, int(hot.sum()) // 2000)):
+                n = (last - first + 1)[some].astype(np.int64)
+                row = np.repeat(some, n)
+                w = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                s = offs[doc[row]] + w
+                yield part(keys.take(pa.array(doc[row])), single[row], True, digit[row], at[row] - w, w, w, None, K.span_hash(a, s, s + depth), K.span_hash(b, s, s + depth))
 
 
 def fetch_bodies(keyed: DataFrame, rest: DataFrame, depth: int) -> DataFrame:
@@ -172,38 +234,10 @@ def fetch_bodies(keyed: DataFrame, rest: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            lists = table.column("runs").combine_chunks()
-            fields = lists.flatten()
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            data, offs = K.flat(table.column("text"))
-            first, last, at, digit, single, hot = (np.asarray(fields.field(k)) for k in ("first", "last", "at", "digit", "single", "hot"))
-            single, hot = single.astype(bool), hot.astype(bool)
-            cold = np.flatnonzero(~hot)
-            raw = data.tobytes()
-            begin, end = offs[doc] + first, offs[doc] + last + depth
-            bodies = [raw[x:y] for x, y in zip(begin[cold].tolist(), end[cold].tolist(), strict=True)]
-            yield part(table, doc[cold], single[cold], False, digit[cold], at[cold], first[cold], last[cold], bodies, None, None)
-            if hot.any():
-                a, b = K.prefix_hash(data), K.prefix_hash(data, K.BYTE_VALUE_2)
-                for some in np.array_split(np.flatnonzero(hot), max(1, int(hot.sum()) // 2000)):
-                    n = (last - first + 1)[some].astype(np.int64)
-                    row = np.repeat(some, n)
-                    w = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    s = offs[doc[row]] + w
-                    yield part(table, doc[row], single[row], True, digit[row], at[row] - w, w, w, None, K.span_hash(a, s, s + depth), K.span_hash(b, s, s + depth))
-
-    def part(table, doc, single, hot, digit, at, low, high, bodies, wa, wb):
-        n = len(doc)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [table.column("key").take(pa.array(doc)).combine_chunks(), pa.array(single), pa.array(np.full(n, hot)), pa.array(digit), *(pa.array(x.astype(np.int32)) for x in (at, low, high)), pa.nulls(n, pa.binary()) if bodies is None else pa.array(bodies, pa.binary()), none if wa is None else pa.array(wa.view(np.int64)), none if wb is None else pa.array(wb.view(np.int64))],
-            names=["key", "single", "hot", "digit", "at", "low", "high", "body", "window_a", "window_b"],
-        )
+            yield from bodies_of(batch, depth)
 
     listed = rest.groupBy("key").agg(F.collect_list(F.struct("first", "last", "at", "digit", "single", "hot")).alias("runs"))
-    return keyed.select("key", "text").join(listed, "key").select("key", "text", "runs").mapInArrow(run, PART)
+    return keyed.select("key", "text").join(listed, "key").select("key", "text", "runs").mapInArrow(K.tidy(run), PART)
 
 
 def repeated_windows(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -235,38 +269,37 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFr
 
     def run(batches):
         for batch in batches:
-            data, offs = K.flat(batch.column(1))
-            n, size = len(offs) - 1, np.diff(offs)
-            lists = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(n), sizes)
-            fields = lists.flatten()
-            change = np.zeros(len(data) + 1, np.int64)
-            np.add.at(change, offs[doc] + np.asarray(fields.field("first")), 1)
-            np.add.at(change, offs[doc] + np.asarray(fields.field("last")) + depth, -1)
-            gone = np.cumsum(change)[:-1] > 0
-            edge = gone.copy()
-            edge[1:] &= ~gone[:-1]
-            inner = offs[:-1][offs[:-1] < len(data)]
-            edge[inner] = gone[inner]
-            start = np.flatnonzero(edge)
-            halt = ~gone
-            halt[inner] = True
-            stop_at = np.append(np.flatnonzero(halt), len(data))
-            stop = stop_at[np.searchsorted(stop_at, start, side="right")]
-            home = K.doc_of(offs, start)
-            per = np.bincount(home, minlength=n)
-            removed = np.bincount(home, stop - start, n).astype(np.int64)
-            left = ~gone
-            kept_offs = np.concatenate([[0], np.cumsum(size - removed)]).astype(np.int32)
-            kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(kept_offs.tobytes()), pa.py_buffer(data[left].tobytes())])
-            pairs = pa.StructArray.from_arrays([pa.array((start - offs[home]).astype(np.int32)), pa.array((stop - offs[home]).astype(np.int32))], names=["start", "stop"])
-            where = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), where, kept], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            every = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
+            for x, y, data, offs in K.pieces(*K.flat(batch.column(1))):
+                n, size, lists = y - x, np.diff(offs), every.slice(x, y - x)
+                doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                fields = lists.flatten()
+                change = np.zeros(len(data) + 1, np.int64)
+                np.add.at(change, offs[doc] + np.asarray(fields.field("first")), 1)
+                np.add.at(change, offs[doc] + np.asarray(fields.field("last")) + depth, -1)
+                gone = np.cumsum(change)[:-1] > 0
+                edge = gone.copy()
+                edge[1:] &= ~gone[:-1]
+                inner = offs[:-1][offs[:-1] < len(data)]
+                edge[inner] = gone[inner]
+                start = np.flatnonzero(edge)
+                halt = ~gone
+                halt[inner] = True
+                stop_at = np.append(np.flatnonzero(halt), len(data))
+                stop = stop_at[np.searchsorted(stop_at, start, side="right")]
+                home = K.doc_of(offs, start)
+                per = np.bincount(home, minlength=n)
+                removed = np.bincount(home, stop - start, n).astype(np.int64)
+                left = ~gone
+                kept_offs = np.concatenate([[0], np.cumsum(size - removed)]).astype(np.int32)
+                kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(kept_offs.tobytes()), pa.py_buffer(data[left].tobytes())])
+                pairs = pa.StructArray.from_arrays([pa.array((start - offs[home]).astype(np.int32)), pa.array((stop - offs[home]).astype(np.int32))], names=["start", "stop"])
+                where = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pairs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, n), pa.array(size), pa.array(removed), where, kept], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = keyed.join(spans, "key", "left").select("doc_id", "text", "windows")
-    return out.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>, kept binary")
+    return out.mapInArrow(K.tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>, kept binary")
 
 
 K.ship(__name__)
