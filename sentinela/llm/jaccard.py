@@ -146,6 +146,20 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(K.tidy(run), "doc_id long, row_key binary, n long, set_key binary, key long, sketch binary")
 
 
+def members_by_signature(texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """sig, node of a table (node, text): linked sets have a signature in common."""
+
+    def run(batches):
+        for batch in batches:
+            data, offs = K.flat(batch.column(1))
+            for a, b, d, o in K.pieces(data, offs):
+                doc, g = near.shingles(d, o, width)
+                sig, of = signatures(doc, g, b - a, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(of))], names=["sig", "node"])
+
+    return texts.select("node", "text").mapInArrow(K.tidy(run), "sig long, node long").distinct()
+
+
 MEMBER = "sig long, key long, hub long"
 
 

@@ -7,16 +7,19 @@
    however small the sets are.
 2. Equal sets form one class. Classes are what is compared from here on, whatever the number of copies.
 3. Bands of four coarse registers deal classes to bins. In a bin every class is paired with the bin's first hub only;
-   pairs that sizes and the collision-corrected estimate of the similarity leave open (``SIGMAS`` standard errors below
-   the threshold) are verified on the full sets, and what is linked is contracted to components.
+   pairs that sizes, registers and the collision-corrected estimate of the similarity leave open (``SIGMAS`` standard
+   errors below the threshold) are verified on the full sets, and what is linked is contracted to components.
 4. Bins that still hold several components do so again with ``HUBS`` further hubs. A hub has then met its whole bin and
    leaves it.
 5. In what is mixed even then, registers are compared block by block within tasks: a bin of k classes is dealt to
    blocks of ``BLOCK``, so its rows are written k / BLOCK times, and a task emits just the pairs of different components
-   that sizes and the estimate leave open. A bin of over ``LARGE`` classes is dealt anew by further bands first.
+   that sizes, registers and the estimate leave open. Classes of bins of over ``LARGE`` meet by signatures instead, of
+   which every linked pair has one in common (``jaccard.signatures``), so nothing is lost there.
 
-A pair at similarity 0.8 shares none of the 32 bands with probability 5e-8, and an estimate is too low with 3e-7; there
-is no other loss and no cap. The work beyond the hubs grows only with classes that share bins without being linked.
+Registers that differ are never more than the elements that do, which alone decides for small sets; for others the
+estimate also does, too low with less than 1e-19 (exp(-2 * SIGMAS**2 * 0.16), Serfling's bound). A pair at similarity 0.8
+shares none of the 32 bands with probability 5e-8; there is no other loss and no cap. The work beyond the hubs grows only
+with classes that share bins without being linked.
 
 Defined results: a text with fewer than ``width`` words has its whole sequence as one shingle; without words the
 set is empty and linked with nothing; a null doc_id belongs to its text's component but never names one (null if
@@ -40,11 +43,11 @@ BUCKETS = 1 << BUCKET_BITS
 #: Leading zeros and mantissa: bits of each in a bucket's byte, and in a coarse register.
 FINE, WIDE = (4, 4), (5, 11)
 HUBS = 2
-SIGMAS = 5.0
+SIGMAS = 12.0
+#: Sets that may differ in at most so many elements are judged by their registers alone.
+FEW = 64
 #: Classes per block, rows per task of the block-wise comparison, and what makes a bin be dealt anew.
 BLOCK, TASK_ROWS, LARGE = 400, 2_000, 25_000
-#: A large bin is dealt by so many further bands, at most so many times.
-SPLITS, LEVELS = 4, 3
 U = np.uint64
 PROBES = np.array([np.random.RandomState(77 + i).permutation(1 << COARSE_BITS) for i in range(1 << COARSE_BITS)])
 SALT = np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15)
@@ -132,11 +135,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def leaves_open(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, t: float, sigmas: float = SIGMAS) -> np.ndarray:
-    """Whether a similarity of ``t`` or more is possible. Full buckets are a sample, without replacement, of the union."""
+    """Whether a similarity of ``t`` or more is possible. In a bucket whose registers differ one set has an element that the
+    other has not. Full buckets are a sample, without replacement, of the union."""
+    most = np.floor((1 - t) * (n + m) / (1 + t) + 1e-9)
+    bound = (a != b).sum(axis=1) <= most
     j, some = estimate(a, b, n, m)
     union = np.maximum(some, (n + m) / (1 + t))
     spread = t * (1 - t) / np.maximum(1, some) * np.maximum(1 - some / union, 0.02)
-    return j >= t - sigmas * np.sqrt(spread)
+    return bound & ((most <= FEW) | (j >= t - sigmas * np.sqrt(spread)))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -228,30 +234,25 @@ def mixed_bins(bins: DataFrame, label: DataFrame, seeds: list[int]) -> DataFrame
     return labelled.join(per.filter("_lo <> _hi").drop("_lo", "_hi"), "bin")
 
 
-def finer(mixed: DataFrame, classes: DataFrame, tables: C.Tables, large: int = LARGE) -> DataFrame:
-    """``mixed`` (bin, node, label, k, dealt) with the bins of over ``large`` classes dealt anew by ``SPLITS`` further bands.
+def finer(mixed: DataFrame, texts: DataFrame, tables: C.Tables, width: int, threshold: int, large: int = LARGE) -> DataFrame:
+    """``mixed`` (bin, node, label, k, dealt) with the classes of bins of over ``large`` dealt anew by signatures, one of
+    which at least two linked classes have in common whatever their other bands."""
+    from sentinela.llm import jaccard  # it is built on this module
 
-    A linked pair shares some 13 bins and in each a further band with probability 0.41, so none of ``LEVELS`` times
-    SPLITS deals together with less than 1e-8.
-    """
-    out = mixed
-    for _ in range(LEVELS):
-        big = out.filter(F.col("k") > large)
-        if not big.limit(1).count():
-            break
-        some = [F.pmod(F.xxhash64("bin", F.lit(i)), F.lit(BANDS)).cast("int") for i in range(SPLITS)]
-        bins = F.array(*(F.xxhash64("bin", F.substring(F.col("bins"), 8 * s + 1, F.lit(8))) for s in some))
-        again = big.join(classes.select("node", "bins"), "node").select(F.explode(bins).alias("bin"), "node", "label").distinct()
-        per = again.groupBy("bin").agg(F.count("*").alias("k"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
-        again = again.join(per.drop("_lo", "_hi"), "bin").withColumn("dealt", F.lit(True))
-        out = tables.write(out.filter(F.col("k") <= large).unionByName(again.select(out.columns)), "finer")
-    return out
+    big = mixed.filter(F.col("k") > large)
+    if not big.limit(1).count():
+        return mixed
+    some = tables.write(big.select("node", "label").distinct(), "large")
+    members = tables.write(jaccard.members_by_signature(texts.join(some.select("node"), "node"), width, threshold), "signed-large")
+    again = jaccard.one_of_equal(members, some, 2).select(F.col("sig").alias("bin"), "node", "label", "k", F.lit(True).alias("dealt"))
+    return tables.write(mixed.filter(F.col("k") <= large).unionByName(again), "finer")
 
 
 def open_pairs(bins: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, block: np.ndarray, dealt: np.ndarray, own: np.ndarray, regs: np.ndarray, t: float):
     """Pairs of one unit's classes, between two blocks if there are two, that have different labels and may be linked.
 
-    ``own``: the class's bins. A pair that shares an earlier band meets there, unless this bin was dealt anew.
+    ``own``: the class's bins. A pair that shares an earlier band meets there, or by a signature if that bin was large and
+    the pair is linked; signatures (``dealt``) have no such order.
     """
     two, band = block[0] != block[-1], np.argmax(own == bins[:, None], axis=1)
     for i in range(len(node)):
@@ -359,7 +360,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 80, row: s
     label = contract(estimated(met), label)
     left = mixed.filter(" and ".join(f"node <> {h}.node" for h in hubs)).select("bin", "node", "n")
     left = tables.write(mixed_bins(left, label, []).select("bin", "node", "label", "k", F.lit(False).alias("dealt")), "left")
-    label = contract(tables.write(compared(finer(left, classes, tables, large), classes, threshold), "pairs"), label)
+    label = contract(tables.write(compared(finer(left, texts, tables, width, threshold, large), classes, threshold), "pairs"), label)
     named = label.join(classes.select("node", "least_id"), "node").groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_class = classes.select("set_key", "n", "node", "least_id").join(label, "node", "left").join(named, "label", "left")
     by_class = tables.write(by_class.select("set_key", "n", F.coalesce("component_id", "least_id").alias("_found"), F.coalesce("label", "node").alias("group")), "named")
