@@ -109,17 +109,30 @@ def enrich_partners(partners: DataFrame, suppliers: DataFrame, sanctions: DataFr
     return out.withColumns({"is_sancionado": F.col("sancionado_cnpj_basico").isNotNull(), "qtd_empresas_governo": F.coalesce("qtd_empresas_governo", F.lit(0)).cast("long")})
 
 
+def yearly(contracts: DataFrame) -> DataFrame:
+    """``per_supplier`` by year and objeto_categoria too: the rules on either, and ``per_supplier``, may be given this in
+    place of the contracts, which are then joined and grouped once for all of them."""
+    return _facts(contracts, "fk_fornecedor", F.year("data_assinatura").alias("year"), "objeto_categoria")
+
+
 def per_supplier(contracts: DataFrame) -> DataFrame:
     """What the rules want to know of a supplier's contracts, a row each, in one aggregation: n_contratos, total, first,
-    buyer_least, buyer_most, n_known_buyers (by codigo_orgao, or else fk_orgao) and, so that this may be given in place
-    of the contracts, itself unchanged."""
-    if "n_known_buyers" in contracts.columns:
+    buyer_least, buyer_most, n_known_buyers (by codigo_orgao, or else fk_orgao), of the contracts or of ``yearly``, and, so
+    that this may be given in place of the contracts, itself unchanged."""
+    if "n_known_buyers" not in contracts.columns:
+        return _facts(contracts, "fk_fornecedor")
+    if "year" not in contracts.columns:
         return contracts
+    sums = [F.sum("n_contratos").alias("n_contratos"), F.sum("total").cast(contracts.schema["total"].dataType).alias("total"), F.min("first").alias("first")]
+    return contracts.groupBy("fk_fornecedor").agg(*sums, F.min("buyer_least").alias("buyer_least"), F.max("buyer_most").alias("buyer_most"), F.sum("n_known_buyers").alias("n_known_buyers"))
+
+
+def _facts(contracts: DataFrame, *by) -> DataFrame:
     buyer = "codigo_orgao" if "codigo_orgao" in contracts.columns else "fk_orgao"
     total = F.sum("valor") if "valor" in contracts.columns else F.lit(None).cast("decimal(28,2)")
     known = [F.lit(None).alias("buyer_least"), F.lit(None).alias("buyer_most"), F.lit(0).cast("long").alias("n_known_buyers")] if buyer not in contracts.columns else [F.min(buyer).alias("buyer_least"), F.max(buyer).alias("buyer_most"), F.count(buyer).alias("n_known_buyers")]
     first = F.min("data_assinatura") if "data_assinatura" in contracts.columns else F.lit(None).cast("date")
-    return contracts.groupBy("fk_fornecedor").agg(F.count("*").alias("n_contratos"), total.alias("total"), first.alias("first"), *known)
+    return contracts.groupBy(*by).agg(F.count("*").alias("n_contratos"), total.alias("total"), first.alias("first"), *known)
 
 
 def same_address(suppliers: DataFrame) -> DataFrame:

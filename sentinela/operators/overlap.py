@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentinela import durable
+
 #: Members of a block: a larger set of rows with one group and item is met in blocks of its left side.
 BLOCK = 1000
 
@@ -36,7 +38,7 @@ def most_shared(items: DataFrame, groups: DataFrame, least: int, block: int = BL
     Members of a group with the same items (told by number and two 64-bit hashes) are one class: all of them have all
     items in common, and only the class's first member meets those of other sets.
     """
-    items = items.select("member", "item").dropna().distinct()
+    items = durable.materialise(items.select("member", "item").dropna().distinct(), "items")  # read six times below
     groups = groups.select("group", "member").dropna().distinct()
     sets = items.groupBy("member").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("item")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("g")).filter(F.col("size") >= least)
     of = groups.join(sets, "member")

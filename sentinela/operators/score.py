@@ -112,7 +112,10 @@ def shared_address(suppliers):
 def sudden_growth(suppliers, contracts, variant: str = "batch"):
     """A year with at least five times the value of the year before: the latest such jump, or online the earliest
     and only from a floor on."""
-    yearly = contracts.filter("data_assinatura is not null").groupBy("fk_fornecedor", F.year("data_assinatura").alias("year")).agg(F.sum("valor").alias("value"))
+    if "n_known_buyers" in contracts.columns:  # core.yearly
+        yearly = contracts.filter("year is not null").groupBy("fk_fornecedor", "year").agg(F.sum("total").cast(contracts.schema["total"].dataType).alias("value"))
+    else:
+        yearly = contracts.filter("data_assinatura is not null").groupBy("fk_fornecedor", F.year("data_assinatura").alias("year")).agg(F.sum("valor").alias("value"))
     line = Window.partitionBy("fk_fornecedor").orderBy("year")
     jump = yearly.withColumns({"py": F.lag("year").over(line), "pv": F.lag("value").over(line)})
     jump = jump.filter((F.col("py") == F.col("year") - 1) & (F.col("pv") > 0) & (F.col("value") >= F.col("pv") * K.GROWTH))
@@ -136,9 +139,11 @@ def no_employees(suppliers, contracts):
     return _fact(hit, "SEM_FUNCIONARIOS", F.lit("Empresa declara zero funcionarios no RAIS mas possui contratos governamentais"), F.lit("qtd_funcionarios=0, contratos_governamentais=sim"))
 
 
-def all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant: str = "batch", per=None) -> DataFrame:
-    """All rules of one variant. ``per``: ``core.per_supplier(contracts)``, if it has been written already."""
+def all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant: str = "batch", per=None, yearly=None) -> DataFrame:
+    """All rules of one variant. ``per`` and ``yearly``: ``core.per_supplier(contracts)`` and ``core.yearly(contracts)``, if
+    they have been written already."""
     per = core.per_supplier(contracts) if per is None else per
+    by_year = contracts if yearly is None else yearly
     online = variant == "online"
     parts = [
         low_capital(suppliers, per, variant),
@@ -146,9 +151,9 @@ def all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant:
         past_sanction(suppliers, sanctions, ref_date, variant),
         multi_company_partner(suppliers, partners),
         exclusive_buyer(suppliers, per),
-        incompatible_activity_online(suppliers, contracts) if online else incompatible_activity(suppliers, contracts),
+        incompatible_activity_online(suppliers, contracts) if online else incompatible_activity(suppliers, by_year),
         neighbours(suppliers) if online else shared_address(suppliers),
-        sudden_growth(suppliers, contracts, variant),
+        sudden_growth(suppliers, by_year, variant),
         no_employees(suppliers, per),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -54,7 +54,8 @@ class Domain:
         """Every line of every order; an order is a bid (one in eleven has no number), and some suppliers' lines are
         worth ten times as much from 1998 on."""
         line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        j = line.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        bids = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))  # first, so that lines are not shuffled by customer
+        j = line.join(bids, F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         kind = F.when(F.col("p_type").startswith("ECONOMY"), "SAUDE").when(F.col("p_type").startswith("SMALL"), "LIMPEZA").when(F.col("p_type").startswith("MEDIUM"), "CONSTRUCAO").when(F.col("p_type").startswith("PROMO"), "TECNOLOGIA")
         words = F.when(F.col("l_partkey") % 97 == 5, F.lit("software de ")).when(F.col("l_partkey") % 97 == 6, F.lit("obra de ")).otherwise(F.lit(""))
         value = F.col("l_extendedprice").cast("decimal(18,2)") * F.when((F.col("l_suppkey") % 9 == 4) & (F.year("o_orderdate") >= 1998), 10).otherwise(1)
@@ -71,10 +72,15 @@ class Domain:
             F.concat(words, F.col("p_name")).alias("objeto"),
         )
 
+    @property
+    def yearly(self):
+        """One aggregation of the contracts that all indicators share, kept for the session."""
+        return self._once("_yearly", lambda: core.yearly(self.contracts).persist())
+
     @property
     def per_supplier(self):
-        """One aggregation that all rules share, kept for the session."""
-        return self._once("_per_supplier", lambda: core.per_supplier(self.contracts).persist())
+        """One aggregation that all rules share, kept for the session; of ``yearly`` if there are indicators."""
+        return self._once("_per_supplier", lambda: core.per_supplier(self.yearly if "_yearly" in self.__dict__ else self.contracts).persist())
 
     @property
     def sanctions(self):
@@ -131,11 +137,11 @@ class Domain:
 
     @property
     def scores(self):
-        return self._once("_scores", lambda: score.all_indicators(self.suppliers, self.partners, self.contracts, self.sanctions, self.ref_date, per=self.per_supplier))
+        return self._once("_scores", lambda: score.all_indicators(self.suppliers, self.partners, self.contracts, self.sanctions, self.ref_date, yearly=self.yearly, per=self.per_supplier))
 
     @property
     def scores_online(self):
-        return self._once("_scores_online", lambda: score.all_indicators(self.suppliers, self.partners, self.contracts, self.sanctions, self.ref_date, "online", self.per_supplier))
+        return self._once("_scores_online", lambda: score.all_indicators(self.suppliers, self.partners, self.contracts, self.sanctions, self.ref_date, "online", yearly=self.yearly, per=self.per_supplier))
 
     @property
     def alerts(self):
