@@ -68,17 +68,21 @@ def _known(df: DataFrame, key: str, others: DataFrame, pk: str) -> DataFrame:
     return df.join(there, F.col(key) == F.col("_there"), "left").withColumn(key, F.col("_there")).drop("_there")
 
 
-def star(d: Domain) -> dict[str, DataFrame]:
+def star(d: Domain, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """All tables; contracts and donations are not numbered if none of those asked for (``names``) is made of them."""
     deals, gifts, partners = _parts(d)
+    plain = {"dim_fornecedor": d.suppliers, "dim_socio": partners, "dim_sancao": _known(d.sanctions, "fk_fornecedor", d.suppliers, "pk_fornecedor")}
+    if names is not None and set(names) <= {*plain, "bridge_fornecedor_socio"}:
+        return {**plain, "bridge_fornecedor_socio": dimensions.bridge(partners, d.suppliers)}
     deals = core.number_rows(deals.drop("pk_contrato"), "pk_contrato", ["num_licitacao", "fk_fornecedor", "objeto", "valor"])
     gifts = _known(_known(gifts, "fk_fornecedor", d.suppliers, "pk_fornecedor"), "fk_socio", partners, "pk_socio")
     tables = dimensions.star(d.suppliers, partners, deals, gifts, KEY)
-    return {**tables, "dim_fornecedor": d.suppliers, "dim_socio": partners, "dim_sancao": _known(d.sanctions, "fk_fornecedor", d.suppliers, "pk_fornecedor")}
+    return {**tables, **plain}
 
 
 def _loaded(d: Domain, where: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """The tables of a version that has just been loaded."""
-    tables = star(d)
+    tables = star(d, names)
     schema.load(d.spark, {n: t for n, t in tables.items() if names is None or n in names}, where, layout.LAYOUT)
     return publish.published(d.spark, where, layout.LAYOUT)
 

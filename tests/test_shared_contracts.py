@@ -1,5 +1,6 @@
 """Contracts are joined and grouped once for all indicators, and not at all for tables that are not made of them."""
 
+from sentinela import star_queries
 from sentinela.operators import core, score
 from sentinela.plans.driver_map import Domain
 
@@ -18,3 +19,12 @@ def test_indicators_need_the_yearly_aggregation_only(spark):
     assert rows(per) == rows(core.per_supplier(d.contracts).select(per.columns))
     got = score.all_indicators(d.suppliers, d.partners, None, d.sanctions, d.ref_date, yearly=by_year, per=per)
     assert rows(got) == rows(score.all_indicators(d.suppliers, d.partners, d.contracts, d.sanctions, d.ref_date))
+
+
+def test_partners_are_loaded_without_contracts(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("contracts are numbered")
+
+    monkeypatch.setattr(core, "number_rows", fail)
+    tables = star_queries.star(Domain(spark, SF), ["dim_fornecedor", "dim_socio", "bridge_fornecedor_socio"])
+    assert tables["bridge_fornecedor_socio"].count() == tables["dim_socio"].count() > 0
