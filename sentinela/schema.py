@@ -83,6 +83,12 @@ def _delivered(df: DataFrame, table: Table, name: str) -> str | None:
     return next((c for c in (name, table.names.get(name)) if c in df.columns), None)
 
 
+def _declared(df: DataFrame, name: str) -> DataFrame:
+    """The delivered columns that the table declares, as they are."""
+    every = [_delivered(df, TABLES[name], c) for c, _, _ in TABLES[name].fields()]
+    return df.select(*dict.fromkeys(f"`{c}`" for c in every if c))
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Just the declared columns, by name and typed; what is not delivered has its default or is null."""
     table, out = TABLES[name], []
@@ -148,7 +154,7 @@ def load(spark: SparkSession, tables: dict[str, DataFrame], out: str, layout: di
     unknown = set(tables) - set(TABLES)
     if unknown:
         raise KeyError(f"not in the schema: {sorted(unknown)}")
-    written = {n: durable.materialise(df, f"load-{n}") for n, df in tables.items()}
+    written = {n: durable.materialise(_declared(df, n), f"load-{n}") for n, df in tables.items()}
     try:
         bad = check(written).orderBy("tabela", "regra", "coluna").collect()  # at most a row for each rule
         if bad:
