@@ -6,12 +6,26 @@ again as the next one's ``docs``. All but the last return the columns of ``docum
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.llm import common, language, mixing, near, packing, pii, queries
 
 
+def _stage(run):
+    """Each stage starts when the one before has been written, so that the driver need not keep anything of it."""
+
+    @functools.wraps(run)
+    def start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.give_back(spark)
+        return run(spark, docs, sf_dir)
+
+    return start
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what language ID accepts; lang becomes the predicted language. Learns from the labelled rows of docs.
 
@@ -23,6 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group (words in fives, 0.8 or more) stays: the one with the least id, null last.
 
@@ -37,18 +52,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.withColumn(key, near.row_bytes(F.col(row))).join(stay, key).select(*docs.columns)
 
 
+@_stage
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its text pseudonymised; a null text stays null, with n_chars null."""
     out = pii.pseudonymise(docs.select("*"), queries.PII_KEY)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: runs of blocks of the documents, repeats as repeated rows; rows without words go."""
     out = mixing.mixed_texts(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows, packed; null ids are kept and repeated rows packed once each."""
     return packing.pack_documents(docs, queries.vocabulary_path())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ class Tables:
         self.frames = list(keep)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Collect, in the driver's Python and then in its JVM, plans and task records that nothing refers to any more. After
+    hundreds of stages they are most of the heap, which the JVM would let grow to its limit first."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These column names, each with underscores in front until ``df`` has no such column (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -317,6 +317,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     label = label.select(F.col("node").alias("label"), F.col("label").alias("_now"))
     out = C.materialise(nodes.join(label, "label", "left").select("node", F.coalesce("_now", "label").alias("label")), "labels")
     tables.drop()
+    C.give_back(nodes.sparkSession)  # the rounds' plans
     return out
 
 

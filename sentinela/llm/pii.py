@@ -268,18 +268,24 @@ def replace(text: Column, found: Column, names: Column, key: str, draws: Column
     return F.when(F.size(found) > 0, woven).otherwise(text)
 
 
+def _exploded(found: str) -> Column:
+    """``found`` exploded with a null for none, to be filtered later: the filter that Spark makes of a plain ``explode``
+    goes below the projection, where the patterns of ``found`` are written out, and matched, dozens of times."""
+    return F.explode_outer(found).alias("entity")
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "_n_entities") -> DataFrame:
     """``docs`` with its text replaced, and the number of entities as ``count`` (long)."""
     docs = docs.drop(count)
     first, names, found, ident, mine = C.unused(docs, "_first", "_names", "_found", "_ident", "_draws")
     seen = docs.withColumn(text, F.col(text).cast("string")).withColumn(first, entities(F.col(text))).withColumn(names, names_of(F.col(text), F.col(first)))
     seen = seen.withColumn(found, F.when(F.size(names) > 0, entities(F.col(text), F.col(names))).otherwise(F.col(first))).drop(first)
-    late = exceptions(seen.select(F.explode(found).alias("entity")), key)
+    late = exceptions(seen.select(_exploded(found)).filter("entity is not null"), key)
     draws = None
     if late is not None:
         late = C.materialise(late, "late")
         of_text = F.md5(F.col(text).cast("binary"))
-        touched = seen.filter(F.size(found) > 0).select(of_text.alias(ident), F.explode(found).alias("entity")).distinct().join(late, "entity")
+        touched = seen.select(of_text.alias(ident), _exploded(found)).filter("entity is not null").distinct().join(late, "entity")
         touched = C.materialise(touched.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(mine)), "touched")
         if touched.count() <= 20_000:  # rows of a hash and a few entities; beyond that the join shuffles
             touched = F.broadcast(touched)

@@ -83,3 +83,23 @@ def test_mixing_keeps_the_words_of_the_mix(spark):
     own = collections.Counter((s, w) for _, t, s in rows if t for w in re.findall(WORD, t))
     assert all(v <= mixing.MOST * own[k] for k, v in per.items())
     assert have == taken
+
+
+def test_a_stage_starts_without_the_garbage_of_the_one_before(spark):
+    """What nothing refers to any more is collected in Python and in the JVM before a stage runs."""
+    import gc
+    import weakref
+
+    class Held:
+        pass
+
+    full = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    gc.disable()
+    try:
+        held = Held()
+        held.itself, ref, before = held, weakref.ref(held), full()
+        del held
+        corpus_pipeline.mix_sources(spark, table(spark, [(1, "a b", "s0")]), "")
+        assert ref() is None and full() > before
+    finally:
+        gc.enable()
