@@ -135,12 +135,25 @@ def _facts(contracts: DataFrame, *by) -> DataFrame:
     return contracts.groupBy(*by).agg(F.count("*").alias("n_contratos"), total.alias("total"), first.alias("first"), *known)
 
 
-def same_address(suppliers: DataFrame) -> DataFrame:
+#: Suppliers of one address in a block, and pairs of blocks for a task of ``same_address``.
+BLOCK, UNITS = 1000, 4
+
+
+def same_address(suppliers: DataFrame, block: int = BLOCK) -> DataFrame:
     """cnpj_a, cnpj_b, endereco_compartilhado: all pairs at one street and number, which is what is asked for here; the
-    rules and the graph use ``score.shared_address``, which makes no pairs."""
-    keyed = suppliers.select("cnpj", fn.address_key(F.col("logradouro")).alias("endereco_compartilhado")).filter("endereco_compartilhado is not null").distinct()
-    a, b = keyed.withColumnRenamed("cnpj", "cnpj_a"), keyed.withColumnRenamed("cnpj", "cnpj_b")
-    return a.join(b, "endereco_compartilhado").filter("cnpj_a < cnpj_b").select("cnpj_a", "cnpj_b", "endereco_compartilhado")
+    rules and the graph use ``score.shared_address``, which makes no pairs.
+
+    An address with k suppliers gives k * (k - 1) / 2 rows. They are dealt to blocks of ``block``, and each two blocks
+    meet by themselves, ``UNITS`` of them a task whatever the size of what is shuffled: rows are written 2 * k / block times.
+    """
+    at = "endereco_compartilhado"
+    keyed = suppliers.select("cnpj", fn.address_key(F.col("logradouro")).alias(at)).filter(f"{at} is not null").distinct()
+    many = keyed.groupBy(at).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
+    units = many.agg(F.sum(F.col("_blocks").cast("long") * F.col("_blocks"))).first()[0] or 0
+    rows = keyed.join(many, at).withColumn("_own", F.pmod(F.xxhash64("cnpj"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    unit = [at, "_i", "_j"]
+    side = lambda name, own, other: rows.select(F.col("cnpj").alias(name), at, F.col("_own").alias(own), F.col("_other").alias(other)).repartition(max(1, -(-units // UNITS)), *unit)
+    return side("cnpj_a", "_i", "_j").join(side("cnpj_b", "_j", "_i"), unit).filter("cnpj_a < cnpj_b").select("cnpj_a", "cnpj_b", at)
 
 
 def denormalise(suppliers: DataFrame, scores: DataFrame, alerts: DataFrame, contracts: DataFrame) -> DataFrame:
