@@ -33,15 +33,17 @@ _KEYS = "map<int,string>"
 def tokens(segment: str) -> tuple[list[tuple[int, str, int, str]], int]:
     """Brackets of a segment (and the ``}`` that ended it): parity of quotes before it, bracket, place, key of a list; and the
     parity of all its quotes."""
-    parts = (_ESCAPED.sub("  ", segment) if "\\" in segment else segment).split('"')
-    out, at = [], 0
-    for i, p in enumerate(parts):
-        for m in _BRACKET.finditer(p):
-            named = m.group() == "[" and i > 0 and _COLON.match(p[: m.start()])
-            out.append((i & 1, m.group(), at + m.start(), parts[i - 1] if named else ""))
-        at += len(p) + 1
-    last = (len(parts) - 1) & 1
-    return [*out, (last, "}", len(segment), "")], last
+    text = _ESCAPED.sub("  ", segment) if "\\" in segment else segment
+    out, seen, quotes, last = [], 0, 0, -1
+    for m in _BRACKET.finditer(text):
+        place = m.start()
+        quotes += text.count('"', seen, place)
+        last = max(last, text.rfind('"', seen, place))
+        named = m.group() == "[" and last >= 0 and _COLON.match(text, last + 1, place)
+        out.append((quotes & 1, m.group(), place, text[text.rfind('"', 0, last) + 1 : last] if named else ""))
+        seen = place
+    quotes = (quotes + text.count('"', seen)) & 1
+    return [*out, (quotes, "}", len(segment), "")], quotes
 
 
 def segments(spark: SparkSession, path) -> DataFrame:

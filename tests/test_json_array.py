@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 
@@ -54,3 +55,38 @@ def test_files_without_records(spark, split, tmp_path):
     (tmp_path / "8.json").write_text('[{}, null, {"a": "}"}]')
     (tmp_path / "9.json").write_text('{"data": [{"b": 2}]}\n')
     assert sorted(map(str, read(spark, str(tmp_path / "*.json")))) == ["{'a': '}'}", "{'b': 2}", "{}"]
+
+
+def test_tokens_are_those_of_the_text_cut_at_quotes():
+    """Brackets, parities and keys of lists against the plain way: every part between two quotes looked at by itself."""
+    def plain(segment):
+        parts = re.sub(r"(?s)\\.", "  ", segment).split('"')
+        out, at = [], 0
+        for i, p in enumerate(parts):
+            for k, c in enumerate(p):
+                if c in "[]{}":
+                    named = c == "[" and i > 0 and re.fullmatch(r"\s*:\s*", p[:k])
+                    out.append((i & 1, c, at + k, parts[i - 1] if named else ""))
+            at += len(p) + 1
+        last = (len(parts) - 1) & 1
+        return [*out, (last, "}", len(segment), "")], last
+
+    random.seed(3)
+    for _ in range(20_000):
+        segment = "".join(random.choice('"":[[]{ab\\ \n,é') for _ in range(random.randrange(25)))
+        assert json_array.tokens(segment) == plain(segment), segment
+
+
+def test_tokens_scan_a_segment_once(monkeypatch):
+    """However many strings it holds: one search for brackets, not one for each part between two quotes."""
+    scans, bracket = [], json_array._BRACKET
+
+    class Counted:
+        @staticmethod
+        def finditer(text):
+            scans.append(text)
+            return bracket.finditer(text)
+
+    monkeypatch.setattr(json_array, "_BRACKET", Counted)
+    found, _ = json_array.tokens('{"a":"1","x":[' + ",".join(f'"value {i}"' for i in range(100)))
+    assert [x[1] for x in found] == ["{", "[", "}"] and found[1][3] == "x" and len(scans) == 1
