@@ -17,7 +17,9 @@ one band or in two neighbouring ones; a set therefore signs for its own band and
    verified on the full sets, and what is linked is contracted to components.
 4. In signatures whose members still lie in several components (one of each set of members) all are paired with two
    members, and what is left is compared block by block inside tasks: k members are dealt to blocks of ``BLOCK``, rows are
-   written k / BLOCK times, and a task emits only pairs of different components that the bound leaves open.
+   written k / BLOCK times, and a task emits only pairs of different components that the bound leaves open. Two sets that
+   are alike share hundreds of signatures; each row has the first ``FIRST`` ones of its set, and a pair that has one of
+   these in common is not emitted in any later one.
 
 No link is lost at any step, and nothing is capped. ``similar_pairs`` gives every link between different sets instead of
 components; there all members of a signature are compared block by block.
@@ -46,6 +48,8 @@ SLOTS = 256
 FLUSH, BUCKET, LOCAL = 1_500_000, 1_500_000, 3
 #: Members per block and rows per task of the block-wise comparison.
 BLOCK, TASK_ROWS = 400, 4_000
+#: A set's least signatures that its rows carry in the block-wise comparison.
+FIRST = 8
 #: Units of at most so many members are compared together, so many pairs at a time.
 SMALL, PAIRS = 48, 100_000
 U = np.uint64
@@ -288,32 +292,47 @@ def open_pairs(unit, label, n, block, sketch, threshold: int):
         yield i[ok], j[ok]
 
 
-def compared(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """The open pairs (a, b) of ``mixed`` (sig, node, label, k), found block by block within tasks."""
+def met_before(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of first signatures (``a`` and ``b``, filled up with the largest number) have one below ``sig`` in common."""
+    return ((a[:, :, None] == b[:, None, :]) & (a < sig[:, None])[:, :, None]).any(axis=(1, 2))
+
+
+def emitted(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The open pairs (a, b) of ``mixed`` (sig, node, label, k), found block by block within tasks; few of them repeat."""
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
     rows = mixed.select("sig", "node", "label", own.alias("block"), F.explode(units).alias("u")).withColumn("unit", F.xxhash64("sig", "u.i", "u.j"))
     tasks = C.bucket_count(mixed.agg(F.sum(blocks)).first()[0] or 0, TASK_ROWS)
-    rows = rows.join(classes.select("node", "n", "sketch"), "node")
-    rows = rows.select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "node", "label", "n", "block", "sketch")
+    last = F.lit(np.iinfo(np.int64).max)
+    first = F.slice(F.concat(F.sort_array(F.collect_set("sig")), F.array_repeat(last, FIRST)), 1, FIRST)  # as many as a set has shingles
+    rows = rows.join(classes.select("node", "n", "sketch").join(mixed.groupBy("node").agg(first.alias("first")), "node"), "node")
+    rows = rows.select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "sig", "node", "label", "n", "block", "sketch", "first")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("unit", "ascending"), ("block", "ascending"), ("node", "ascending")])
-        unit, node, label, n, block = (t.column(c).to_numpy() for c in ("unit", "node", "label", "n", "block"))
+        unit, sig, node, label, n, block = (t.column(c).to_numpy() for c in ("unit", "sig", "node", "label", "n", "block"))
         sketch = K.flat(t.column("sketch"))[0].reshape(-1, SLOTS)
-        i, j = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *open_pairs(unit, label, n, block, sketch, threshold), strict=True))
-        a, b = node[i], node[j]
+        first = t.column("first").combine_chunks().flatten().to_numpy().reshape(-1, FIRST)
+        found = [(np.zeros(0, np.int64),) * 2]
+        for i, j in open_pairs(unit, label, n, block, sketch, threshold):
+            new = ~met_before(sig[i], first[i], first[j])
+            found.append((node[i[new]], node[j[new]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    return rows.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def compared(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    return emitted(mixed, classes, threshold).distinct()
 
 
-def one_of_equal(members: DataFrame, label: DataFrame, least: int) -> DataFrame:
+def one_of_equal(members: DataFrame, label: DataFrame | None, least: int) -> DataFrame:
     """sig, node, label, k of the signatures with ``least`` members or more in several components; of signatures with the
-    same members, one."""
-    labelled = members.join(label, "node")
+    same members, one. Without ``label``, ``members`` has it."""
+    labelled = members if label is None else members.join(label, "node")
     whole = [F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"_x{s}") for s in (1, 2)]
     per = labelled.groupBy("sig").agg(F.count("*").alias("k"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), *whole)
     per = per.filter(f"_lo <> _hi and k >= {least}").groupBy("_x1", "_x2", "k").agg(F.min("sig").alias("sig")).select("sig", "k")
@@ -347,12 +366,12 @@ class Join:
         return self.bins.select("sig", "key").distinct().join(self.classes.select("key", "node"), "key").select("sig", "node")
 
     def mixed(self, label: DataFrame) -> DataFrame:
-        """sig, node of the signatures in which a member and its hub lie in different components."""
+        """sig, node, label of the signatures in which a member and its hub lie in different components."""
         known = self.write(label.join(self.classes.select("node", "key"), "node"), "known")
         of = lambda c: known.select(F.col("key").alias(c), F.col("label").alias(f"_{c}"))
-        sigs = self.bins.join(of("key"), "key").join(of("hub"), "hub").filter("_key <> _hub").select("sig").distinct()
+        sigs = self.bins.filter("key <> hub").join(of("key"), "key").join(of("hub"), "hub").filter("_key <> _hub").select("sig").distinct()
         rows = self.bins.join(self.write(sigs, "sigs"), "sig", "left_semi").select("sig", "key").distinct()
-        return rows.join(known.select("key", "node"), "key").select("sig", "node")
+        return rows.join(known.select("key", "node", "label"), "key").select("sig", "node", "label")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         return self.write(near.verified(self.write(pairs, "pairs"), self.texts, self.width, self.threshold), "linked")
@@ -364,7 +383,7 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: int = 80) -> D
     contract = lambda pairs, label: j.tables.add(near.components(j.verified(pairs), label))
     star = j.bins.groupBy(F.col("key").alias("a")).agg(F.min("hub").alias("b")).filter("a <> b")
     label = contract(promising(star, j.classes, threshold), j.nodes())
-    members = j.write(one_of_equal(j.mixed(label), label, 2), "members")
+    members = j.write(one_of_equal(j.mixed(label), None, 2), "members")
     hub = lambda seed: F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(seed)))
     hubs = members.groupBy("sig").agg(hub(11).alias("hub"), hub(12).alias("second"))
     star = members.join(hubs, "sig").select("node", "label", F.explode(F.array("hub", "second")).alias("hub")).filter("label <> hub.label")

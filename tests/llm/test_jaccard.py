@@ -113,6 +113,22 @@ def test_bounds_never_exceed_the_difference():
     assert np.abs(s[0] - s[1]).sum() <= len(np.setxor1d(one, two))
 
 
+def test_pairs_of_many_common_signatures_are_emitted_once(spark, monkeypatch):
+    """60 sets that are alike but not linked share 300 signatures each; others share one."""
+    monkeypatch.setattr(jaccard, "BLOCK", 25)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 500)
+    rng = np.random.RandomState(3)
+    mixed = [(s * 7919 - 10**6, m) for s in range(400) for m in range(60) if rng.rand() < 0.75] + [(10**9 + m // 2, m) for m in range(100, 140)]
+    k = {}
+    for s, _ in mixed:
+        k[s] = k.get(s, 0) + 1
+    mixed = spark.createDataFrame([(s, m, m, k[s]) for s, m in mixed], "sig long, node long, label long, k long")
+    classes = spark.createDataFrame([(m, 100, bytearray(jaccard.SLOTS)) for m in (*range(60), *range(100, 140))], "node long, n long, sketch binary")
+    got = [(r.a, r.b) for r in jaccard.emitted(mixed, classes, 80).collect()]
+    assert set(got) == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(m, m + 1) for m in range(100, 140, 2)}
+    assert len(got) < 2 * len(set(got))
+
+
 def test_empty_table(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
