@@ -9,6 +9,8 @@ from sentinela import durable
 
 #: Members of a block: a larger set of rows with one group and item is met in blocks of its left side.
 BLOCK = 1000
+#: Classes of a group up to which all its pairs are looked at, at most FEW - 1 for each member; larger ones meet by prefixes.
+FEW = 8
 
 
 def prefixes(items: DataFrame, least: int) -> DataFrame:
@@ -44,10 +46,14 @@ def most_shared(items: DataFrame, groups: DataFrame, least: int, block: int = BL
     of = groups.join(sets, "member")
     classes = of.groupBy("group", "size", "h", "g").agg(F.min("member").alias("member"), F.count("*").alias("members"))
     alike = of.join(classes.filter("members > 1").drop("member"), ["group", "size", "h", "g"]).select("member", F.col("size").alias("n"))
-    crowd = classes.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1").select("group")
-    firsts = classes.join(crowd, "group", "left_semi").select("group", "member")
+    crowd = classes.groupBy("group").agg(F.count("*").alias("c")).filter("c > 1")
+    firsts = durable.materialise(classes.join(crowd, "group").select("group", "member", "c"), "firsts")  # read four times below
     busy = items.join(firsts, "member", "left_semi")
-    pairs = candidates(firsts.join(prefixes(busy, least), "member"), block)
+    few, many = (firsts.filter(F.col("c") <= FEW).select("group", "member"), firsts.filter(F.col("c") > FEW).select("group", "member"))
+    pairs = few.withColumnRenamed("member", "a").join(few.withColumnRenamed("member", "b"), "group").filter("a < b").select("a", "b")
+    if many.limit(1).count():
+        pairs = pairs.unionByName(candidates(many.join(prefixes(items.join(many, "member", "left_semi"), least), "member"), block))
+    pairs = pairs.distinct()
     size = sets.select("member", "size")
     pairs = pairs.join(size.select(F.col("member").alias("a"), F.col("size").alias("_a")), "a").join(size.select(F.col("member").alias("b"), F.col("size").alias("_b")), "b")
     lesser = F.col("_a") <= F.col("_b")

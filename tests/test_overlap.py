@@ -58,6 +58,17 @@ def test_hot_group_makes_no_pairs(spark):
     assert overlap.most_shared(same, groups, 3).filter("n = 3").count() == n
 
 
+def test_small_groups_need_no_prefixes(spark, monkeypatch):
+    """Groups of a few members are compared pair by pair; bids are not counted, ranked and joined with each other for them."""
+    items, groups = planted(5)
+    small = [(f"{g}-{(m or 0) // 9}", m) for g, m in groups if m is not None]
+    monkeypatch.setattr(overlap, "prefixes", None)
+    monkeypatch.setattr(overlap, "FEW", 9)
+    got = overlap.most_shared(spark.createDataFrame(items, ITEMS), spark.createDataFrame(small, GROUPS), 3).collect()
+    want = brute(items, small, 3)
+    assert want and {r.member: r.n for r in got} == want and len(got) == len(want)
+
+
 def test_empty(spark):
     items, groups = spark.createDataFrame([], ITEMS), spark.createDataFrame([], GROUPS)
     assert overlap.most_shared(items, groups, 3).count() == 0
