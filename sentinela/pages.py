@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sentinela import durable
+
 #: Columns of the order: (name, whether descending). No null among them; together they tell rows apart.
 Order = list[tuple[str, bool]]
 
@@ -16,6 +18,7 @@ def _sorted(order: Order) -> list:
 
 def write(df: DataFrame, path: str, order: Order, rows: int = 2_000_000) -> None:
     """``path``/rows in about ``rows`` a file, and ``path``/files: part, n, start, and the last row's key."""
+    df = durable.materialise(df, "page-rows")  # else it is computed to be counted, to find the ranges, and to be written
     total = df.count()
     files = max(1, -(-total // rows))
     placed = df.repartitionByRange(files, *_sorted(order)).withColumn("_part", F.spark_partition_id())
@@ -26,6 +29,7 @@ def write(df: DataFrame, path: str, order: Order, rows: int = 2_000_000) -> None
     key = F.struct(*[c for c, _ in order])
     each = spark.read.parquet(f"{path}/rows").groupBy("_part").agg(F.count("*").alias("n"), F.max_by(key, "_at").alias("last"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    durable.discard(df)
     each.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/files")
 
 

@@ -155,3 +155,17 @@ def test_merge_columns_and_errors(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         merge.merge(numbers(spark, [(1, "b", 0), (4, "b", 0)]), out, ["k"], ["v"], newest=True)
     assert merge.read(spark, out).count() == 2 and merge.read(spark, out).filter("k = 1").first().s == "a"
+
+
+def test_rows_of_pages_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(500).mapInArrow(count, "id long")
+    pages.write(rows, str(tmp_path / "p"), [("id", True)], rows=60)
+    assert seen.value == 500
+    assert [r.id for r in pages.page(spark, str(tmp_path / "p"), 2, 50).collect()] == list(range(399, 349, -1))
