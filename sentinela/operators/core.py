@@ -109,10 +109,28 @@ def enrich_partners(partners: DataFrame, suppliers: DataFrame, sanctions: DataFr
     return out.withColumns({"is_sancionado": F.col("sancionado_cnpj_basico").isNotNull(), "qtd_empresas_governo": F.coalesce("qtd_empresas_governo", F.lit(0)).cast("long")})
 
 
-def yearly(contracts: DataFrame) -> DataFrame:
+#: Values that suppliers are dealt by in ``yearly``.
+DEALS = 1 << 12
+
+
+def yearly(contracts: DataFrame, online: bool = False) -> DataFrame:
     """``per_supplier`` by year and objeto_categoria too: the rules on either, and ``per_supplier``, may be given this in
-    place of the contracts, which are then joined and grouped once for all of them."""
-    return _facts(contracts, "fk_fornecedor", F.year("data_assinatura").alias("year"), "objeto_categoria")
+    place of the contracts, which are then joined and grouped once for all of them. ``online``: objeto_categoria is inferred
+    from the contract's object, and ``at`` (whether the day is null, the day, the key) is the first contract that has it.
+
+    As they come, nearly every contract of a task is of another group, and a group's sums are longer than the contract: the
+    contracts are dealt by supplier first, by a number that is no key of the groups, so that Spark may split a supplier with
+    very many over tasks, which send their sums.
+    """
+    buyer = "codigo_orgao" if "codigo_orgao" in contracts.columns else "fk_orgao"
+    kept = [c for c in ("fk_fornecedor", "data_assinatura", "valor", buyer) if c in contracts.columns]
+    kind, more = F.col("objeto_categoria"), []
+    if online:
+        kind = fn.object_category(F.col("objeto"))
+        more = [F.when(kind.isNotNull(), F.col("pk_contrato")).alias("pk_contrato")]
+    dealt = contracts.select(F.pmod(F.xxhash64("fk_fornecedor"), F.lit(DEALS)).cast("int").alias("_deal"), *kept, kind.alias("objeto_categoria"), *more).hint("rebalance", "_deal")
+    at = [F.min(F.when(F.col("objeto_categoria").isNotNull(), F.struct(F.col("data_assinatura").isNull().alias("no_day"), "data_assinatura", "pk_contrato"))).alias("at")] if online else []
+    return _facts(dealt, "fk_fornecedor", F.year("data_assinatura").alias("year"), "objeto_categoria", more=at)
 
 
 def per_supplier(contracts: DataFrame) -> DataFrame:
@@ -127,12 +145,12 @@ def per_supplier(contracts: DataFrame) -> DataFrame:
     return contracts.groupBy("fk_fornecedor").agg(*sums, F.min("buyer_least").alias("buyer_least"), F.max("buyer_most").alias("buyer_most"), F.sum("n_known_buyers").alias("n_known_buyers"))
 
 
-def _facts(contracts: DataFrame, *by) -> DataFrame:
+def _facts(contracts: DataFrame, *by, more=()) -> DataFrame:
     buyer = "codigo_orgao" if "codigo_orgao" in contracts.columns else "fk_orgao"
     total = F.sum("valor") if "valor" in contracts.columns else F.lit(None).cast("decimal(28,2)")
     known = [F.lit(None).alias("buyer_least"), F.lit(None).alias("buyer_most"), F.lit(0).cast("long").alias("n_known_buyers")] if buyer not in contracts.columns else [F.min(buyer).alias("buyer_least"), F.max(buyer).alias("buyer_most"), F.count(buyer).alias("n_known_buyers")]
     first = F.min("data_assinatura") if "data_assinatura" in contracts.columns else F.lit(None).cast("date")
-    return contracts.groupBy(*by).agg(F.count("*").alias("n_contratos"), total.alias("total"), first.alias("first"), *known)
+    return contracts.groupBy(*by).agg(F.count("*").alias("n_contratos"), total.alias("total"), first.alias("first"), *known, *more)
 
 
 #: Suppliers of one address in a block, and pairs of blocks for a task of ``same_address``.

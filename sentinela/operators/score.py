@@ -79,12 +79,14 @@ def incompatible_activity(suppliers, contracts):
 
 def incompatible_activity_online(suppliers, contracts):
     """Online the category is inferred from the contract's object, and the first incompatible contract (by day, then
-    key) is named; activity codes match with or without punctuation."""
+    key) is named; activity codes match with or without punctuation. ``contracts`` may be ``core.yearly(contracts, online=True)``."""
     plain = lambda c: F.regexp_replace(c, "[^0-9]", "")
     lookup = F.broadcast(_incompatible(suppliers.sparkSession).withColumn("_code", plain(F.col("cnae_principal"))).drop("cnae_principal"))
     own = suppliers.filter("cnae_principal is not null").select(F.col("pk_fornecedor").alias("fk_fornecedor"), "cnae_principal", plain(F.col("cnae_principal")).alias("_code"))
-    kinds = contracts.select("fk_fornecedor", "data_assinatura", "pk_contrato", fn.object_category(F.col("objeto")).alias("objeto_categoria")).filter("objeto_categoria is not null")
-    first = kinds.groupBy("fk_fornecedor", "objeto_categoria").agg(F.min(F.struct(F.col("data_assinatura").isNull(), "data_assinatura", "pk_contrato")).alias("_at"))
+    at = F.col("at")
+    if "at" not in contracts.columns:
+        contracts, at = contracts.withColumn("objeto_categoria", fn.object_category(F.col("objeto"))), F.struct(F.col("data_assinatura").isNull(), "data_assinatura", "pk_contrato")
+    first = contracts.filter("objeto_categoria is not null").groupBy("fk_fornecedor", "objeto_categoria").agg(F.min(at).alias("_at"))
     hit = first.join(own, "fk_fornecedor").join(lookup, ["_code", "objeto_categoria"])
     hit = hit.groupBy("fk_fornecedor", "cnae_principal", "kind").agg(F.min_by("objeto_categoria", "_at").alias("bad"))
     c, k, b = F.col("cnae_principal"), F.col("kind"), F.col("bad")
@@ -140,8 +142,8 @@ def no_employees(suppliers, contracts):
 
 
 def all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant: str = "batch", per=None, yearly=None) -> DataFrame:
-    """All rules of one variant. ``per`` and ``yearly``: ``core.per_supplier(contracts)`` and ``core.yearly(contracts)``, if
-    they have been written already."""
+    """All rules of one variant. ``per`` and ``yearly``: ``core.per_supplier(contracts)`` and ``core.yearly(contracts)``, for
+    the online variant with ``online=True``, if they have been written already; ``contracts`` are not looked at then."""
     per = core.per_supplier(contracts) if per is None else per
     by_year = contracts if yearly is None else yearly
     online = variant == "online"
@@ -151,7 +153,7 @@ def all_indicators(suppliers, partners, contracts, sanctions, ref_date, variant:
         past_sanction(suppliers, sanctions, ref_date, variant),
         multi_company_partner(suppliers, partners),
         exclusive_buyer(suppliers, per),
-        incompatible_activity_online(suppliers, contracts) if online else incompatible_activity(suppliers, by_year),
+        incompatible_activity_online(suppliers, by_year if "at" in by_year.columns else contracts) if online else incompatible_activity(suppliers, by_year),
         neighbours(suppliers) if online else shared_address(suppliers),
         sudden_growth(suppliers, by_year, variant),
         no_employees(suppliers, per),

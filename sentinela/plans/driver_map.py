@@ -52,22 +52,24 @@ class Domain:
 
     def _make_contracts(self):
         """Every line of every order; an order is a bid (one in eleven has no number), and some suppliers' lines are
-        worth ten times as much from 1998 on."""
-        line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        bids = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))  # first, so that lines are not shuffled by customer
-        j = line.join(bids, F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        worth ten times as much from 1998 on. Values and days are cut to cents and dates before they are shuffled."""
+        line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.col("l_shipdate").cast("date").alias("shipped"))
+        bids = self.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("ordered"))
+        bids = bids.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))  # first, so that lines are not shuffled by customer
         kind = F.when(F.col("p_type").startswith("ECONOMY"), "SAUDE").when(F.col("p_type").startswith("SMALL"), "LIMPEZA").when(F.col("p_type").startswith("MEDIUM"), "CONSTRUCAO").when(F.col("p_type").startswith("PROMO"), "TECNOLOGIA")
+        part = self.table("part").select("p_partkey", "p_name", kind.alias("kind"))
+        j = line.join(bids, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
         words = F.when(F.col("l_partkey") % 97 == 5, F.lit("software de ")).when(F.col("l_partkey") % 97 == 6, F.lit("obra de ")).otherwise(F.lit(""))
-        value = F.col("l_extendedprice").cast("decimal(18,2)") * F.when((F.col("l_suppkey") % 9 == 4) & (F.year("o_orderdate") >= 1998), 10).otherwise(1)
+        value = F.col("price") * F.when((F.col("l_suppkey") % 9 == 4) & (F.year("ordered") >= 1998), 10).otherwise(1)
         return j.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pk_contrato"),
             F.col("l_suppkey").alias("fk_fornecedor"),
             F.when(F.col("l_suppkey") % 7 == 0, F.lit(1)).otherwise(F.col("c_nationkey")).cast("long").alias("fk_orgao"),
             F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("LIC-"), F.col("o_orderkey").cast("string"))).alias("num_licitacao"),
             value.cast("decimal(18,2)").alias("valor"),
-            F.col("o_orderdate").cast("date").alias("data_assinatura"),
-            F.col("l_shipdate").cast("date").alias("data_vigencia"),
-            kind.alias("objeto_categoria"),
+            F.col("ordered").alias("data_assinatura"),
+            F.col("shipped").alias("data_vigencia"),
+            F.col("kind").alias("objeto_categoria"),
             F.concat(F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.lit("/0001-00")).alias("cnpj_fornecedor"),
             F.concat(words, F.col("p_name")).alias("objeto"),
         )
@@ -77,6 +79,11 @@ class Domain:
         """One aggregation of the contracts that all indicators share, kept for the session."""
         return self._once("_yearly", lambda: core.yearly(self.contracts).persist())
 
+    @property
+    def yearly_online(self):
+        """The same for the online indicators, which infer the category."""
+        return self._once("_yearly_online", lambda: core.yearly(self.contracts, online=True).persist())
+
     @property
     def per_supplier(self):
         """One aggregation that all rules share, kept for the session; of ``yearly`` if there are indicators."""
@@ -141,7 +148,12 @@ class Domain:
 
     @property
     def scores_online(self):
-        return self._once("_scores_online", lambda: score.all_indicators(self.suppliers, self.partners, self.contracts, self.sanctions, self.ref_date, "online", yearly=self.yearly, per=self.per_supplier))
+        def make():
+            by_year = self.yearly_online
+            per = self._once("_per_supplier", lambda: core.per_supplier(by_year).persist())
+            return score.all_indicators(self.suppliers, self.partners, self.contracts, self.sanctions, self.ref_date, "online", yearly=by_year, per=per)
+
+        return self._once("_scores_online", make)
 
     @property
     def alerts(self):
