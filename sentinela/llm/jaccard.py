@@ -46,6 +46,8 @@ SPARE, DEALS = 0.2, 8
 SLOTS = 256
 #: Signatures per blob flush and per bucket; members of one signature in a flush from which all but two stay out of it.
 FLUSH, BUCKET, LOCAL = 1_500_000, 1_500_000, 3
+#: Bits of a signature that are sent. Sets that have only these in common are two more to compare; none are lost.
+SENT = 48
 #: Members per block and rows per task of the block-wise comparison.
 BLOCK, TASK_ROWS = 400, 4_000
 #: A set's least signatures that its rows carry in the block-wise comparison.
@@ -209,7 +211,7 @@ def signature_blobs(docs: DataFrame, width: int, threshold: int, buckets: int, f
             for a, b, d, o in K.pieces(data, offs):
                 doc, g = near.shingles(d, o, width)
                 sig, of = signatures(doc, g, b - a, threshold)
-                held.append((sig, set_keys(doc, g, b - a)[of, 0]))
+                held.append((sig >> U(64 - SENT), set_keys(doc, g, b - a)[of, 0]))
                 n += len(sig)
                 if n >= flush:
                     yield from out()
@@ -353,8 +355,11 @@ class Join:
         buckets = C.bucket_count(self.signed.agg(F.sum("n")).first()[0] or 0, BUCKET)
         blobs = signature_blobs(keyed, width, threshold, buckets)
         self.bins = self.write(blobs.groupBy("bucket").applyInArrow(members_of_bucket, MEMBER), "bins")
+        C.give_back(docs.sparkSession)  # and with the plan what the blobs' shuffle has on disk
         wanted = self.classes.join(self.bins.select("key").distinct(), "key").select("node", "row_key")
-        self.texts = self.write(keyed.select("row_key", "text").join(wanted, "row_key").select("node", "text").dropDuplicates(["node"]), "texts")
+        texts = keyed.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])  # a node has one, and the join has dealt by it
+        self.texts = self.write(texts.select("node", "text"), "texts")
+        C.give_back(docs.sparkSession)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return self.tables.write(df, f"join-{name}")

@@ -132,3 +132,21 @@ def test_pairs_of_many_common_signatures_are_emitted_once(spark, monkeypatch):
 def test_empty_table(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_are_shuffled_once_and_signatures_are_short(spark, rows, monkeypatch):
+    """Of 64 bits a quarter is not sent; the texts of classes are not dealt anew by class after they were by row."""
+    plans, write = {}, jaccard.Join.write
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString() if name == "texts" else None
+        out = write(self, df, name)
+        if name == "bins":
+            plans["most"] = out.selectExpr("max(sig)", "min(sig)").first()
+        return out
+
+    monkeypatch.setattr(jaccard.Join, "write", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    jaccard.Join(docs, 5, 80)
+    assert 0 <= plans["most"][1] <= plans["most"][0] < 1 << 48
+    assert re.search(r"Aggregate \[row_key#\d+\]", plans["texts"])
